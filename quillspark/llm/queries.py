@@ -4,10 +4,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.llm.language import document_language
 from quillspark.llm.mixing import mix_documents
+from quillspark.llm.nearest import nearest
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.tokens import token_counts
+from quillspark.llm.toxicity import document_toxicity
+from quillspark.llm.vector_dedup import linked_vectors
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,9 +29,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_language(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_vector_dedup, op4_language, op6_toxicity, op8_nearest, op10_packing)}
 ORACLES: dict[str, str] = {}
