@@ -16,10 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.arrays import pieces, sums
+from quillspark.llm.arrays import gather, pieces, sums
 from quillspark.llm.storage import Stash
 from quillspark.llm.tokens import text_chunks
 
@@ -27,10 +28,15 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _RANK_ROWS = 200_000  #: documents of one length that are ranked by one task
 
 
+#: Chunks whose pre-tokens are plain to see: Latin letters that NFC leaves alone and lower-case to one letter, digits, ASCII signs but ' and <.
+_PLAIN = "^[!-&(-;=-~\u00c0-\u012f\u0131-\u024f]+$"
+_BREAKS = r"([^\pL\pN]+|\pN)"
+
+
 class IdBook:
-    """Ids of white-space-free chunks by the tokenizers library; those of the first chunks are kept between batches."""
+    """Ids of white-space-free chunks by the tokenizers library, which sees each pre-token of plain chunks and other chunks whole; the first results are kept between batches."""
 
-    KEEP = 150_000
+    KEEP = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,15 +45,24 @@ class IdBook:
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, np.ndarray] = {}
 
-    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks in a row, and where each begins."""
-        found = [self.seen.get(x) for x in chunks]
+        spaced = pc.replace_substring_regex(pc.utf8_lower(chunks), _BREAKS, r" \1 ")
+        parts = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(chunks, _PLAIN), pc.ascii_trim_whitespace(spaced), chunks))
+        coded = parts.values.dictionary_encode()
+        flat, begin = self._encode(coded.dictionary.to_pylist())
+        code = np.asarray(coded.indices)
+        size = np.diff(begin)[code] if len(code) else np.zeros(0, np.int64)
+        return flat[gather(begin[code], size)], np.concatenate([[0], np.cumsum(size)])[np.asarray(parts.offsets)]
+
+    def _encode(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.seen.get(x) for x in tokens]
         new = [i for i, x in enumerate(found) if x is None]
         for k in range(0, len(new), 20_000):
-            for i, e in zip(new[k : k + 20_000], self.tokenizer.encode_batch_fast([chunks[i] for i in new[k : k + 20_000]], add_special_tokens=False)):
+            for i, e in zip(new[k : k + 20_000], self.tokenizer.encode_batch_fast([tokens[i] for i in new[k : k + 20_000]], add_special_tokens=False)):
                 found[i] = np.array(e.ids, np.uint32)
         for i in new[: max(0, self.KEEP - len(self.seen))]:
-            self.seen[chunks[i]] = found[i]
+            self.seen[tokens[i]] = found[i]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.concatenate(found) if found else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(size)])
 
@@ -57,12 +72,6 @@ def book(path: str) -> IdBook:
     return IdBook(path)
 
 
-def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... of each run, one run after another."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of each piece of at most `capacity` tokens.
 
@@ -73,7 +82,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = book(path)
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 6 << 20):
                 at, code, values = text_chunks(part.column("text"))
                 flat, begin = model.ids(values)
                 size = np.diff(begin)[code] if len(code) else np.zeros(0, np.int64)

@@ -167,12 +167,12 @@ def merger(path: str) -> RankMerger:
     return RankMerger(path)
 
 
-def text_chunks(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def text_chunks(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(where each row's chunks begin, the number of each chunk's value, the distinct values). No token crosses ASCII white space."""
     found = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
     offsets = np.asarray(found.offsets)
     coded = found.values.dictionary_encode()
-    return offsets, np.asarray(coded.indices), coded.dictionary.to_pylist()
+    return offsets, np.asarray(coded.indices), coded.dictionary
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -187,7 +187,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
                 at, code, values = text_chunks(part.column("text"))
-                n = sums(model.counts(values)[code] if len(code) else np.zeros(0, np.int64), at)
+                n = sums(model.counts(values.to_pylist())[code] if len(code) else np.zeros(0, np.int64), at)
                 size = np.asarray(pc.binary_length(part.column("text").fill_null("")), dtype=np.int64)
                 yield pa.record_batch({"doc_id": part.column("id").cast(pa.int64()), "n_bytes": size, "n_tokens": n, "over_limit": pa.array(n > limit)})
 
