@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _SPACE = np.zeros(256, bool)
@@ -33,7 +34,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about `most` bytes (one row at least), so that memory doesn't follow the batch."""
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))

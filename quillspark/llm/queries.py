@@ -10,6 +10,8 @@ from quillspark.llm.language import document_language
 from quillspark.llm.mixing import mix_documents
 from quillspark.llm.nearest import nearest
 from quillspark.llm.packing import pack_documents
+from quillspark.llm.paragraphs import repeated_passages
+from quillspark.llm.shingle_join import join_shingles
 from quillspark.llm.tokens import token_counts
 from quillspark.llm.toxicity import document_toxicity
 from quillspark.llm.vector_dedup import linked_vectors
@@ -41,13 +43,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_shingles(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_vector_dedup, op4_language, op6_toxicity, op8_nearest, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_vector_dedup, op4_language, op6_toxicity, op7_passages, op8_nearest, op9_shingle_join, op10_packing)}
 ORACLES: dict[str, str] = {}
