@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.extraction import main_texts
 from quillspark.llm.language import document_language
 from quillspark.llm.mixing import mix_documents
 from quillspark.llm.nearest import nearest
@@ -39,6 +40,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_language(table(spark, sf_dir, "documents"))
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,5 +64,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_vector_dedup, op4_language, op6_toxicity, op7_passages, op8_nearest, op9_shingle_join, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_vector_dedup, op4_language, op5_extraction, op6_toxicity, op7_passages, op8_nearest, op9_shingle_join, op10_packing)}
 ORACLES: dict[str, str] = {}
