@@ -7,12 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.arrays import pieces, starts, sums
+from quillspark.llm.arrays import pieces, sums
 from quillspark.llm.mixing import draw
 
 SIZES = (3, 4, 5)
 BITS = 18
-SAMPLE = 3_000  #: labelled rows of each class that the classifier is fitted on at most, by seeded hash
+SAMPLE = 2_000  #: labelled rows of each class that the classifier is fitted on at most, by seeded hash
 
 
 def code_points(texts: list[str]) -> np.ndarray:
@@ -46,23 +46,31 @@ def fit_ratio_scaled(rows: list[np.ndarray], toxic: np.ndarray, totals: tuple[in
     prior = float(np.log((totals[1] + 0.5) / (totals[0] + 0.5)))
     if not len(rows) or toxic.all() or not toxic.any():
         return np.zeros(size, np.float32), prior
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    known = np.bincount(flat, minlength=size) >= 3
-    keep = known[flat]
-    flat, owner = flat[keep], owner[keep]
-    y = toxic.astype(float)
-    hot, all_ = (np.bincount(flat, weights=w, minlength=size) for w in (y[owner], np.ones(len(flat))))
-    p, q = 1 + hot, 1 + all_ - hot
-    ratio = np.where(known, np.log(p / p.sum() / (q / q.sum())), 0)
-    at = starts(owner, len(rows))
+    flat = np.concatenate(rows).astype(np.int32)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    y = toxic.astype(np.float64)
+    cuts = [*range(0, len(rows), 200), len(rows)]  # rows are gone through in parts, to hold little besides their features
+    parts = [(lo, hi, flat[at[lo] : at[hi]], np.diff(at[lo : hi + 1])) for lo, hi in zip(cuts, cuts[1:])]
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        """For each feature, the sum of the values of the rows that have it."""
+        total = np.zeros(size)
+        for lo, hi, own, n in parts:
+            total += np.bincount(own, weights=np.repeat(values[lo:hi], n), minlength=size)
+        return total
+
+    every, hot = by_feature(np.ones(len(rows))), by_feature(y)
+    known = every >= 3
+    p, q = 1 + hot, 1 + every - hot
+    ratio = np.where(known, np.log((p / p[known].sum()) / (q / q[known].sum())) if known.any() else 0, 0)
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     w, b = np.zeros(size), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        z = sums((ratio * w)[flat], at) + b
+        scaled = ratio * w
+        z = b + np.concatenate([sums(scaled[own], np.concatenate([[0], np.cumsum(n)])) for _, _, own, n in parts])
         g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        grad = np.append(ratio * np.bincount(flat, weights=g[owner], minlength=size) + ridge * w, g.sum())
+        grad = np.append(ratio * by_feature(g) + ridge * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -107,6 +115,19 @@ def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of documents whose score is under 0.5, learnt from the labels outside the held-out fold. All columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, remainder("doc_id", 5) != 0))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                yield part.filter(pa.array([bias + weights[x].sum(dtype=np.float64) < 0 for x in ngram_rows(part.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; null ids have remainder 0 of no fold and count as -1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % by, F.lit(-1))
