@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.arrays import gather
 from quillspark.llm.components import components
 from quillspark.llm.storage import Stash
-from quillspark.llm.vectors import matrix, sample_units, unit, usable, usual_length
+from quillspark.llm.vectors import main_axes, matrix, sample_units, unit, usable, usual_length
 
 SAMPLE = 10_000  #: vectors that the rotation is learnt from at most
 BLOCK = 2_000  #: vectors of one key that one task compares with as many others
@@ -35,8 +35,7 @@ class Codes:
         self.parts = max(1, self.bits // min(32, int(np.ceil(np.log2(max(2, count)))) + 4))
         self.budget = (2 - 2 * threshold + SLACK) / self.parts
         centre = sample.mean(0)
-        _, _, axes = np.linalg.svd(sample - centre, full_matrices=True)
-        main = axes[: self.bits].T
+        main = main_axes(sample - centre)[: self.bits].T
         v = (sample - centre) @ main
         r, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((self.bits, self.bits)))
         for _ in range(rounds):

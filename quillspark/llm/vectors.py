@@ -35,3 +35,8 @@ def sample_units(rows: DataFrame, id_col: str, column: str, most: int, total: in
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col), 16) < min(1.0, most / max(1, total)) * 2.0**48)
     found = drawn.orderBy(id_col).select(column).toArrow().column(column).combine_chunks()
     return unit(matrix(found)) if len(found) else np.zeros((0, 0))
+
+
+def main_axes(x: np.ndarray) -> np.ndarray:
+    """Orthonormal axes (rows) of the space of the rows, those of the largest spread first."""
+    return np.linalg.eigh(x.T @ x)[1].T[::-1]
