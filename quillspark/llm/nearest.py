@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.groups import runs
 from quillspark.llm.storage import Stash
-from quillspark.llm.vectors import matrix, sample_units, unit, usable, usual_length
+from quillspark.llm.vectors import main_axes, matrix, sample_units, unit, usable, usual_length
 
 SAMPLE = 8_000  #: vectors that centroids and the share to visit are fitted on at most
 CENTROIDS = 64  #: of either half; a row of cells fits the bits of a long
@@ -43,7 +43,7 @@ class MultiIndex:
     """Axes and the two codebooks; `held` (vectors in each cell) is set once all vectors have their cells."""
 
     def __init__(self, sample: np.ndarray, recall: float, count: int = CENTROIDS):
-        _, _, axes = np.linalg.svd(sample, full_matrices=True)
+        axes = main_axes(sample)
         self.axes = np.concatenate([axes[0::2], axes[1::2]]).T  # both halves get as much of the spread
         self.half = (len(axes) + 1) // 2
         y = sample @ self.axes
