@@ -2,14 +2,499 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import derived, parsers, text
+from quillspark.operators import aggregates, filters, joins, paging, projection, quality
+from quillspark.plans import linking, list_query, search
+from quillspark.sources import texts
 
-def filt_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_size") == 3)
+FLAGSHIP = "list_parts"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
 
-FLAGSHIP = "filt_equality"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"filt_equality": filt_equality}
-ORACLES: dict[str, str] = {"filt_equality": "SELECT * FROM part WHERE p_size = 3"}
+class Tables:
+    """tables.part is the table part."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+PART_FILTERS = filters.FilterSet({"p_partkey": ["exact", "in"], "p_name": ["exact", "iexact", "icontains"], "p_brand": ["exact", "in", "not_in"], "p_size": ["exact", "range", "gt", "gte", "lt", "lte"], "p_type": ["icontains"]}, {"size": "p_size", "brand": "p_brand"})
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size >= 10 AND p_type ILIKE '%s%' ORDER BY p_retailprice DESC, p_partkey LIMIT 50")
+def list_parts(t):
+    listing = list_query.Listing(t.part, "p_partkey", PART_FILTERS, ["p_name", "p_brand"])
+    return listing.rows_of({"p_size__gte": 10, "p_type__icontains": "S", "ordering": "-p_retailprice", "fields": "p_partkey,p_name,p_size,p_retailprice,unknown"})
+
+
+# Filters
+
+
+@query("SELECT * FROM part WHERE p_size = 3")
+def filt_exact(t):
+    return PART_FILTERS.apply(t.part, {"size": 3})
+
+
+@query("SELECT * FROM customer WHERE lower(c_mktsegment) = 'building'")
+def filt_iexact(t):
+    return t.customer.where(filters.predicate(F.col("c_mktsegment"), "iexact", "bUILDING"))
+
+
+@query("SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def filt_in(t):
+    return t.orders.where(filters.predicate(F.col("o_orderpriority"), "in", "1-URGENT,2-HIGH"))
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus NOT IN ('F', 'P')")
+def filt_not_in(t):
+    return t.orders.where(filters.predicate(F.col("o_orderstatus"), "not_in", ["F", "P"]))
+
+
+@query("SELECT * FROM part WHERE contains(lower(p_name), 'e')")
+def filt_icontains(t):
+    return PART_FILTERS.apply(t.part, {"p_name__icontains": "E"})
+
+
+@query("SELECT * FROM part WHERE p_size BETWEEN 5 AND 12")
+def filt_range(t):
+    return PART_FILTERS.apply(t.part, {"p_size__range": "5,12"})
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 200000")
+def filt_compare(t):
+    o = filters.FilterSet({"o_totalprice": ["gt", "lte"]})
+    return o.apply(t.orders, {"o_totalprice__gt": 1000, "o_totalprice__lte": 200000}).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT count(*) FILTER (WHERE lang IS NULL) AS missing, count(*) FILTER (WHERE lang IS NOT NULL) AS present FROM documents")
+def filt_isnull(t):
+    c = F.col("lang")
+    return t.documents.agg(F.count(F.when(filters.predicate(c, "isnull", "true"), 1)).alias("missing"), F.count(F.when(filters.predicate(c, "isnull", "false"), 1)).alias("present"))
+
+
+@query("SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name LIKE 'A%' OR n_name = 'CHINA'")
+def filt_path_1hop(t):
+    return t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name").startswith("A") | (F.col("n_name") == "CHINA")).select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def filt_path_2hop(t):
+    place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).where("r_name = 'ASIA'")
+    return t.customer.join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
+def filt_m2m_semi(t):
+    return filters.related(t.part, t.lineitem, "p_partkey", "l_partkey", (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).select("p_partkey", "p_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def filt_m2m_anti(t):
+    return filters.unrelated(t.customer, t.orders, "c_custkey", "o_custkey", F.col("o_orderstatus") == "F").select("c_custkey")
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE (contains(lower(p_name), 'a') OR contains(lower(p_brand), 'a')) AND (contains(lower(p_name), '1') OR contains(lower(p_brand), '1'))")
+def filt_keyword_search(t):
+    return filters.keyword_search(t.part, "A 1", ["p_name", "p_brand"]).select("p_partkey", "p_name", "p_brand")
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE lower(p_type) LIKE '%e_i%'")
+def filt_like_wildcard(t):
+    return t.part.where(filters.predicate(F.col("p_type"), "like", "%E_I%")).select("p_partkey", "p_type")
+
+
+@query("SELECT event_id, props FROM events WHERE contains(lower(props), '7}')")
+def filt_json_text(t):
+    return filters.json_text_contains(t.events, "props", "7}").select("event_id", "props")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 30 AND l_returnflag = 'A' AND l_discount < 0.05")
+def filt_conjunction(t):
+    f = filters.FilterSet({"l_quantity": ["gte"], "l_returnflag": ["exact"], "l_discount": ["lt"]})
+    return f.apply(t.lineitem, {"l_quantity__gte": 30, "l_returnflag": "A", "l_discount__lt": 0.05}).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND text <> '' AND NOT contains(source, 'src1')")
+def filt_exclusions(t):
+    return filters.without_key_parts(filters.without_blank(t.documents, "text"), "source", ["src1"]).select("doc_id")
+
+
+# Projections
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def proj_fields(t):
+    return projection.apply_params(t.supplier, {"fields": "s_name,s_suppkey,nothing"})
+
+
+@query("SELECT s_suppkey, s_nationkey FROM supplier")
+def proj_exclude(t):
+    return projection.apply_params(t.supplier, {"exclude": "s_name,s_acctbal"})
+
+
+@query("SELECT s_suppkey, n_name AS nation_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def proj_nested_prune(t):
+    nested = joins.with_parent(t.supplier, t.nation, "s_nationkey", "n_nationkey", "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    return projection.apply_params(nested, {"nation__fields": "n_name"}).select("s_suppkey", F.col("nation.n_name").alias("nation_name"))
+
+
+@query("SELECT n_nationkey, n_name, r_name AS region__name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def proj_flatten_parent(t):
+    return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.col("r_name").alias("region__name"))
+
+
+@query("SELECT p_partkey, (CASE WHEN p_size > 10 THEN 1 ELSE 0 END + CASE WHEN p_size > 20 THEN 1 ELSE 0 END + 1)::BIGINT AS n_kept FROM part")
+def proj_drop_nulls(t):
+    size = F.col("p_size")
+    return t.part.select("p_partkey", F.size(F.map_keys(projection.without_nulls(small=size, medium=F.when(size > 10, size), large=F.when(size > 20, size)))).cast("long").alias("n_kept"))
+
+
+# Joins
+
+
+@query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_inner(t):
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_totalprice")
+
+
+@query("SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def join_left_nullable(t):
+    nested = joins.with_parent(t.documents, t.labels, "doc_id", "doc_id", "label", ["toxic"])
+    return nested.select("doc_id", F.col("label.toxic").alias("toxic"))
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS n_items, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey), '') AS part_keys FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def join_one_to_many_nest(t):
+    nested = joins.with_children(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "items", ["l_partkey"], ["l_linenumber", "l_partkey"])
+    return nested.select("o_orderkey", F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda x: x["l_partkey"].cast("string")), ",").alias("part_keys"))
+
+
+@query("SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_items FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey")
+def join_two_level_nest(t):
+    inner = joins.with_children(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "items", ["l_linenumber"], ["l_linenumber"])
+    outer = joins.with_children(t.customer, inner, "c_custkey", "o_custkey", "orders", ["o_orderkey", "items"], ["o_orderkey"])
+    items = F.aggregate("orders", F.lit(0), lambda a, o: a + F.size(o["items"]))
+    return outer.select("c_custkey", F.size("orders").cast("long").alias("n_orders"), items.cast("long").alias("n_items"))
+
+
+@query("SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
+def join_bridge(t):
+    brands = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set("p_brand").alias("brands"))
+    return joins.bridge(brands, "l_suppkey", "brands", "p_brand")
+
+
+@query("SELECT a.n_name AS nation, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def join_self(t):
+    a, b = t.nation.alias("a"), t.nation.alias("b")
+    return a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("nation"), F.col("b.n_name").alias("neighbour"))
+
+
+@query("SELECT 'part' AS kind, l_partkey::VARCHAR AS k, p_name AS name FROM (SELECT DISTINCT l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey UNION ALL SELECT 'supplier', l_suppkey::VARCHAR, s_name FROM (SELECT DISTINCT l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey")
+def join_polymorphic(t):
+    edges = t.lineitem.select(F.lit("part").alias("kind"), F.col("l_partkey").cast("string").alias("k")).distinct().unionByName(t.lineitem.select(F.lit("supplier").alias("kind"), F.col("l_suppkey").cast("string").alias("k")).distinct())
+    tables = {"part": t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")), "supplier": t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))}
+    return joins.polymorphic(edges, tables, "kind", "k").where("name IS NOT NULL")
+
+
+@query("SELECT c_custkey, coalesce(a.r_name, b.n_name) AS place FROM customer LEFT JOIN region a ON a.r_regionkey = c_nationkey LEFT JOIN nation b ON b.n_nationkey = c_nationkey")
+def join_synonym_chain(t):
+    key = F.col("c_nationkey")
+    return joins.first_found(t.customer, [(key, t.region, "r_regionkey", "r_name"), (key, t.nation, "n_nationkey", "n_name")], "place").select("c_custkey", "place")
+
+
+# Aggregates and window patterns
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01'")
+def agg_count(t):
+    return t.lineitem.where("l_shipdate >= TIMESTAMP '1995-01-01'").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS nationkey, 'customer' AS model, count(*) AS actual_count FROM customer GROUP BY ALL UNION ALL SELECT s_nationkey, 'supplier', count(*) FROM supplier GROUP BY ALL")
+def agg_stats_by_model(t):
+    return aggregates.counts_by({"customer": t.customer.withColumnRenamed("c_nationkey", "nationkey"), "supplier": t.supplier.withColumnRenamed("s_nationkey", "nationkey")}, "nationkey")
+
+
+@query("SELECT word, count(DISTINCT p_name) AS n_names FROM (SELECT p_name, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w+'))) AS word FROM part) GROUP BY word")
+def agg_word_to_names(t):
+    return aggregates.words_to_names(t.part, "p_name").select("word", F.size("names").cast("long").alias("n_names"))
+
+
+@query("SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS top_order FROM orders GROUP BY o_custkey")
+def agg_max_by(t):
+    return t.orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("top_order"))
+
+
+@query("SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY o_custkey")
+def agg_min_by(t):
+    return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"))
+
+
+@query("SELECT l_suppkey, count(DISTINCT l_returnflag || l_linestatus) AS n_items, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS flags FROM lineitem GROUP BY l_suppkey")
+def agg_set_size_order(t):
+    pairs = t.lineitem.select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("flag")).distinct()
+    return aggregates.by_group_size(pairs, "l_suppkey", "flag").select("l_suppkey", F.col("n_items").cast("long").alias("n_items"), F.array_join("items", ",").alias("flags"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, chr(10) ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
+def agg_string(t):
+    grouped = t.nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    return grouped.select("n_regionkey", F.array_join(F.transform("x", lambda r: r["n_name"]), "\n").alias("names"))
+
+
+@query("SELECT text AS body, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def agg_duplicates(t):
+    return aggregates.duplicates(t.documents.withColumnRenamed("text", "body"), ["body"])
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1")
+def win_keep_first(t):
+    return aggregates.keep_first(t.lineitem, ["l_orderkey"], [F.desc("l_quantity"), F.asc("l_linenumber"), F.asc("l_partkey")]).select("l_orderkey", "l_partkey", "l_quantity")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def win_keep_last(t):
+    return aggregates.keep_first(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT p_partkey, CASE WHEN n = 1 THEN p_brand ELSE p_brand || '_' || (n - 1) END AS key FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
+def win_suffix_key(t):
+    return aggregates.suffixed_keys(t.part, "p_brand", ["p_partkey"]).select("p_partkey", "key")
+
+
+@query("SELECT o_orderkey, o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1)::BIGINT AS rank FROM orders")
+def win_position(t):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return t.orders.select("o_orderkey", "o_custkey", (F.row_number().over(w) - 1).cast("long").alias("rank"))
+
+
+# Order and sets
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand, p_size DESC, p_partkey LIMIT 20")
+def sort_multi_key(t):
+    return paging.ordered(t.part, "p_brand,-p_size,bogus", "p_partkey").limit(20).select("p_partkey", "p_brand", "p_size")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
+def sort_page(t):
+    return paging.page_rows(paging.ordered(t.orders, "-o_totalprice", "o_orderkey"), 3, 25).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT * FROM (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 30) WHERE c_acctbal > 9000")
+def sort_topk_then_threshold(t):
+    return t.customer.select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(30).where("c_acctbal > 9000")
+
+
+@query("SELECT p_partkey, kind FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY pr) AS n FROM (SELECT p_partkey, 'small' AS kind, 0 AS pr FROM part WHERE p_size < 10 UNION ALL SELECT p_partkey, 'cheap', 1 FROM part WHERE p_retailprice < 1200)) WHERE n = 1")
+def set_priority_union(t):
+    both = t.part.where("p_size < 10").select("p_partkey", F.lit("small").alias("kind"), F.lit(0).alias("pr")).unionByName(t.part.where("p_retailprice < 1200").select("p_partkey", F.lit("cheap").alias("kind"), F.lit(1).alias("pr")))
+    return aggregates.keep_first(both, ["p_partkey"], [F.asc("pr")]).select("p_partkey", "kind")
+
+
+# Functions
+
+
+@query("SELECT p_partkey, floor((p_size - 10) / 2.0)::INT AS modifier, CASE WHEN p_size > 40 THEN p_size ELSE floor((p_size - 10) / 2.0)::INT END AS save FROM part")
+def fn_modifier_floor(t):
+    return t.part.select("p_partkey", derived.modifier(F.col("p_size")).alias("modifier"), derived.saving_throw(F.when(F.col("p_size") > 40, F.col("p_size")), F.col("p_size")).alias("save"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size::DOUBLE ELSE floor(p_size / 2.0) END AS climb, CASE WHEN p_size % 3 = 0 THEN p_size::DOUBLE ELSE 0.0 END AS fly FROM part")
+def fn_fallback_chain(t):
+    size = F.col("p_size").cast("double")
+    given = F.when(F.col("p_size") % 3 == 0, size)
+    return t.part.select("p_partkey", derived.speeds(size, given, given, given, given).alias("s")).select("p_partkey", "s.climb", "s.fly")
+
+
+@query("SELECT p_partkey, CASE p_size WHEN 1 THEN 200 WHEN 5 THEN 1800 WHEN 17 THEN 18000 WHEN 30 THEN 155000 END AS xp FROM part WHERE p_size IN (1, 5, 17, 30, 40)")
+def fn_lookup_map(t):
+    return t.part.where("p_size IN (1, 5, 17, 30, 40)").select("p_partkey", derived.experience(F.col("p_size")).alias("xp"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_ -]', '', 'g'), '[- ]+', '-', 'g') AS slug FROM part")
+def fn_slugify(t):
+    return t.part.select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
+
+
+@query("SELECT p_partkey, p_brand || '_' || regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_ -]', '', 'g'), '[- ]+', '-', 'g') || '_' || p_partkey AS key FROM part")
+def fn_edge_key(t):
+    return t.part.select("p_partkey", text.edge_key(F.col("p_brand"), F.col("p_name"), F.col("p_partkey").cast("string")).alias("key"))
+
+
+@query("SELECT p_partkey, upper(list_aggregate(list_transform(string_split(p_type, ' '), lambda x: x[1]), 'string_agg', '')) AS initials, string_split(p_type, ' ')[-1] AS last FROM part")
+def fn_initials(t):
+    return t.part.select("p_partkey", text.initials(F.col("p_type")).alias("initials"), text.last_word(F.col("p_type")).alias("last"))
+
+
+@query("SELECT p_partkey, p_size::VARCHAR || CASE WHEN p_size % 2 = 0 THEN ' + Dex modifier' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ' (max 2)' ELSE '' END AS display, CASE WHEN p_size % 5 = 0 THEN 'medium' WHEN p_size % 2 = 0 THEN 'light' ELSE 'heavy' END AS category FROM part")
+def fn_display_strings(t):
+    dex, cap = F.col("p_size") % 2 == 0, F.when(F.col("p_size") % 5 == 0, 2)
+    return t.part.select("p_partkey", derived.armor_display(F.col("p_size"), dex, cap).alias("display"), derived.armor_category(dex, cap).alias("category"))
+
+
+@query("SELECT p_partkey, round(p_retailprice * 0.1, 2)::DECIMAL(10,2)::VARCHAR AS cost FROM part")
+def fn_parse_cost(t):
+    return t.part.select("p_partkey", parsers.cost(F.concat(F.col("p_retailprice").cast("decimal(10,2)").cast("string"), F.lit(" sp"))).cast("string").alias("cost"))
+
+
+@query("SELECT p_partkey, (p_size / 8.0)::DECIMAL(10,3)::VARCHAR AS weight FROM part")
+def fn_parse_weight(t):
+    return t.part.select("p_partkey", parsers.weight(F.concat(F.col("p_size").cast("string"), F.lit("/8 lb."))).cast("string").alias("weight"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size * 5280 ELSE p_size END AS feet FROM part")
+def fn_parse_range(t):
+    unit = F.when(F.col("p_size") % 2 == 0, " miles (about)").otherwise(" feet")
+    return t.part.select("p_partkey", parsers.sortable_range(F.concat(F.col("p_size").cast("string"), unit)).alias("feet"))
+
+
+@query("SELECT p_partkey, '2d' || p_size AS dice, p_size % 7 AS bonus FROM part")
+def fn_parse_dice(t):
+    made = F.concat(F.lit("Melee Weapon Attack: +4 to hit, reach 5 ft., 9 (2d"), F.col("p_size").cast("string"), F.lit(" + "), (F.col("p_size") % 7).cast("string"), F.lit(") fire damage"))
+    a = parsers.attack(made)
+    return t.part.select("p_partkey", a["dice"].alias("dice"), a["dice_bonus"].alias("bonus"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
+def fn_json_text(t):
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+# Search
+
+_DOC_TOKENS = "regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{L}\\p{N}]+')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_DOC_TOKENS} AS tok FROM documents),
+ c AS (SELECT doc_id, len(tok) AS l, len(list_filter(tok, lambda x: x = 'license')) AS f1, len(list_filter(tok, lambda x: x = 'version')) AS f2 FROM d),
+ s AS (SELECT count(*) AS n, avg(l) AS a, count(*) FILTER (WHERE f1 > 0) AS n1, count(*) FILTER (WHERE f2 > 0) AS n2 FROM c),
+ w AS (SELECT *, ln((n - n1 + 0.5) / (n1 + 0.5)) AS i1, ln((n - n2 + 0.5) / (n2 + 0.5)) AS i2 FROM c, s)
+ SELECT doc_id, round(-((CASE WHEN i1 <= 0 THEN 1e-6 ELSE i1 END) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / a)) + (CASE WHEN i2 <= 0 THEN 1e-6 ELSE i2 END) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM w WHERE f1 > 0 AND f2 > 0""")
+def srch_bm25(t):
+    return search.bm25(t.documents.select("doc_id", "text"), ["license", "version"], {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_WEIGHTS = """tf AS (SELECT p_partkey, term, count(*) AS tf FROM (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '\\w\\w+')) AS term FROM part) GROUP BY ALL),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM part),
+ raw AS (SELECT p_partkey, term, tf * (ln((1 + n) / (1 + df)) + 1) AS r, ln((1 + n) / (1 + df)) + 1 AS idf FROM tf JOIN df USING (term), n),
+ w AS (SELECT p_partkey, term, r / sqrt(sum(r * r) OVER (PARTITION BY p_partkey)) AS weight, idf FROM raw)"""
+
+
+@query(f"""WITH {_WEIGHTS}, top AS (SELECT p_name || ' ' || p_type AS q FROM part ORDER BY p_partkey LIMIT 1),
+ qt AS (SELECT term, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower(q), '\\w\\w+')) AS term FROM top) GROUP BY term),
+ qw AS (SELECT term, c * any_value(idf) AS v FROM qt JOIN w USING (term) GROUP BY term, c),
+ qn AS (SELECT term, v / sqrt(sum(v * v) OVER ()) AS v FROM qw)
+ SELECT p_partkey, round(sum(weight * v), 6) AS score FROM w JOIN qn USING (term) GROUP BY p_partkey HAVING sum(weight * v) > 0.05""")
+def srch_tfidf(t):
+    weights = search.term_weights(t.part, "p_partkey", F.concat_ws(" ", "p_name", "p_type"))
+    top = t.part.orderBy("p_partkey").select(F.concat_ws(" ", "p_name", "p_type").alias("q")).first()
+    return search.tfidf_scores(weights, "p_partkey", top.q).select("p_partkey", F.round("score", 6).alias("score"))
+
+
+@query()
+def srch_fuzzy(t):
+    return search.fuzzy_names(t.part, "p_name", "geer")
+
+
+@query("SELECT doc_id, regexp_replace(text, '\\b(license|version)\\b', '<span class=\"highlighted\">\\1</span>', 'gi') AS marked FROM documents WHERE regexp_matches(text, '\\b(license|version)\\b', 'i')")
+def srch_highlight(t):
+    return t.documents.where(F.col("text").rlike(r"(?i)\b(license|version)\b")).select("doc_id", text.highlighted(F.col("text"), ["license", "version"]).alias("marked"))
+
+
+@query()
+def srch_snippet(t):
+    return t.documents.where(F.array_contains(search.tokens(F.col("text")), "license")).select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
+
+
+@query()
+def srch_merged(t):
+    d = t.documents.select(F.col("doc_id").cast("string").alias("object_pk"), F.coalesce(F.substring("text", 1, 40), F.lit("")).alias("object_name"), F.col("lang").alias("object_model"), F.col("source").alias("document_pk"), F.lit("v2").alias("schema_version"), "text")
+    weights = search.term_weights(d, "object_pk", F.concat_ws(" ", "object_name", "text"))
+    return search.search(search.Corpus(d, weights), search.SearchRequest("license version", vector=True))
+
+
+# Linking, quality, conversion
+
+
+@query("SELECT doc_id AS source_key, n_nationkey AS reference_key, n_name AS anchor FROM documents, nation WHERE regexp_matches(text, '\\b' || n_name || '\\b', 'i')")
+def xref_names(t):
+    sources = t.documents.select(F.lit("document").alias("type"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("desc"))
+    refs = t.nation.select(F.lit("nation").alias("type"), F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("name"))
+    found = linking.links(sources, refs)
+    return found.select(F.col("source_key").cast("long").alias("source_key"), F.col("reference_key").cast("int").alias("reference_key"), "anchor")
+
+
+@query("""SELECT item_id AS reference_key, doc_id AS source_key FROM (SELECT min(item_id) AS item_id, name FROM (SELECT item_id, regexp_extract(text, '^\\W*(\\w+ \\w+ \\w+)', 1) AS name FROM benchmark) WHERE name <> '' GROUP BY name) b,
+ (SELECT doc_id, text FROM documents WHERE NOT contains(text, '|') AND NOT contains(text, '**') AND NOT contains(text, '__') AND NOT contains(text, '#')) d
+ WHERE contains(lower(d.text), lower(name)) AND regexp_matches(d.text, '(^|[^\\p{L}\\p{M}\\p{N}_])' || name || '($|[^\\p{L}\\p{M}\\p{N}_])', 'i')""")
+def xref_passages(t):
+    """Which documents name the first three words of a benchmark item. Documents with markup are left to the rows-only check."""
+    plain = t.documents.where(~F.col("text").contains("|") & ~F.col("text").contains("**") & ~F.col("text").contains("__") & ~F.col("text").contains("#"))
+    sources = plain.select(F.lit("document").alias("type"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("desc"))
+    name = F.regexp_extract("text", r"^\W*(\w+ \w+ \w+)", 1)
+    refs = t.benchmark.select(F.lit("item").alias("type"), F.col("item_id").cast("string").alias("key"), name.alias("name")).where("name <> ''").groupBy("type", "name").agg(F.min(F.col("key").cast("long")).cast("string").alias("key"))
+    found = linking.links(sources, refs)
+    return found.select(F.col("reference_key").cast("long").alias("reference_key"), F.col("source_key").cast("long").alias("source_key"))
+
+
+@query()
+def xref_report(t):
+    sources = t.documents.select(F.lit("document").alias("type"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("desc"))
+    refs = t.benchmark.select(F.lit("item").alias("type"), F.col("item_id").cast("string").alias("key"), F.regexp_extract("text", r"^\W*(\w+ \w+)", 1).alias("name")).where("name <> ''")
+    return linking.report(linking.links(sources, refs), "reference_key", "source_key")
+
+
+@query("SELECT 'labels' AS \"table\", doc_id::VARCHAR AS key, 'doc_id' AS \"column\", doc_id::VARCHAR AS value FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def dq_fk(t):
+    return quality.missing_parents(t.labels, "doc_id", t.documents.where("lang = 'en'"), "doc_id", "labels")
+
+
+@query("SELECT o_orderkey::VARCHAR AS key, 'o_orderstatus' AS \"column\", o_orderstatus AS value FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
+def dq_enum(t):
+    return quality.outside_domain(t.orders, "o_orderkey", {"o_orderstatus": ["O", "F"]})
+
+
+@query("SELECT p_partkey::VARCHAR AS key, 'p_size' AS \"column\", p_size::DOUBLE AS value FROM part WHERE p_size NOT BETWEEN 5 AND 45 UNION ALL SELECT p_partkey::VARCHAR, 'p_retailprice', p_retailprice FROM part WHERE p_retailprice NOT BETWEEN 950 AND 2000")
+def dq_bounds(t):
+    return quality.outside_bounds(t.part, "p_partkey", {"p_size": (5, 45), "p_retailprice": (950, 2000)})
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def dq_duplicate_key(t):
+    return aggregates.duplicates(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT s_suppkey, s_name, 'Supplier_' || s_suppkey AS expected_key FROM supplier WHERE s_name <> 'Supplier_' || s_suppkey")
+def dq_expected_key(t):
+    return quality.keys_other_than(t.supplier.select("s_suppkey", "s_name"), "s_name", F.concat(F.lit("Supplier_"), F.col("s_suppkey").cast("string")))
+
+
+@query("""SELECT doc_id, (i - 1)::INT AS position, trim(part, ' ') AS title FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE NOT contains(text, '#')))
+ WHERE i > 1""")
+def etl_split_sections(t):
+    """Every line but the first of documents without a # as the heading of a section."""
+    marked = t.documents.where(~F.col("text").contains("#")).withColumn("body", F.replace("text", F.lit("\n"), F.lit("\n## ")))
+    return texts.sections(marked.select("doc_id", "body"), "body", 2, ["doc_id"]).select("doc_id", "position", "title")
+
+
+@query("SELECT p_partkey, type, value FROM (SELECT p_partkey, 'brand' AS type, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part UNION ALL SELECT p_partkey, 'kind', p_type FROM part) WHERE value <> ''")
+def etl_wide_to_long(t):
+    return texts.wide_to_long(t.part, "p_partkey", {"p_brand": "brand", "p_size": "size", "p_type": "kind"}, value="value")
