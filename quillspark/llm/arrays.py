@@ -1,6 +1,6 @@
 """Texts of an Arrow batch as flat numpy arrays: words, hashes and shingles without a Python object per word."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,11 +75,19 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h ^ size.astype(np.uint64))
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of `size` lower-cased words, by row and hash. A row with fewer words has its whole sequence as one shingle; a row without words has none."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word, lower-cased."""
     data = _LOWER[data]
     start, end, row = words(data, offsets)
-    h = span_hashes(data, start, end)
+    return row, span_hashes(data, start, end)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int, weigh: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """(row, hash) of the distinct shingles of `size` lower-cased words, by row and hash. A row with fewer words has its whole sequence as one shingle; a row without words has none.
+
+    weigh: gives whole numbers for word hashes; then the sum over each shingle's words comes third.
+    """
+    row, h = word_hashes(data, offsets)
     n = np.bincount(row, minlength=len(offsets) - 1) if len(row) else np.zeros(len(offsets) - 1, int)
     take = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :]) if len(row) >= size else np.zeros(0, int)
     out = np.full(len(take), size, np.uint64)
@@ -96,7 +104,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     rows, out = rows[order], out[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (out[1:] != out[:-1])
-    return rows[new], out[new]
+    if weigh is None:
+        return rows[new], out[new]
+    each = weigh(h)
+    weight = np.concatenate([sum((each[take + k] for k in range(size)), np.zeros(len(take), np.int64)), np.zeros(len(short), np.int64)])
+    return rows[new], out[new], weight[order][new]
 
 
 def starts(rows: np.ndarray, count: int) -> np.ndarray:

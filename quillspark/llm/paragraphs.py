@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.arrays import mix, pieces, shingles, starts, utf8, words
 from quillspark.llm.storage import Stash
-from quillspark.llm.text_links import set_marks, shared_keys, text_links
+from quillspark.llm.text_links import set_marks, text_links
 
 MISS = 1e-3  #: chance that a pair at the threshold shares no band
 MIN_WORDS = 40  #: of a paragraph that counts as a passage
@@ -82,14 +82,17 @@ def repeated_passages(docs: DataFrame, size: int = 5, threshold: tuple[int, int]
     rows = 3
     found = stash.put(passages(table, size, min_words, tuned_bands(num / den, miss, rows), rows))
     items = stash.put(found.groupBy("item").agg(F.min(F.struct("doc_id", "para")).alias("at"), F.count("*").alias("copies")))
-    entries = found.join(items, (found.item == items.item) & (found.doc_id == items["at.doc_id"]) & (found.para == items["at.para"]), "left_semi")
-    entries = stash.put(entries.select("item", F.explode("keys").alias("key")).distinct())
-    members = shared_keys(entries, stash)
+    one = found.select("doc_id", "para", F.col("item").alias("of"), "keys")
+    chosen = items.join(one, (F.col("of") == F.col("item")) & (F.col("doc_id") == F.col("at.doc_id")) & (F.col("para") == F.col("at.para")))
+    entries = stash.put(chosen.select("item", F.explode("keys").alias("key")))
+    first = entries.groupBy("key").agg(F.min("item").alias("b"), F.count("*").alias("many")).where("many > 1").select("key", "b")
+    met = stash.put(entries.join(first, "key").where("item <> b").select(F.col("item").alias("a"), "b").distinct())
     stash.drop(entries)
-    wanted = members.select("item").distinct().join(items, "item").select("item", "at.*")
-    texts = table.join(wanted, "doc_id").select("item", F.element_at(F.split("text", "\n"), (F.col("para") + 1).cast("int")).alias("text"))
-    roots = text_links(members, texts, size, num, den, stash)
-    stash.drop(members)
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        return table.join(stash.small(wanted.join(items, "item").select("item", "at.*")), "doc_id").select("item", F.element_at(F.split("text", "\n"), (F.col("para") + 1).cast("int")).alias("text"))
+
+    roots = text_links(met, texts, size, num, den, stash)
     placed = items.join(roots, items.item == roots.node, "left").select("item", "at", "copies", F.coalesce("root", "item").alias("cluster_id"))
     clusters = placed.groupBy("cluster_id").agg(F.min("at").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
     of_item = placed.select("item", "cluster_id").join(clusters, "cluster_id").select("item", "cluster_id", "first")
@@ -106,6 +109,6 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     gone = repeated_passages(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set("para").alias("gone"))
     numbered = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("gone", i.cast("long")), x)), lambda x: x.isNotNull())
     left = F.array_join(numbered, "\n")
-    marked = docs.join(gone, "doc_id", "left")
+    marked = docs.join(Stash(docs.sparkSession).small(gone, 256), "doc_id", "left")
     cut = marked.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
     return cut.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)

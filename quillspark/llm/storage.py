@@ -4,6 +4,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_BYTES = 16 << 20  #: of a table of numbers that is broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +37,11 @@ class Stash:
         self._keep = [*getattr(self, "_keep", []), out]
         return out
 
+    def small(self, df: DataFrame, row_bytes: int = 0) -> DataFrame:
+        """The table, written; marked for broadcast if its rows (of numbers, or of about row_bytes) are few enough, else left to a shuffled join."""
+        kept = self.put(df)
+        return F.broadcast(kept) if kept.count() * (row_bytes or 8 * len(df.columns)) <= SMALL_BYTES else kept
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if path := self.paths.pop(id(df), None):

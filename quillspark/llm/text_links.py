@@ -1,12 +1,13 @@
-"""Links between texts that share a key: every group of texts with one key goes through a signature tree.
+"""Links between texts, from pairs that may be linked to those that are.
 
+The candidate pairs' components are the groups; a link never leaves its group, so each text is sent to one place only.
 Groups of any size are handled: small ones are packed into tasks by their bytes, large ones are cut into blocks. A
 first round links the members of each block and the group's first members, the pivots. A second round compares the
 members outside a large group's main component with all of its members, so that no link is lost; members of one
 component aren't compared again.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.arrays import mix, pieces, shingles, starts, sums, utf8
 from quillspark.llm.components import components
 from quillspark.llm.groups import runs
-from quillspark.llm.signature_tree import TokenSets, verified_links
+from quillspark.llm.signature_tree import Signatures, TokenSets, verified_links
 from quillspark.llm.storage import Stash
 
 TASK_BYTES = 12 << 20  #: of texts that one task holds, if no single group has more
@@ -45,6 +46,7 @@ def _links(size: int, num: int, den: int, table: pa.Table) -> pa.Table:
         tokens.append(t)
         at += part.num_rows
     sets = TokenSets(np.concatenate(rows), np.concatenate(tokens), len(ids))
+    signatures = Signatures(sets.size, sets.bitmaps(), num, den)
     root = np.asarray(table.column("root"))
     label = np.arange(len(ids))
     _, label[place] = np.unique(root, return_inverse=True)
@@ -56,19 +58,20 @@ def _links(size: int, num: int, den: int, table: pa.Table) -> pa.Table:
         sides = [np.unique(place[here[side[here] == s]]) for s in (0, 1, 2)]
         sides = [x[keep[x]] for x in sides]
         if len(sides[0]) > 1:
-            out += verified_links(sets, sides[0], None, label, num, den)
+            out += verified_links(sets, signatures, sides[0], None, label)
         if len(sides[1]) and len(sides[2]):
-            out += verified_links(sets, sides[1], sides[2], label, num, den)
+            out += verified_links(sets, signatures, sides[1], sides[2], label)
     a, b = (ids[[p[k] for p in out]] if out else np.zeros(0, np.int64) for k in (0, 1))
     return pa.table({"a": a, "b": b})
 
 
-def text_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: int, stash: Stash) -> DataFrame:
+def text_links(candidates: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, num: int, den: int, stash: Stash) -> DataFrame:
     """(node, root) of all items that are linked: Jaccard similarity of their shingles of `size` words >= num / den.
 
-    members: (key, item), distinct; items that are to be linked share a key. texts: (item, text), at least one row for
-    each item with the text whose set mark it is.
+    candidates: (a, b), pairs of items that have all that are to be linked, or as many as keep these connected. texts:
+    gives (item, text) of a table with a column `item`, at least one row for each with the text whose set mark it is.
     """
+    members = stash.put(components(candidates, stash).select(F.col("root").alias("key"), F.col("node").alias("item")))
     by_key = Window.partitionBy("key").orderBy("item")
     groups = members.groupBy("key").agg(F.count("*").alias("many"))
     large = groups.where(F.col("many") > BLOCK)
@@ -79,7 +82,7 @@ def text_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: i
     placed = members.join(groups, "key").select("key", "item", F.when(F.col("many") > BLOCK, F.pmod(F.xxhash64("item", "key"), blocks)).otherwise(F.lit(0).cast("long")).alias("block"), "many")
     spread = first.select("key", "item", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "many")
     round_one = placed.unionByName(spread).distinct()
-    needed = stash.put(texts.join(members.select("item").distinct(), "item"))
+    needed = stash.put(texts(members.select("item")))
     total = round_one.join(needed.groupBy("item").agg(F.max(F.octet_length("text")).alias("bytes")), "item").agg(F.sum("bytes")).first()[0] or 0
     tasks = max(1, total // TASK_BYTES)
     task = F.when(F.col("many") > BLOCK, F.xxhash64("key", "block")).otherwise(F.pmod(F.xxhash64("key"), F.lit(tasks)))
@@ -99,7 +102,7 @@ def text_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: i
         work = one.unionByName(two, allowMissingColumns=True).withColumn("task", F.xxhash64("key", "i", "j")).select("key", "item", "root", "side", "task")
         more = stash.put(_run(work, needed, size, num, den))
         roots = stash.put(components(edges.unionByName(more), stash))
-    stash.drop(needed, known)
+    stash.drop(needed, known, members)
     return roots
 
 
@@ -110,7 +113,6 @@ def _run(work: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> Da
 
 def shared_keys(entries: DataFrame, stash: Stash) -> DataFrame:
     """(key, item) of the keys that several items have; of keys with the same items one is kept. entries: (key, item), distinct."""
-    mark = F.xxhash64("item")
-    sums_ = entries.groupBy("key").agg(F.count("*").alias("many"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("m1"), F.bit_xor(mark).alias("m2")).where("many > 1")
-    one = sums_.groupBy("many", "m1", "m2").agg(F.min("key").alias("key"))
-    return stash.put(entries.join(one.select("key"), "key"))
+    groups = entries.groupBy("key").agg(F.count("*").alias("many"), F.sum(F.pmod(F.xxhash64("item"), F.lit(1 << 31))).alias("mark")).where("many > 1")
+    one = groups.groupBy("many", "mark").agg(F.min("key").alias("key"))
+    return stash.put(entries.join(one, "key").select("key", "item", "many"))
