@@ -64,7 +64,8 @@ def _keep(table: pa.Table) -> pa.Table:
     """The article's slots of one host, from its wrapper and what its pages have in each slot."""
     wrapper = table.column("wrapper")[0].as_py()
     zones = slot_zones(wrapper)
-    seen = {s: dict(chars=c, links=n, same=f == t and p > 2) for s, c, n, f, t, p in zip(*(table.column(x).to_pylist() for x in ("slot", "chars", "links", "low", "high", "pages")))}
+    often = max(10, max(table.column("pages").to_pylist()) // 2)  # a text of a few pages may be the same because they are copies
+    seen = {s: dict(chars=c, links=n, same=f == t and p >= often) for s, c, n, f, t, p in zip(*(table.column(x).to_pylist() for x in ("slot", "chars", "links", "low", "high", "pages")))}
     inside = [s for s in seen if zones[s] == 1]
     rest = [s for s in seen if zones[s] == 0]
     text = lambda group: sum(seen[s]["chars"] - seen[s]["links"] for s in group)

@@ -174,3 +174,12 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> tuple[DataFrame, Mixture]:
     taken = mixture.copies(rows, F.col("doc_id"), F.array("source"))
     taken = taken.join(F.broadcast(of) if mixture.few else of, F.col("source").eqNullSafe(F.col("name")))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source"), mixture
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of the documents that the mixture takes, each as often as it does. Columns stay as they are."""
+    spark = docs.sparkSession
+    rows = Stash(spark).put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    mixture = plan_mixture(rows, "doc_id", "size", F.array("source"), rotating_weights, seed=seed)
+    taken = mixture.copies(docs, F.col("doc_id").cast("long"), F.array(F.col("source").cast("string")), "__copies")
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.when(word_count(F.col("text")) > 0, F.col("__copies")).otherwise(0).cast("int")))).select(docs.columns)
