@@ -73,3 +73,32 @@ def test_checks(catalogue):
 def test_corpus(catalogue):
     rows = {r.object_pk: r.text for r in catalogue.corpus().collect()}
     assert "Bites hard" in rows["srd_goblin"] and "Heals" in rows["bard"]
+
+
+def test_enumerations(spark, catalogue):
+    from quillspark.plans import enums
+
+    assert {(r.key, r.column, r.value) for r in enums.outside(catalogue.tables).collect()} == set()
+    assert enums.catalogue_of(spark).where("entity = 'spell' AND column = 'casting_time'").count() == 16
+
+
+def test_urls(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import urls
+
+    v = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert v(urls.object_url(F.lit("CharacterClass"), F.lit("bard"))) == "/v2/classes/bard/"
+    assert v(urls.object_url(F.lit("ConditionDescription"), F.lit("d"), F.lit("Condition"), F.lit("blind"))) == "/v2/conditions/blind/"
+    assert v(urls.search_route(F.lit("v1"), F.lit("Monster"))) == "v1/monsters/"
+    assert v(urls.newer_path(F.lit("creatures"), F.lit("doc"), F.lit("Big Rat"), F.lit(True))) == "/v2/creatures/doc_big-rat/"
+
+
+def test_export(spark, catalogue, tmp_path):
+    from quillspark.sources import exports
+
+    items = exports.scoped(catalogue.classfeatureitem, [(catalogue.classfeature, "parent"), (catalogue.characterclass, "parent")])
+    assert {r.document for r in items.collect()} == {"srd"}
+    exports.export({"weapon": catalogue.weapon, "condition": catalogue.condition, "feat": catalogue.feat}, catalogue.document, str(tmp_path / "out"))
+    again = spark.read.json(str(tmp_path / "out"))
+    assert {(r.publisher, r.document, r.model, r.pk) for r in again.collect()} == {("pub", "srd", "weapon", "club"), ("pub", "srd", "condition", "blind")}
