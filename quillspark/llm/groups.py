@@ -1,35 +1,12 @@
-"""Grouped work on Arrow batches whose groups may be of any size."""
+"""Runs of equal keys."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
 
-class Forest:
-    """Union-find with path halving over positions."""
-
-    def __init__(self, count: int):
-        self.up = np.arange(count)
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
 def runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     """Start and end of each run of equal keys."""
     cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1 if len(keys) else np.zeros(0, int)
     ends = [*cut.tolist(), len(keys)] if len(keys) else []
     return zip([0, *cut.tolist()], ends)
-
-
-Pairs = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]

@@ -101,6 +101,9 @@ class MultiIndex:
 
 def _rerank(k: int, queries: pa.Table, entries: pa.Table) -> pa.Table:
     """The k best entries of this block for each query, by exact cosine, ties to the smaller id."""
+    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    if not queries.num_rows or not entries.num_rows:
+        return kinds.empty_table()
     entries = entries.sort_by([("cell", "ascending"), ("vec_id", "ascending")])
     cell, ids = np.asarray(entries.column("cell")), np.asarray(entries.column("vec_id"))
     x, names = unit(matrix(entries.column("vector").combine_chunks())), np.asarray(queries.column("query_id"))
@@ -123,7 +126,7 @@ def _rerank(k: int, queries: pa.Table, entries: pa.Table) -> pa.Table:
             order = np.lexsort((ids[near], -exact))
             order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
             out.append((np.full(len(order), names[i]), ids[near][order], exact[order]))
-    return pa.table({n: np.concatenate([o[c] for o in out]) if out else [] for c, n in enumerate(("query_id", "vec_id", "score"))})
+    return pa.table([np.concatenate([o[c] for o in out]) for c in range(3)], schema=kinds)
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -7,7 +7,7 @@ members outside a large group's main component with all of its members, so that
 component aren't compared again.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,11 @@ def _links(size: int, num: int, den: int, table: pa.Table) -> pa.Table:
     """Verified links of the groups in one task. side 0: members of a block; 1 and 2: the two sides of a comparison."""
     item, text = table.column("item"), table.column("text").combine_chunks()
     ids, first, place = np.unique(np.asarray(item), return_index=True, return_inverse=True)
-    texts, keep = text.take(pa.array(first)), np.zeros(len(ids), bool)
     rows, tokens = [], []
-    batch = pa.record_batch({"text": texts})
+    batch = pa.record_batch({"text": text.take(pa.array(first))})
     at = 0
     for part in pieces(batch, "text"):
         r, t = shingles(*utf8(part.column("text")), size)
-        keep[at : at + part.num_rows] = set_marks(r, t, part.num_rows) == ids[at : at + part.num_rows]
         rows.append(r + at)
         tokens.append(t)
         at += part.num_rows
@@ -56,7 +54,6 @@ def _links(size: int, num: int, den: int, table: pa.Table) -> pa.Table:
     for lo, hi in runs(key[order]):
         here = order[lo:hi]
         sides = [np.unique(place[here[side[here] == s]]) for s in (0, 1, 2)]
-        sides = [x[keep[x]] for x in sides]
         if len(sides[0]) > 1:
             out += verified_links(sets, signatures, sides[0], None, label)
         if len(sides[1]) and len(sides[2]):
@@ -65,6 +62,18 @@ def _links(size: int, num: int, den: int, table: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
+def _own_texts(rows: DataFrame, size: int) -> DataFrame:
+    """The rows (item, text) whose text has the item's mark: another row may have the same id and another text."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                marks = set_marks(*shingles(*utf8(part.column("text")), size), part.num_rows)
+                yield part.filter(pa.array(marks == np.asarray(part.column("item"))))
+
+    return rows.mapInArrow(check, "item long, text string")
+
+
 def text_links(candidates: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, num: int, den: int, stash: Stash) -> DataFrame:
     """(node, root) of all items that are linked: Jaccard similarity of their shingles of `size` words >= num / den.
 
@@ -82,7 +91,7 @@ def text_links(candidates: DataFrame, texts: Callable[[DataFrame], DataFrame], s
     placed = members.join(groups, "key").select("key", "item", F.when(F.col("many") > BLOCK, F.pmod(F.xxhash64("item", "key"), blocks)).otherwise(F.lit(0).cast("long")).alias("block"), "many")
     spread = first.select("key", "item", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "many")
     round_one = placed.unionByName(spread).distinct()
-    needed = stash.put(texts(members.select("item")))
+    needed = stash.put(_own_texts(texts(members.select("item")), size))
     total = round_one.join(needed.groupBy("item").agg(F.max(F.octet_length("text")).alias("bytes")), "item").agg(F.sum("bytes")).first()[0] or 0
     tasks = max(1, total // TASK_BYTES)
     task = F.when(F.col("many") > BLOCK, F.xxhash64("key", "block")).otherwise(F.pmod(F.xxhash64("key"), F.lit(tasks)))

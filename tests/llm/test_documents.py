@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import mixing, packing, paragraphs, shingle_join, text_links, tokens, toxicity
@@ -240,6 +239,13 @@ def test_shingle_join(spark, size, num):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter((i, len(sets[i]), expected[i]) for i in [*sets, 3]) + Counter([(None, 1, None)])
 
 
+def test_rows_of_one_id_with_unlike_texts(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, "something else"), (1, long), (1, "a third text here"), (2, long.replace("w50", "x")), (3, "a third text here")]
+    found = shingle_join.join_shingles(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter([(1, 1)] * 3 + [(2, 1), (3, 1)])
+
+
 def test_shingle_join_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(shingle_join, "BLOCK", 7)
     monkeypatch.setattr(text_links, "BLOCK", 5)
