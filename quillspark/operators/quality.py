@@ -36,3 +36,8 @@ def rekeyed(df: DataFrame, key: str, new: Column, children: dict[str, tuple[Data
     names = df.select(F.col(key).alias("__old"), new.alias("__new"))
     moved = {n: c.join(names, c[ref] == F.col("__old"), "left").withColumn(ref, F.coalesce("__new", ref)).drop("__old", "__new") for n, (c, ref) in children.items()}
     return df.withColumn(key, new), moved
+
+
+def without_children(parents: DataFrame, children: DataFrame, key: str, parent: str) -> DataFrame:
+    """Rows that should have a child row and have none."""
+    return parents.join(children.select(F.col(parent).alias("__parent")), F.col(key) == F.col("__parent"), "left_anti")

@@ -101,3 +101,16 @@ def applied(existing: DataFrame, new: DataFrame, documents: list[str] | None = N
     """The edges after a run: new ones replace those of the same key (and all of the given documents)."""
     kept = existing.where(~F.col("document").isin(*documents)) if documents else existing
     return kept.join(new.select("key"), "key", "left_anti").unionByName(keep_first(new, ["key"], [F.asc("reference_key")]), allowMissingColumns=True)
+
+
+def deleted(edges: DataFrame, documents: list[str] = (), source_types: list[str] = (), keys: DataFrame | None = None) -> DataFrame:
+    """The edges without those of the given documents, of the given source types and of the listed source or reference keys."""
+    left = edges
+    if documents:
+        left = left.where(~F.col("document").isin(*documents))
+    if source_types:
+        left = left.where(~F.col("source_type").isin(*source_types))
+    if keys is not None:
+        for column in ("source_key", "reference_key"):
+            left = left.join(keys.select(F.col("key").alias("__key")), F.col(column) == F.col("__key"), "left_anti")
+    return left
