@@ -32,7 +32,6 @@ def page_blocks(page: str) -> tuple[list[str], list[str], list[int]]:
     links: list[int] = []
     now: list[str] = []
     in_link, link_chars, at, size, in_p = 0, 0, 0, len(page), False
-    hidden: list[str] = []
 
     def close() -> None:
         nonlocal link_chars
@@ -49,32 +48,14 @@ def page_blocks(page: str) -> tuple[list[str], list[str], list[int]]:
         at = m.end()
         tag = m[2]
         if not tag:
-            if page[m.start()] != "<" or m.end() - m.start() == 1:
-                if not hidden:
-                    now.append(m[0])
-                    if in_link:
-                        link_chars += len(m[0])
+            if page[m.start()] != "<" or m.end() - m.start() == 1:  # text, not a comment or the like
+                now.append(m[0])
+                link_chars += len(m[0]) if in_link else 0
             continue
         tag, end = tag.lower(), bool(m[1])
-        if hidden:
-            if end and tag == hidden[-1]:
-                hidden.pop()
-            elif not end and tag in HIDDEN and tag == hidden[-1] and not m[3].endswith("/"):
-                hidden.append(tag)
-            elif tag == "body" and "head" in hidden:
-                hidden.clear()
-            else:
-                continue
-            if end or tag != "body":
-                if not end and tag in RAW:
-                    at = _raw_end(page, at, tag)
-                continue
         if tag in HIDDEN:
             if not end and not m[3].endswith("/"):
-                if tag in RAW:
-                    at = _raw_end(page, at, tag)
-                else:
-                    hidden.append(tag)
+                at = _hidden_end(page, at, tag)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -97,9 +78,13 @@ def page_blocks(page: str) -> tuple[list[str], list[str], list[int]]:
     return items + ["/p"] * in_p, texts, links
 
 
-def _raw_end(page: str, at: int, tag: str) -> int:
+def _hidden_end(page: str, at: int, tag: str) -> int:
+    """Where an element ends whose content isn't shown. Without an end tag: a head ends at the body, a script and the like at the page's end, anything else at once."""
     found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-    return found.end() if found else len(page)
+    if found:
+        return found.end()
+    body = re.compile("<body", re.I).search(page, at) if tag == "head" else None
+    return body.start() if body else len(page) if tag in RAW else at
 
 
 class Item:
@@ -296,7 +281,7 @@ def slot_zones(expression: str) -> list[int]:
             continue
         if word == "T":
             inner = max((k for k, x in enumerate(stack) if x.rstrip("!*") in INSIDE or x.endswith("*")), default=-1)
-            bad = any(x.rstrip("!*") in OUTSIDE or x.endswith("!") or (x == "header" and k > -1 and inner < 0) for k, x in enumerate(stack))
+            bad = any(x.rstrip("!*") in OUTSIDE or x.endswith("!") or (x == "header" and inner < 0) for x in stack)
             out.append(-1 if bad else int(inner >= 0))
         elif word[0] == "/":
             names = [x.rstrip("!*") for x in stack]
@@ -306,6 +291,4 @@ def slot_zones(expression: str) -> list[int]:
             if word == "p" and stack and stack[-1] == "p":
                 stack.pop()
             stack.append(word)
-        elif word.rstrip("!*") == "input":
-            continue
     return out
