@@ -20,7 +20,7 @@ from quillspark.llm.groups import runs
 from quillspark.llm.signature_tree import Signatures, TokenSets, verified_links
 from quillspark.llm.storage import Stash
 
-TASK_BYTES = 12 << 20  #: of texts that one task holds, if no single group has more
+TASK_BYTES = 4 << 20  #: of texts that one task holds, if no single group has more
 BLOCK = 1_000  #: members of one group in a block
 PIVOTS = 4
 
