@@ -45,11 +45,11 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key >> BITS, key & ((1 << BITS) - 1), n
 
 
-def mixture(p: np.ndarray, n: np.ndarray, at: np.ndarray, row: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mixture(p: np.ndarray, n: np.ndarray, at: np.ndarray, row: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(proportions, log likelihood) of each row. p: likelihood of each entry's trigram by language; at: where rows with entries begin."""
     share = allowed / allowed.sum(1, keepdims=True)
     total = np.add.reduceat(n, at)[:, None]
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         joint = p * share[row]
         joint *= (n / joint.sum(1))[:, None]
         share = np.add.reduceat(joint, at, axis=0) / total
@@ -68,7 +68,7 @@ def language_sets(row: np.ndarray, gram: np.ndarray, n: np.ndarray, likelihood:
     for k in range(1, min(MOST, p.shape[1]) + 1):
         allowed = np.zeros_like(share)
         np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-        own_share, fit = mixture(p, n, at, own, allowed)
+        own_share, fit = mixture(p, n, at, own, allowed, ROUNDS if k > 1 else 0)  # one language has all of the text
         better = fit - price * k > best_value
         best = np.where(better[:, None], own_share, best)
         best_value, kept = np.where(better, fit - price * k, best_value), np.where(better, k, kept)
