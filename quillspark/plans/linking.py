@@ -70,22 +70,24 @@ def links(sources: DataFrame, references: DataFrame, ambiguous: list[str] = (),
 
     sources: (type, key, desc[, parent]); references: (type, key, name). A text links to an entry that it names as
     whole words at a place that takes links; it links neither to itself nor to its parent, and once to each name.
-    Candidates come from an equi join of the texts' words with the names' first words; the regular expression only
-    sees those.
+    Candidates come from an equi join of the texts' words with the longest word of each name; only those that hold the
+    name at all are searched by regular expression.
     """
     refs = references.where((F.length(F.trim("name")) >= 2) & ~F.col("name").isin(*excluded_names, ""))
     texts = sources.where(F.coalesce(F.col("desc"), F.lit("")) != "")
     for part in excluded_key_parts:
         refs, texts = refs.where(~F.col("key").contains(part)), texts.where(~F.col("key").contains(part))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), 1)
-    refs = refs.select(F.col("type").alias("reference_type"), F.col("key").alias("reference_key"), F.col("name").alias("anchor"), F.get(words("name"), 0).alias("__word")).where(F.col("__word").isNotNull())
+    longest = F.array_max(F.transform(words("name"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    refs = refs.select(F.col("type").alias("reference_type"), F.col("key").alias("reference_key"), F.col("name").alias("anchor"), longest.alias("__word")).where(F.col("__word").isNotNull())
     parent = F.col("parent") if "parent" in sources.columns else F.lit(None).cast("string")
-    texts = texts.select(F.col("type").alias("source_type"), F.col("key").alias("source_key"), "desc", parent.alias("__parent"), masked(F.col("desc")).alias("__text"))
-    keyed = texts.select("*", F.explode(F.array_distinct(words("__text"))).alias("__word"))
-    pairs = keyed.join(refs, "__word").where((F.col("reference_key") != F.col("source_key")) | (F.col("reference_type") != F.col("source_type")))
-    pairs = pairs.where(~F.coalesce(F.col("reference_key") == F.col("__parent"), F.lit(False)))
-    at = positions(F.col("__text"), F.col("anchor"))
-    good = pairs.where(F.exists(at, lambda p: allowed(F.col("desc"), p, F.col("reference_type"), F.col("anchor"), list(ambiguous))))
+    texts = texts.select(F.col("type").alias("source_type"), F.col("key").alias("source_key"), "desc", parent.alias("__parent"))
+    pairs = texts.select("source_type", "source_key", "__parent", F.explode(F.array_distinct(words("desc"))).alias("__word")).join(refs, "__word").drop("__word")
+    pairs = pairs.where((F.col("reference_key") != F.col("source_key")) | (F.col("reference_type") != F.col("source_type")))
+    pairs = pairs.where(~F.coalesce(F.col("reference_key") == F.col("__parent"), F.lit(False))).drop("__parent")
+    named = pairs.join(texts.drop("__parent"), ["source_type", "source_key"]).where(F.lower("desc").contains(F.lower("anchor")))
+    at = positions(masked(F.col("desc")), F.col("anchor"))
+    good = named.where(F.exists(at, lambda p: allowed(F.col("desc"), p, F.col("reference_type"), F.col("anchor"), list(ambiguous))))
     named = good.withColumn("__name", F.lower("anchor")).select("source_type", "source_key", "reference_type", "reference_key", "anchor", "__name")
     once = keep_first(named, ["source_type", "source_key", "__name"], [F.asc("reference_type"), F.asc("reference_key"), F.asc("anchor")]).drop("__name")
     return once.withColumn("key", edge_key(F.col("source_key"), F.col("anchor"), F.col("reference_key")))

@@ -442,9 +442,10 @@ def xref_names(t):
     return found.select(F.col("source_key").cast("long").alias("source_key"), F.col("reference_key").cast("int").alias("reference_key"), "anchor")
 
 
-@query("""SELECT item_id AS reference_key, doc_id AS source_key FROM (SELECT min(item_id) AS item_id, name FROM (SELECT item_id, regexp_extract(text, '^\\W*(\\w+ \\w+ \\w+)', 1) AS name FROM benchmark) WHERE name <> '' GROUP BY name) b,
- (SELECT doc_id, text FROM documents WHERE NOT contains(text, '|') AND NOT contains(text, '**') AND NOT contains(text, '__') AND NOT contains(text, '#')) d
- WHERE contains(lower(d.text), lower(name)) AND regexp_matches(d.text, '(^|[^\\p{L}\\p{M}\\p{N}_])' || name || '($|[^\\p{L}\\p{M}\\p{N}_])', 'i')""")
+@query("""WITH b AS (SELECT min(item_id) AS item_id, name FROM (SELECT item_id, regexp_extract(text, '^\\W*(\\w+ \\w+ \\w+)', 1) AS name FROM benchmark) WHERE name <> '' GROUP BY name),
+ d AS (SELECT doc_id, text, lower(text) AS low FROM documents WHERE NOT contains(text, '|') AND NOT contains(text, '**') AND NOT contains(text, '__') AND NOT contains(text, '#')),
+ c AS MATERIALIZED (SELECT item_id, name, doc_id, text FROM b, d WHERE contains(low, lower(name)))
+ SELECT item_id AS reference_key, doc_id AS source_key FROM c WHERE regexp_matches(text, '(^|[^\\p{L}\\p{M}\\p{N}_])' || name || '($|[^\\p{L}\\p{M}\\p{N}_])', 'i')""")
 def xref_passages(t):
     """Which documents name the first three words of a benchmark item. Documents with markup are left to the rows-only check."""
     plain = t.documents.where(~F.col("text").contains("|") & ~F.col("text").contains("**") & ~F.col("text").contains("__") & ~F.col("text").contains("#"))
