@@ -2,7 +2,8 @@
 
 Paragraphs (lines) of enough words have MinHash signatures over their shingles. The bands are tuned for recall: with
 `rows` hashes in each of `bands` bands, a pair at the threshold t meets in no band with probability (1 - t^rows)^bands.
-Paragraphs that meet are verified by exact Jaccard similarity; of each cluster the first occurrence stays.
+Paragraphs that meet are verified by exact Jaccard similarity; of each cluster the first occurrence stays. Runs of over
+50 words that come again verbatim inside lines, or over several short ones, are found by `repeats`.
 """
 
 from collections.abc import Iterator
@@ -11,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quillspark.llm.arrays import mix, pieces, shingles, starts, utf8, words
+from quillspark.llm.repeats import removed_words, verbatim_repeats, without
 from quillspark.llm.storage import Stash
 from quillspark.llm.text_links import set_marks, text_links
 
@@ -101,14 +104,34 @@ def repeated_passages(docs: DataFrame, size: int = 5, threshold: tuple[int, int]
     return out.select("doc_id", "para", "n_words", "cluster_id", F.col("first.doc_id").alias("first_doc_id"), (~first).alias("removed"))
 
 
+def all_repeats(docs: DataFrame, **options) -> DataFrame:
+    """The rows of repeated_passages, and one for each run of over 50 words that comes again verbatim, inside a line or over several.
+
+    word is the run's first word, from 0 within the text, para the line where it stands; a whole line has no word.
+    """
+    runs = verbatim_repeats(docs).select("doc_id", "para", "n_words", F.xxhash64("first_doc_id", "first_mark", "first_word").alias("cluster_id"), "first_doc_id", "removed", "word")
+    return repeated_passages(docs, **options).withColumn("word", F.lit(None).cast("long")).unionByName(runs)
+
+
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The documents without the paragraphs that repeated_passages removes; n_chars follows. Documents of which nothing is left go.
+    """The documents without the lines that repeated_passages removes and the words that verbatim_repeats removes; n_chars follows. Documents of which nothing is left go.
 
-    Rows that repeat an id lose the same paragraphs.
+    Rows that repeat an id lose the same paragraphs, but each its own words.
     """
-    gone = repeated_passages(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set("para").alias("gone"))
-    numbered = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("gone", i.cast("long")), x)), lambda x: x.isNotNull())
-    left = F.array_join(numbered, "\n")
-    marked = docs.join(Stash(docs.sparkSession).small(gone, 256), "doc_id", "left")
-    cut = marked.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
-    return cut.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    stash = Stash(docs.sparkSession)
+    lines = repeated_passages(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set("para").alias("gone"))
+    spans = removed_words(verbatim_repeats(docs))
+    marked = docs.withColumn("__mark", F.xxhash64("text")).join(stash.small(lines, 256), "doc_id", "left")
+    marked = marked.join(stash.small(spans.withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__of"), 256), (F.col("doc_id") == F.col("__id")) & (F.col("__mark") == F.col("__of")), "left")
+    marked = marked.select(*docs.columns, "gone", F.transform("spans", lambda x: F.array(x["start"], x["end"])).alias("spans"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, gone, spans = (batch.column(c).to_pylist() for c in ("text", "gone", "spans"))
+            left = [without(t, g or (), s or ()) if t is not None and (g or s) else t for t, g, s in zip(text, gone, spans)]
+            columns = {c: pa.array(left, batch.column(c).type) if c == "text" else batch.column(c) for c in batch.schema.names if c != "spans"}
+            yield pa.record_batch(columns | {"gone": pa.array([bool(g or s) for g, s in zip(gone, spans)])})
+
+    schema = StructType([*docs.schema.fields, StructField("gone", BooleanType())])
+    left = marked.mapInArrow(cut, schema).where(~F.col("gone") | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.when(F.col("gone"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)

@@ -11,7 +11,7 @@ from quillspark.llm.language import document_language
 from quillspark.llm.mixing import mix_documents
 from quillspark.llm.nearest import nearest
 from quillspark.llm.packing import pack_documents
-from quillspark.llm.paragraphs import repeated_passages
+from quillspark.llm.paragraphs import all_repeats
 from quillspark.llm.shingle_join import join_shingles
 from quillspark.llm.tokens import token_counts
 from quillspark.llm.toxicity import document_toxicity
@@ -49,7 +49,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return all_repeats(table(spark, sf_dir, "documents"))
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

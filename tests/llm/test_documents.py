@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm import mixing, packing, paragraphs, shingle_join, text_links, tokens, toxicity
+from quillspark.llm import mixing, packing, paragraphs, repeats, shingle_join, text_links, tokens, toxicity
 from quillspark.llm.arrays import shingles, utf8
 from quillspark.llm.components import components
 from quillspark.llm.language import document_language
@@ -303,6 +303,48 @@ def test_passages_like_brute_force(spark):
     assert {(r.doc_id, r.para): r.removed for r in out} == {p: p != c for p, c in expected.items() if many[c] > 1}
 
 
+def test_passages_inside_lines_and_over_short_lines(spark):
+    rng = random.Random(21)
+    some = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(3000)) for _ in range(n)]
+    a, b, c = some(51), some(60), some(50)
+    pair, early = some(30), some(20)
+    one, two, three = (" ".join(some(70)) for _ in range(3))
+    short = lambda w: "\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))
+    rows = [(1, f"{one} {' '.join(a)} {two}"), (2, f"{three} {' '.join(a).upper()} end\nlast  line"), (3, short(b)), (4, f"head\n{short(b)}\ntail"), (5, " ".join(c + some(60))), (6, " ".join(some(60) + c)), (7, " ".join(early + pair)), (8, " ".join(early + pair + some(40))), (9, " ".join(["again"] * 200)), (None, " ".join(b))]
+    df = documents(spark, rows)
+    runs = {(r.doc_id, r.para, r.word, r.n_words, r.first_doc_id, r.removed) for r in paragraphs.all_repeats(df).where("word IS NOT NULL AND doc_id < 9").collect()}
+    assert runs == {(1, 0, 70, 51, 1, False), (2, 0, 70, 51, 1, True), (3, 0, 0, 60, 3, False), (4, 1, 1, 60, 3, True)}
+    left = {r.doc_id: (r.text, r.n_chars) for r in paragraphs.without_repeats(df).collect()}
+    expected = {i: (t, None) for i, t in rows} | {2: (f"{three} end\nlast  line", len(three) + 15), 4: ("head\ntail", 9), 9: (" ".join(["again"] * 51), 51 * 6 - 1)}
+    assert left == expected
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_verbatim_repeats_like_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(30, 90))] for _ in range(12)] + [["x"] * 70, ["p", "q", "r"] * 30]
+    rows = []
+    for i in range(80):
+        w = []
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(pool)
+            lo = rng.randrange(len(p) // 2)
+            w += p[lo : rng.randint(lo, len(p))] + [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 5))]
+        rows.append((i, "".join(x + rng.choice([" ", "\n", "  "]) for x in w)))
+    places = defaultdict(list)
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 50):
+            places[tuple(w[k : k + 51])].append((i, k))
+    expected = {p: min(x) for x in places.values() if len(x) > 1 for p in x}
+    found = {}
+    for r in repeats.verbatim_repeats(documents(spark, rows)).collect():
+        for k in range(r.n_words - 50):
+            assert (r.doc_id, r.word + k) not in found and r.removed == ((r.doc_id, r.word) != (r.first_doc_id, r.first_word))
+            found[r.doc_id, r.word + k] = r.first_doc_id, r.first_word + k
+    assert found == expected and len(expected) > 100
+
+
 # Classifiers
 
 
