@@ -262,6 +262,24 @@ def test_shingle_join_of_large_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == expected
 
 
+def test_keys_of_other_items_with_equal_sums_stay(spark):
+    from pyspark.sql import functions as F
+
+    mark = {r.id: r.m for r in spark.range(3000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("m")).collect()}
+    seen, pairs = {}, []
+    for a in mark:
+        for b in range(a):
+            other = seen.setdefault(mark[a] + mark[b], (a, b))
+            if not {a, b} & {*other}:
+                pairs = [other, (a, b)]
+                break
+        if pairs:
+            break
+    entries = [(k, i) for k, pair in ((1, pairs[0]), (2, pairs[1]), (3, pairs[1])) for i in pair] + [(4, 7)]
+    found = text_links.shared_keys(spark.createDataFrame(entries, "key long, item long"), Stash(spark)).collect()
+    assert {(r.key, r.item, r.many) for r in found} == {(k, i, 2) for k, pair in ((1, pairs[0]), (2, pairs[1])) for i in pair}
+
+
 def test_one_of_each_group(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "z y x w"), (3, "z y x w"), (None, "q"), (4, None)]
     df = documents(spark, rows)
