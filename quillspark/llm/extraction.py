@@ -61,7 +61,7 @@ def host_wrappers(expressions: DataFrame, stash: Stash) -> DataFrame:
 
 
 def _keep(table: pa.Table) -> pa.Table:
-    """The article's slots of one host, from its wrapper and what its pages have in each slot."""
+    """Choices of the article's slots of one host, the best first, from its wrapper and what its pages have in each slot. A page takes the first that it has text in."""
     wrapper = table.column("wrapper")[0].as_py()
     zones = slot_zones(wrapper)
     often = max(10, max(table.column("pages").to_pylist()) // 2)  # a text of a few pages may be the same because they are copies
@@ -69,13 +69,12 @@ def _keep(table: pa.Table) -> pa.Table:
     inside = [s for s in seen if zones[s] == 1]
     rest = [s for s in seen if zones[s] == 0]
     text = lambda group: sum(seen[s]["chars"] - seen[s]["links"] for s in group)
-    if inside and text(inside) >= 0.1 * text(rest):
-        found = inside
-    else:
-        found = [s for s in rest if seen[s]["links"] < 0.5 * seen[s]["chars"]] or rest
-    if any(not seen[s]["same"] for s in found):  # what never changes belongs to the host, unless nothing does
-        found = [s for s in found if not seen[s]["same"]]
-    return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [wrapper], "kept": pa.array([sorted(found)], pa.list_(pa.int32()))})
+    plain = [s for s in rest if seen[s]["links"] < 0.5 * seen[s]["chars"]] or rest
+    order = [inside, plain] if inside and text(inside) >= 0.1 * text(rest) else [plain, inside]
+    choices = []
+    for found in order:  # what never changes belongs to the host, unless a page has nothing else
+        choices += [[s for s in found if not seen[s]["same"]], found]
+    return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [wrapper], "choices": pa.array([[sorted(c) for c in choices]], pa.list_(pa.list_(pa.int32())))})
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -99,8 +98,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     each = texts.groupBy("host", "expression", "x.place").agg(F.sum(F.length("x.texts")).alias("chars"), F.sum("x.links").alias("links"), F.min(F.xxhash64("x.texts")).alias("low"), F.max(F.xxhash64("x.texts")).alias("high"), F.count("*").alias("pages"))
     of_slot = each.join(placed, ["host", "expression"]).withColumn("slot", F.col("slot_of")[F.col("place")]).where("slot >= 0")
     of_slot = of_slot.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
-    kept = of_slot.join(wrappers, "host").groupBy("host").applyInArrow(_keep, "host string, wrapper string, kept array<int>")
-    keep = placed.join(kept, "host").select("host", "expression", F.transform("slot_of", lambda s: F.array_contains("kept", s)).alias("keep"))
+    kept = of_slot.join(wrappers, "host").groupBy("host").applyInArrow(_keep, "host string, wrapper string, choices array<array<int>>")
+    own = F.get(F.filter("choices", lambda c: F.arrays_overlap(c, "slot_of")), F.lit(0))
+    chosen = placed.join(kept, "host").withColumn("kept", F.coalesce(own, F.array().cast("array<int>")))
+    keep = chosen.select("host", "expression", F.transform("slot_of", lambda s: F.array_contains("kept", s)).alias("keep"))
     keep = stash.put(keep)
     small = (keep.agg(F.sum(F.length("expression") + F.size("keep") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES
     joined = rows.join(F.broadcast(keep) if small else keep, ["host", "expression"], "left")

@@ -131,3 +131,10 @@ def test_many_expressions_of_a_host(spark, monkeypatch):
         expected[i] = "\n".join(c for c in inner.replace("</", "<").split(">") for c in [c.split("<")[0]] if c)
     out = {r.page_id: r.text for r in extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == expected
+
+
+def test_templates_and_copies_of_one_host(spark):
+    mixed = [(i, "http://two.example/", f"<nav>menu</nav><article><p>article {i} has a text</p></article>" if i % 5 == 0 else f"<nav>menu</nav><div><p>plain page {i} has a text</p></div>") for i in range(20)]
+    copies = [(100 + i, "http://copies.example/", "<div><p>the same text on each page</p></div>") for i in range(12)] + [(200, "http://copies.example/", "<section><h2>another page</h2></section>")]
+    out = {r.page_id: r.text for r in extraction.main_texts(spark.createDataFrame(mixed + copies, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"article {i} has a text" if i % 5 == 0 else f"plain page {i} has a text" for i in range(20)} | {100 + i: "the same text on each page" for i in range(12)} | {200: "another page"}
