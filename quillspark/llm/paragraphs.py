@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from quillspark.llm.arrays import mix, pieces, shingles, starts, utf8, words
 from quillspark.llm.repeats import removed_words, verbatim_repeats, without
@@ -105,33 +105,42 @@ def repeated_passages(docs: DataFrame, size: int = 5, threshold: tuple[int, int]
 
 
 def all_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The rows of repeated_passages, and one for each run of over 50 words that comes again verbatim, inside a line or over several.
+    """The rows of repeated_passages (lines), and those of verbatim_repeats (passages inside a line or over several).
 
-    word is the run's first word, from 0 within the text, para the line where it stands; a whole line has no word.
+    para is null for the latter, word (the first word of the passage, from 0 within the text) for the former.
     """
-    runs = verbatim_repeats(docs).select("doc_id", "para", "n_words", F.xxhash64("first_doc_id", "first_mark", "first_word").alias("cluster_id"), "first_doc_id", "removed", "word")
+    runs = verbatim_repeats(docs).select("doc_id", F.lit(None).cast("long").alias("para"), "n_words", "cluster_id", "first_doc_id", "removed", "word")
     return repeated_passages(docs, **options).withColumn("word", F.lit(None).cast("long")).unionByName(runs)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The documents without the lines that repeated_passages removes and the words that verbatim_repeats removes; n_chars follows. Documents of which nothing is left go.
+    """The documents without the lines that repeated_passages removes and the words that verbatim_repeats removes; n_chars follows, if there is such a column.
 
-    Rows that repeat an id lose the same paragraphs, but each its own words.
+    Documents of which nothing is left go; null, empty and short texts stay as they are. Rows that repeat an id lose
+    the same lines, but each its own words. An empty table gives an empty result. Columns of any name are kept.
     """
     stash = Stash(docs.sparkSession)
     lines = repeated_passages(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set("para").alias("gone"))
-    spans = removed_words(verbatim_repeats(docs))
-    marked = docs.withColumn("__mark", F.xxhash64("text")).join(stash.small(lines, 256), "doc_id", "left")
-    marked = marked.join(stash.small(spans.withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__of"), 256), (F.col("doc_id") == F.col("__id")) & (F.col("__mark") == F.col("__of")), "left")
-    marked = marked.select(*docs.columns, "gone", F.transform("spans", lambda x: F.array(x["start"], x["end"])).alias("spans"))
+    spans = removed_words(verbatim_repeats(docs, clusters=False))
+    marks = lines.select("doc_id", F.lit(None).cast("long").alias("mark"), "gone", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    marks = marks.unionByName(spans.select("doc_id", "mark", F.lit(None).cast("array<long>").alias("gone"), "spans"))
+    both = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("lines"), F.collect_list(F.when(F.col("mark").isNotNull(), F.struct("mark", "spans"))).alias("words"))
+    size = 64 + 8 * F.size("lines") + F.aggregate("words", F.lit(0), lambda n, x: n + 16 + 24 * F.size(x["spans"]))
+    # The columns travel as one, so that none can clash with those that are added.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    marked = whole.join(stash.small(both, size), F.col("row.doc_id") == F.col("doc_id"), "left")
+    own = F.filter("words", lambda x: x["mark"] == F.xxhash64("row.text"))
+    marked = marked.select("row", "lines", F.transform(F.flatten(F.transform(own, lambda x: x["spans"])), lambda x: F.array(x["start"], x["end"])).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, gone, spans = (batch.column(c).to_pylist() for c in ("text", "gone", "spans"))
-            left = [without(t, g or (), s or ()) if t is not None and (g or s) else t for t, g, s in zip(text, gone, spans)]
-            columns = {c: pa.array(left, batch.column(c).type) if c == "text" else batch.column(c) for c in batch.schema.names if c != "spans"}
-            yield pa.record_batch(columns | {"gone": pa.array([bool(g or s) for g, s in zip(gone, spans)])})
-
-    schema = StructType([*docs.schema.fields, StructField("gone", BooleanType())])
-    left = marked.mapInArrow(cut, schema).where(~F.col("gone") | F.col("text").rlike(r"\S"))
-    return left.withColumn("n_chars", F.when(F.col("gone"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+            row = batch.column("row")
+            text, lines, spans = row.field("text").to_pylist(), batch.column("lines").to_pylist(), batch.column("spans").to_pylist()
+            hit = [t is not None and bool(g or s) for t, g, s in zip(text, lines, spans)]
+            left = [without(t, g or (), s or ()) if h else t for t, g, s, h in zip(text, lines, spans, hit)]
+            yield pa.record_batch({"row": row, "left": pa.array(left, pa.string()), "hit": pa.array(hit, pa.bool_())})
+
+    schema = StructType([*marked.select("row").schema.fields, StructField("left", StringType()), StructField("hit", BooleanType())])
+    left = marked.mapInArrow(cut, schema).where(~F.col("hit") | F.col("left").rlike(r"\S"))
+    new = {"text": F.col("left"), "n_chars": F.when(F.col("hit"), F.length("left").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return left.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -1,26 +1,31 @@
-"""Verbatim repeats of LONG words and more, wherever they stand: inside a line or over several lines.
+"""Paragraphs that content cuts out, wherever they stand: inside a line or over several, and their repeats over LONG words.
 
-Each window of LONG words has a key, the least hash of its runs of GRAM words, so that equal windows have equal keys.
-Neighbouring windows whose key is the same place are one unit. Keys that come once go; of a key whose units are all
-alike the units are compared as they are, of others window by window. Equal windows have the same two hashes of 64
-bits, over different polynomials. Neighbouring repeats with one source are one repeat.
+Line breaks say little about what was copied, so paragraphs of WORDS words begin at anchors that the words themselves
+choose: of each GAP runs of GRAM words in a row, the one with the smallest hash, the MinHash of that window. Two texts
+that share LONG words in a row share such a window, so they choose the same anchor in it and hold the same paragraph.
+Paragraphs that stand at one place only go. Neighbouring ones that come again are a chain; chains of LONG words and more
+are passages. Shorter ones count if one of the windows of LONG words around them comes again, which is compared exactly.
+Chains that share a paragraph are one cluster, by connected components.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.arrays import gather, mix, pieces, utf8, word_hashes, words
+from quillspark.llm.arrays import mix, pieces, utf8, word_hashes, words
+from quillspark.llm.components import components
 from quillspark.llm.storage import Stash
 
 LONG = 51  #: words that repeat, at least
-GRAM = 26  #: words that a key is made of
-BITS = (16, 27)  #: least and most bits of the tables of keys; a key that shares its place with another only costs time
-_BLOCK = 16  #: bits of the tables that one row holds
+WORDS = 32  #: of a paragraph
+GAP = LONG - WORDS + 1  #: anchors are at most so many words apart
+GRAM = 5
 _GRAM_BASE, _TEXT_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_PLACE = ("doc_id", "mark", "word")
 
 
 class Polynomial:
@@ -35,109 +40,207 @@ class Polynomial:
         return mix((self.sum[end] - self.sum[start]) * self.back[start] ^ mix((end - start).astype(np.uint64)))
 
 
-def units(row: np.ndarray, h: np.ndarray, long: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, windows) of each unit. row, h: row and hash of each word; a window is named by its first word."""
-    if len(h) < long:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = np.arange(len(h) - gram + 1)
-    low, where, size, most = Polynomial(h, _GRAM_BASE).runs(begin, begin + gram), begin, 1, long - gram + 1
-    while size < most:  # the last of equal ones, so that windows that overlap their own copy have places of their own
-        step = min(size, most - size)
-        later = low[step:] <= low[:-step]
+def anchors(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """First words of the paragraphs. row, h: row and hash of each word; rows shorter than the window have none."""
+    count = len(h) - GRAM + 1
+    if count < GAP:
+        return np.zeros(0, np.int64)
+    begin = np.arange(count)
+    low, where, size = Polynomial(h, _GRAM_BASE).runs(begin, begin + GRAM), begin, 1
+    while size < GAP:  # the first of equal ones
+        step = min(size, GAP - size)
+        later = low[step:] < low[:-step]
         low, where, size = np.where(later, low[step:], low[:-step]), np.where(later, where[step:], where[:-step]), size + step
-    at = np.flatnonzero(row[: len(h) - long + 1] == row[long - 1 :])
-    new = np.ones(len(at), bool)
-    new[1:] = where[at[1:]] != where[at[:-1]]
-    first = np.flatnonzero(new)
-    return low[at[first]], at[first], np.diff(np.append(first, len(at)))
-
-
-def _tables(found: DataFrame, stash: Stash) -> tuple[int, np.ndarray, np.ndarray]:
-    """(bits, table of the keys, table of the mixed ones) of (key, mixed). Only the tables, of at most 2 ** BITS[1] bits, reach the driver."""
-    bits = min(BITS[1], max(BITS[0], int(8 * found.count()).bit_length()))
-    slot = F.col("key").bitwiseAND((1 << bits) - 1)
-
-    def fill(table: pa.Table) -> pa.Table:
-        at, mixed = np.asarray(table.column("at")), np.asarray(table.column("mixed"))
-        both = []
-        for chosen in (at, at[mixed]):
-            place = np.zeros(1 << _BLOCK, bool)
-            place[chosen] = True
-            both.append(np.packbits(place, bitorder="little").tobytes())
-        return pa.table({"block": table.column("block").slice(0, 1), "once": [both[0]], "mixed": [both[1]]})
-
-    placed = found.select(F.shiftright(slot, _BLOCK).alias("block"), slot.bitwiseAND((1 << _BLOCK) - 1).alias("at"), "mixed").distinct()
-    filled = placed.groupBy("block").applyInArrow(fill, "block long, once binary, mixed binary").toArrow()
-    out = np.zeros((2, 1 << (bits - _BLOCK), 1 << (_BLOCK - 3)), np.uint8)
-    for block, *both in zip(*(filled.column(c).to_pylist() for c in ("block", "once", "mixed"))):
-        for k in (0, 1):
-            out[k, block] = np.frombuffer(both[k], np.uint8)
-    return bits, out[0].ravel(), out[1].ravel()
-
-
-def _held(table: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
-    slot = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def verbatim_repeats(docs: DataFrame, long: int = LONG, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark, para, word, n_words, first_doc_id, first_mark, first_word, removed of each run of words that comes again.
-
-    Words are lower-cased and what stands between two blanks; word and para count words and lines (cut at \\n) of the
-    text from 0. mark is the xxhash64 of the text, and tells rows apart that repeat an id. Every window of `long` words
-    that several places have lies in a row; of these the smallest (doc_id, mark, word) stays, in the others the words
-    are removed. Rows with a null id have no result; equal rows have one and the same.
-    """
-    stash = Stash(docs.sparkSession)
-    table = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    inside = row[: len(where)] == row[GAP + GRAM - 2 :]
+    chosen = np.zeros(count, bool)
+    chosen[where[inside]] = True
+    at = np.flatnonzero(chosen)
+    at = at[at + WORDS <= len(h)]
+    return at[row[at] == row[at + WORDS - 1]]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def _paragraphs(table: DataFrame) -> DataFrame:
+    """doc_id, mark, word, key, around (a mark of the paragraph with the words that a window of LONG words may reach) of each paragraph."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 row, h = word_hashes(*utf8(part.column("text")))
-                key, first, n = units(row, h, long, gram)
-                yield pa.record_batch({"key": key.view(np.int64), "unit": Polynomial(h, _TEXT_BASE).runs(first, first + n + long - 1).view(np.int64)})
+                at = anchors(row, h)
+                of, hashes = row[at], Polynomial(h, _TEXT_BASE)
+                begin, end = np.searchsorted(row, of), np.searchsorted(row, of, "right")
+                lo, hi = np.maximum(begin, at - GAP + 1), np.minimum(end, at + LONG)
+                around = hashes.runs(lo, hi) ^ mix((at - lo).astype(np.uint64))
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(of)), "mark": part.column("mark").take(pa.array(of)), "word": at - begin, "key": hashes.runs(at, at + WORDS).view(np.int64), "around": around.view(np.int64)})
 
-    alike = table.select("text").mapInArrow(keys, "key long, unit long").groupBy("key")
-    found = stash.put(alike.agg(F.count("*").alias("many"), (F.min("unit") != F.max("unit")).alias("mixed")).where("many > 1").select("key", "mixed"))
-    shared = docs.sparkSession.sparkContext.broadcast(_tables(found, stash))
-    stash.drop(found)
+    return table.mapInArrow(find, "doc_id long, mark long, word long, key long, around long")
+
+
+def _at_places(table: DataFrame, wanted: DataFrame, stash: Stash) -> DataFrame:
+    """The texts in which wanted places (doc_id, mark, word, key, around) lie, each with the list of them."""
+    lists = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("word", "key", "around")).alias("places"))
+    return table.join(stash.small(lists, 64 + 32 * F.size("places")), ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """key, around, shift, window: the marks of the windows of LONG words that hold a place's paragraph; shift: first word of the window, from the paragraph's."""
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, once, mixed = shared.value
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                data, offsets = utf8(part.column("text"))
-                row, h = word_hashes(data, offsets)
-                key, first, n = units(row, h, long, gram)
-                keep = _held(once, bits, key)
-                key, first, n = key[keep], first[keep], n[keep]
-                apart = _held(mixed, bits, key)
-                key = np.concatenate([key[~apart], np.repeat(key[apart], n[apart])])
-                first, n = np.concatenate([first[~apart], gather(first[apart], n[apart])]), np.concatenate([n[~apart], np.ones(n[apart].sum(), np.int64)])
-                of, begin, cut = row[first], words(data, offsets)[0], np.flatnonzero(data == 10)
-                para = np.searchsorted(cut, begin[first]) - np.searchsorted(cut, offsets[of])
-                unit = Polynomial(h, _TEXT_BASE).runs(first, first + n + long - 1)
-                at = first - np.searchsorted(row, of)
-                yield pa.record_batch({"key": key.view(np.int64), "unit": unit.view(np.int64), "doc_id": part.column("doc_id").take(pa.array(of)), "mark": part.column("mark").take(pa.array(of)), "word": at, "n": n, "para": para})
-
-    each = stash.put(table.mapInArrow(parts, "key long, unit long, doc_id long, mark long, word long, n long, para long"))
-    first = each.groupBy("key", "unit").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "mark", "word")).alias("first")).where("many > 1")
-    again = each.join(first.drop("many"), ["key", "unit"]).select("doc_id", "mark", "word", "n", "para", "first", (F.col("word") - F.col("first.word")).alias("apart"))
+                row, h = word_hashes(*utf8(part.column("text")))
+                places, hashes = part.column("places"), Polynomial(h, _TEXT_BASE)
+                of = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(places)))
+                word, key, around = (np.asarray(places.flatten().field(k)) for k in range(3))
+                begin, end = np.searchsorted(row, of), np.searchsorted(row, of, "right")
+                shift = np.tile(np.arange(1 - GAP, 1), len(of))
+                which = np.repeat(np.arange(len(of)), GAP)
+                start = begin[which] + word[which] + shift
+                good = (start >= begin[which]) & (start + LONG <= end[which])
+                which, shift, start = which[good], shift[good], start[good]
+                yield pa.record_batch({"key": key[which], "around": around[which], "shift": shift, "window": hashes.runs(start, start + LONG).view(np.int64)})
+
+    return texts.mapInArrow(find, "key long, around long, shift long, window long")
+
+
+def _contexts(texts: DataFrame) -> DataFrame:
+    """doc_id, mark, word, key, left, right: 32-bit hashes of up to GAP - 1 words before (nearest first) and after each place's paragraph."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                row, h = word_hashes(*utf8(part.column("text")))
+                cut, h = np.searchsorted(row, np.arange(part.num_rows + 1)), h.astype("<u4")
+                places = part.column("places")
+                of = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(places)))
+                word, key, _ = (np.asarray(places.flatten().field(k)) for k in range(3))
+                left, right = [], []
+                for i, w in zip(of.tolist(), word.tolist()):
+                    at = cut[i] + w
+                    left.append(h[max(cut[i], at - GAP + 1) : at][::-1].tobytes())
+                    right.append(h[at + WORDS : min(cut[i + 1], at + LONG - 1)].tobytes())
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(of)), "mark": part.column("mark").take(pa.array(of)), "word": word, "key": key, "left": pa.array(left, pa.binary()), "right": pa.array(right, pa.binary())})
+
+    return texts.mapInArrow(find, "doc_id long, mark long, word long, key long, left binary, right binary")
+
+
+def _reach(pairs: DataFrame) -> DataFrame:
+    """The rows with `more`: how many words of left (or right) are those of its source."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = []
+            for one, two in zip(batch.column("own").to_pylist(), batch.column("source").to_pylist()):
+                a, b = np.frombuffer(one, "<u4"), np.frombuffer(two, "<u4")
+                n = min(len(a), len(b))
+                more.append(int(np.append(a[:n] != b[:n], True).argmax()))
+            yield pa.record_batch({c: batch.column(c) for c in ("doc_id", "mark", "word", "side")} | {"more": pa.array(more, pa.int64())})
+
+    return pairs.mapInArrow(find, "doc_id long, mark long, word long, side int, more long")
+
+
+def _chains(table: DataFrame, stash: Stash) -> DataFrame:
+    """doc_id, mark, word, key, around, chain (its first word), last (first word of its last paragraph), first (the key's smallest place) of the paragraphs that come again."""
+    found = stash.put(_paragraphs(table))
+    again = found.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    entries = stash.put(found.join(again, "key"))
+    stash.drop(found)
     order = Window.partitionBy("doc_id", "mark").orderBy("word")
-    before = lambda c: F.lag(c).over(order)
-    same = (before("first.doc_id") == F.col("first.doc_id")) & (before("first.mark") == F.col("first.mark")) & (before("apart") == F.col("apart")) & (F.col("word") <= before(F.col("word") + F.col("n")))
-    run = again.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = run.groupBy("doc_id", "mark", "run").agg(F.min("para").alias("para"), F.min("word").alias("word"), (F.max(F.col("word") + F.col("n")) - F.min("word") + (long - 1)).alias("n_words"), F.min("first").alias("first"))
-    itself = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("word") == F.col("first.word"))
-    return out.select("doc_id", "mark", "para", "word", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.mark").alias("first_mark"), F.col("first.word").alias("first_word"), (~itself).alias("removed"))
-
-
-def removed_words(repeats: DataFrame, long: int = LONG) -> DataFrame:
-    """(doc_id, mark, spans): first word and end of the words to remove. A run that overlaps its own source keeps the source's first window."""
-    own = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("mark") == F.col("first_mark"))
-    start = F.col("word") + F.when(own, F.greatest(F.lit(0), F.lit(long) - F.col("word") + F.col("first_word"))).otherwise(0)
-    span = F.struct(start.alias("start"), (F.col("word") + F.col("n_words")).alias("end"))
+    new = F.coalesce(F.col("word") - F.lag("word").over(order) > GAP, F.lit(True))
+    chained = entries.withColumn("chain", F.last(F.when(new, F.col("word")), True).over(order))
+    chained = chained.withColumn("last", F.max("word").over(Window.partitionBy("doc_id", "mark", "chain")))
+    first = entries.groupBy("key").agg(F.min(F.struct(*_PLACE)).alias("first"))
+    out = stash.put(chained.join(first, "key"))
+    stash.drop(entries)
+    return out
+
+
+def _around_short(table: DataFrame, chained: DataFrame, stash: Stash) -> DataFrame:
+    """doc_id, mark, chain, start, end, first of the runs of LONG words and more around the paragraphs of short chains that come again."""
+    short = chained.where(F.col("last") - F.col("chain") + WORDS < LONG).select("key").distinct()
+    own = stash.put(chained.join(short, "key").select(*_PLACE, "key", "around", "chain"))
+    one = stash.put(own.groupBy("key", "around").agg(F.count("*").alias("many"), F.min(F.struct(*_PLACE)).alias("at")))
+    windows = stash.put(_windows(_at_places(table, one.select("at.*", "key", "around"), stash)).distinct())
+    placed = windows.join(one, ["key", "around"]).select("key", "around", "shift", "window", "many", F.struct("at.doc_id", "at.mark", (F.col("at.word") + F.col("shift")).alias("word")).alias("place"))
+    again = placed.groupBy("key", "window").agg(F.sum("many").alias("copies"), F.min("place").alias("first")).where("copies > 1").select("key", "window", "first")
+    runs = windows.join(again, ["key", "window"]).groupBy("key", "around", "first.doc_id", "first.mark", (F.col("first.word") - F.col("shift")).alias("of")).agg(F.min("shift").alias("lo"), F.max("shift").alias("hi"))
+    runs = stash.put(runs.select("key", "around", "lo", "hi", F.struct("doc_id", "mark", (F.col("of") + F.col("lo")).alias("word")).alias("first")))
+    out = own.join(runs, ["key", "around"]).select("doc_id", "mark", "chain", (F.col("word") + F.col("lo")).alias("start"), (F.col("word") + F.col("hi") + LONG).alias("end"), "first")
+    out = stash.put(out)
+    stash.drop(own, one, windows, runs)
+    return out
+
+
+def _ends(table: DataFrame, chained: DataFrame, stash: Stash) -> DataFrame:
+    """doc_id, mark, word, side, more: by how many words the first (side 0) and last (1) paragraph of a long chain reaches on like its source."""
+    long = chained.where(F.col("last") - F.col("chain") + WORDS >= LONG)
+    elsewhere = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark")) | (F.col("word") != F.col("first.word"))
+    ends = long.where(elsewhere & ((F.col("word") == F.col("chain")) | (F.col("word") == F.col("last")))).select(*_PLACE, "key", "chain", "last", "first")
+    ends = stash.put(ends)
+    wanted = ends.select(*_PLACE, "key").unionByName(ends.select("first.*", "key")).distinct()
+    context = stash.put(_contexts(_at_places(table, wanted.withColumn("around", F.lit(0).cast("long")), stash)).distinct())
+    source = ends.select("key", "first.*").distinct().join(context, ["key", *_PLACE]).select("key", F.struct("left", "right").alias("of"))
+    own = ends.select(*_PLACE, "key", "chain", "last").join(context, ["key", *_PLACE])
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), (F.col("word") == F.col(c)).alias("ends"), F.col(s).alias("own"), F.col(f"of.{s}").alias("source")) for k, c, s in ((0, "chain", "left"), (1, "last", "right"))))
+    pairs = own.join(source, "key").select(*_PLACE, F.explode(sides).alias("x")).select(*_PLACE, "x.*").where("ends")
+    out = stash.put(_reach(pairs.select(*_PLACE, "side", "own", "source")))
+    stash.drop(ends, context)
+    return out
+
+
+def _clusters(chained: DataFrame, stash: Stash) -> DataFrame:
+    """doc_id, mark, chain, cluster_id: chains that share a paragraph are in one cluster."""
+    name = F.xxhash64("doc_id", "mark", "chain")
+    least = chained.groupBy("key").agg(F.min(name).alias("b"))
+    edges = stash.put(chained.join(least, "key").select(name.alias("a"), "b").where("a <> b").distinct())
+    roots = components(edges, stash)
+    names = chained.select("doc_id", "mark", "chain", name.alias("name")).distinct()
+    out = names.join(roots, F.col("name") == F.col("node"), "left").select("doc_id", "mark", "chain", F.coalesce("root", "name").alias("cluster_id"))
+    return stash.put(out)
+
+
+def verbatim_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clusters: bool = True) -> DataFrame:
+    """doc_id, mark, word, n_words, first_doc_id, first_mark, first_word, removed, cluster_id of each passage that comes again.
+
+    Words are lower-cased and what stands between two blanks; word counts them from 0 within the text. mark is the
+    xxhash64 of the text, and tells rows apart that repeat an id. Every run of LONG words that several places have lies
+    in a row. Of each paragraph the smallest (doc_id, mark, word) stays, the other places are removed; a chain of which
+    both happens has a row for each part. Each word of a row stands in a paragraph that comes again, or reaches on from
+    one like its source. A text that repeats itself keeps the first LONG words. Rows with a null id have no result;
+    equal rows have one and the same. Null, empty and short texts and an empty table give no rows. cluster_id is null
+    unless `clusters`.
+    """
+    stash = Stash(docs.sparkSession)
+    table = _texts(docs, id_col, text_col)
+    chained = _chains(table, stash)
+    shorts = _around_short(table, chained, stash)
+    ends = _ends(table, chained, stash)
+    reach = [ends.where(f"side = {k}").select(*_PLACE, F.col("more").alias(n)) for k, n in ((0, "before"), (1, "after"))]
+    long = chained.where(F.col("last") - F.col("chain") + WORDS >= LONG).join(reach[0], [*_PLACE], "left").join(reach[1], [*_PLACE], "left")
+    before = F.coalesce("before", F.lit(0))
+    long = long.select("doc_id", "mark", "chain", (F.col("word") - before).alias("start"), (F.col("word") + WORDS + F.coalesce("after", F.lit(0))).alias("end"), F.struct("first.doc_id", "first.mark", (F.col("first.word") - before).alias("word")).alias("first"))
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    parts = long.unionByName(shorts).withColumn("removed", ~own | (F.col("start") != F.col("first.word")))
+    parts = parts.withColumn("start", F.when(F.col("removed") & own, F.greatest("start", F.col("first.word") + LONG)).otherwise(F.col("start"))).where("start < end")
+    order = Window.partitionBy("doc_id", "mark", "removed").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = parts.withColumn("run", F.sum(F.when(F.col("start") <= reached, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "mark", "removed", "run").agg(F.min("start").alias("word"), (F.max("end") - F.min("start")).alias("n_words"), F.min("first").alias("first"), F.min("chain").alias("chain"))
+    if clusters:
+        runs = runs.join(_clusters(chained, stash), ["doc_id", "mark", "chain"])
+    else:
+        runs = runs.withColumn("cluster_id", F.lit(None).cast("long"))
+    return runs.select("doc_id", "mark", "word", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.mark").alias("first_mark"), F.col("first.word").alias("first_word"), "removed", "cluster_id")
+
+
+def removed_words(repeats: DataFrame) -> DataFrame:
+    """(doc_id, mark, spans): first word and end of the words to remove."""
+    span = F.struct(F.col("word").alias("start"), (F.col("word") + F.col("n_words")).alias("end"))
     return repeats.where("removed").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 

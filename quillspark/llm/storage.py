@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_BYTES = 16 << 20  #: of a table of numbers that is broadcast
@@ -37,10 +37,14 @@ class Stash:
         self._keep = [*getattr(self, "_keep", []), out]
         return out
 
-    def small(self, df: DataFrame, row_bytes: int = 0) -> DataFrame:
-        """The table, written; marked for broadcast if its rows (of numbers, or of about row_bytes) are few enough, else left to a shuffled join."""
+    def small(self, df: DataFrame, row_bytes: int | Column = 0) -> DataFrame:
+        """The table, written; marked for broadcast if its rows take few enough bytes, else left to a shuffled join.
+
+        row_bytes: of a row, by default 8 for each column; a column where rows hold lists.
+        """
         kept = self.put(df)
-        return F.broadcast(kept) if kept.count() * (row_bytes or 8 * len(df.columns)) <= SMALL_BYTES else kept
+        each = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes or 8 * len(df.columns))
+        return F.broadcast(kept) if (kept.agg(F.sum(each)).first()[0] or 0) <= SMALL_BYTES else kept
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:

@@ -330,8 +330,8 @@ def test_passages_inside_lines_and_over_short_lines(spark):
     short = lambda w: "\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))
     rows = [(1, f"{one} {' '.join(a)} {two}"), (2, f"{three} {' '.join(a).upper()} end\nlast  line"), (3, short(b)), (4, f"head\n{short(b)}\ntail"), (5, " ".join(c + some(60))), (6, " ".join(some(60) + c)), (7, " ".join(early + pair)), (8, " ".join(early + pair + some(40))), (9, " ".join(["again"] * 200)), (None, " ".join(b))]
     df = documents(spark, rows)
-    runs = {(r.doc_id, r.para, r.word, r.n_words, r.first_doc_id, r.removed) for r in paragraphs.all_repeats(df).where("word IS NOT NULL AND doc_id < 9").collect()}
-    assert runs == {(1, 0, 70, 51, 1, False), (2, 0, 70, 51, 1, True), (3, 0, 0, 60, 3, False), (4, 1, 1, 60, 3, True)}
+    runs = {(r.doc_id, r.word, r.n_words, r.first_doc_id, r.removed) for r in paragraphs.all_repeats(df).where("word IS NOT NULL AND doc_id < 9").collect()}
+    assert runs == {(1, 70, 51, 1, False), (2, 70, 51, 1, True), (3, 0, 60, 3, False), (4, 1, 60, 3, True)}
     left = {r.doc_id: (r.text, r.n_chars) for r in paragraphs.without_repeats(df).collect()}
     expected = {i: (t, None) for i, t in rows} | {2: (f"{three} end\nlast  line", len(three) + 15), 4: ("head\ntail", 9), 9: (" ".join(["again"] * 51), 51 * 6 - 1)}
     assert left == expected
@@ -354,13 +354,17 @@ def test_verbatim_repeats_like_brute_force(spark, seed):
         w = words(t)
         for k in range(len(w) - 50):
             places[tuple(w[k : k + 51])].append((i, k))
-    expected = {p: min(x) for x in places.values() if len(x) > 1 for p in x}
-    found = {}
-    for r in repeats.verbatim_repeats(documents(spark, rows)).collect():
-        for k in range(r.n_words - 50):
-            assert (r.doc_id, r.word + k) not in found and r.removed == ((r.doc_id, r.word) != (r.first_doc_id, r.first_word))
-            found[r.doc_id, r.word + k] = r.first_doc_id, r.first_word + k
-    assert found == expected and len(expected) > 100
+    parts = Counter((tuple(w[k : k + repeats.WORDS])) for w in map(words, dict(rows).values()) for k in range(len(w) - repeats.WORDS + 1))
+    again = {(i, k + n) for i, t in rows for w in [words(t)] for k in range(len(w) - repeats.WORDS + 1) if parts[tuple(w[k : k + repeats.WORDS])] > 1 for n in range(repeats.WORDS)}
+    held = {(i, k + n) for x in places.values() if len(x) > 1 for i, k in x for n in range(repeats.LONG)}
+    df = documents(spark, rows)
+    found = repeats.verbatim_repeats(df).collect()
+    covered = {(r.doc_id, r.word + n) for r in found for n in range(r.n_words)}
+    assert held <= covered <= again and len(held) > 100
+    gone = {r.doc_id: words(r.text) for r in paragraphs.without_repeats(df, min_words=1000).collect()}
+    left = Counter(tuple(w[k : k + 51]) for w in gone.values() for k in range(len(w) - 50))
+    assert all(n == 1 or p not in places for p, n in left.items())
+    assert {x for w in gone.values() for x in w} == {x for _, t in rows for x in words(t)}
 
 
 # Classifiers
