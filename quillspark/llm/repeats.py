@@ -82,13 +82,13 @@ def _paragraphs(table: DataFrame) -> DataFrame:
 
 
 def _at_places(table: DataFrame, wanted: DataFrame, stash: Stash) -> DataFrame:
-    """The texts in which wanted places (doc_id, mark, word, key, around) lie, each with the list of them."""
-    lists = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("word", "key", "around")).alias("places"))
-    return table.join(stash.small(lists, 64 + 32 * F.size("places")), ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
+    """The texts in which wanted places (doc_id, mark, word, key, around, many) lie, each with the list of them."""
+    lists = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("word", "key", "around", "many")).alias("places"))
+    return table.join(stash.small(lists, 64 + 40 * F.size("places")), ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """key, around, shift, window: the marks of the windows of LONG words that hold a place's paragraph; shift: first word of the window, from the paragraph's."""
+    """key, around, many, doc_id, mark, word, shift, window: the marks of the windows of LONG words that hold a place's paragraph; shift: first word of the window, from the paragraph's."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,16 +96,17 @@ def _windows(texts: DataFrame) -> DataFrame:
                 row, h = word_hashes(*utf8(part.column("text")))
                 places, hashes = part.column("places"), Polynomial(h, _TEXT_BASE)
                 of = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(places)))
-                word, key, around = (np.asarray(places.flatten().field(k)) for k in range(3))
+                word, key, around, many = (np.asarray(places.flatten().field(k)) for k in range(4))
                 begin, end = np.searchsorted(row, of), np.searchsorted(row, of, "right")
                 shift = np.tile(np.arange(1 - GAP, 1), len(of))
                 which = np.repeat(np.arange(len(of)), GAP)
                 start = begin[which] + word[which] + shift
                 good = (start >= begin[which]) & (start + LONG <= end[which])
                 which, shift, start = which[good], shift[good], start[good]
-                yield pa.record_batch({"key": key[which], "around": around[which], "shift": shift, "window": hashes.runs(start, start + LONG).view(np.int64)})
+                doc, mark = (part.column(c).take(pa.array(of[which])) for c in ("doc_id", "mark"))
+                yield pa.record_batch({"key": key[which], "around": around[which], "many": many[which], "doc_id": doc, "mark": mark, "word": word[which] + shift, "shift": shift, "window": hashes.runs(start, start + LONG).view(np.int64)})
 
-    return texts.mapInArrow(find, "key long, around long, shift long, window long")
+    return texts.mapInArrow(find, "key long, around long, many long, doc_id long, mark long, word long, shift long, window long")
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
                 cut, h = np.searchsorted(row, np.arange(part.num_rows + 1)), h.astype("<u4")
                 places = part.column("places")
                 of = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(places)))
-                word, key, _ = (np.asarray(places.flatten().field(k)) for k in range(3))
+                word, key = (np.asarray(places.flatten().field(k)) for k in range(2))
                 left, right = [], []
                 for i, w in zip(of.tolist(), word.tolist()):
                     at = cut[i] + w
@@ -165,14 +166,17 @@ def _around_short(table: DataFrame, chained: DataFrame, stash: Stash) -> DataFra
     short = chained.where(F.col("last") - F.col("chain") + WORDS < LONG).select("key").distinct()
     own = stash.put(chained.join(short, "key").select(*_PLACE, "key", "around", "chain"))
     one = stash.put(own.groupBy("key", "around").agg(F.count("*").alias("many"), F.min(F.struct(*_PLACE)).alias("at")))
-    windows = stash.put(_windows(_at_places(table, one.select("at.*", "key", "around"), stash)).distinct())
-    placed = windows.join(one, ["key", "around"]).select("key", "around", "shift", "window", "many", F.struct("at.doc_id", "at.mark", (F.col("at.word") + F.col("shift")).alias("word")).alias("place"))
-    again = placed.groupBy("key", "window").agg(F.sum("many").alias("copies"), F.min("place").alias("first")).where("copies > 1").select("key", "window", "first")
-    runs = windows.join(again, ["key", "window"]).groupBy("key", "around", "first.doc_id", "first.mark", (F.col("first.word") - F.col("shift")).alias("of")).agg(F.min("shift").alias("lo"), F.max("shift").alias("hi"))
-    runs = stash.put(runs.select("key", "around", "lo", "hi", F.struct("doc_id", "mark", (F.col("of") + F.col("lo")).alias("word")).alias("first")))
-    out = own.join(runs, ["key", "around"]).select("doc_id", "mark", "chain", (F.col("word") + F.col("lo")).alias("start"), (F.col("word") + F.col("hi") + LONG).alias("end"), "first")
-    out = stash.put(out)
-    stash.drop(own, one, windows, runs)
+    windows = stash.put(_windows(_at_places(table, one.select("at.*", "key", "around", "many"), stash)))
+    place = F.struct(*_PLACE)
+    several = (F.max("many") > 1) | (F.min(place) != F.max(place))  # a text that repeats itself may have one window around several paragraphs
+    again = windows.groupBy("key", "window").agg(several.alias("several"), F.min(place).alias("first")).where("several").select("key", "window", "first")
+    held = windows.select("key", "window", "around", "shift").join(again, ["key", "window"])
+    # The first and the last window that come again cover all between them.
+    runs = held.groupBy("key", "around").agg(*(f(F.struct("shift", "first")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    runs = runs.select("key", "around", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x")).select("key", "around", "x.*")
+    start = F.col("word") + F.col("shift")
+    out = stash.put(own.join(runs, ["key", "around"]).select("doc_id", "mark", "chain", start.alias("start"), (start + LONG).alias("end"), "first"))
+    stash.drop(own, one, windows)
     return out
 
 
@@ -183,7 +187,7 @@ def _ends(table: DataFrame, chained: DataFrame, stash: Stash) -> DataFrame:
     ends = long.where(elsewhere & ((F.col("word") == F.col("chain")) | (F.col("word") == F.col("last")))).select(*_PLACE, "key", "chain", "last", "first")
     ends = stash.put(ends)
     wanted = ends.select(*_PLACE, "key").unionByName(ends.select("first.*", "key")).distinct()
-    context = stash.put(_contexts(_at_places(table, wanted.withColumn("around", F.lit(0).cast("long")), stash)).distinct())
+    context = stash.put(_contexts(_at_places(table, wanted.withColumn("around", F.lit(0).cast("long")).withColumn("many", F.lit(1).cast("long")), stash)))
     source = ends.select("key", "first.*").distinct().join(context, ["key", *_PLACE]).select("key", F.struct("left", "right").alias("of"))
     own = ends.select(*_PLACE, "key", "chain", "last").join(context, ["key", *_PLACE])
     sides = F.array(*(F.struct(F.lit(k).alias("side"), (F.col("word") == F.col(c)).alias("ends"), F.col(s).alias("own"), F.col(f"of.{s}").alias("source")) for k, c, s in ((0, "chain", "left"), (1, "last", "right"))))
