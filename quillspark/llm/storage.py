@@ -10,9 +10,11 @@ SMALL_BYTES = 16 << 20  #: of a table of numbers that is broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set, as in tests."""
+    """spark.checkpoint.dir of the session; a temporary folder only where none is set on a local master, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -27,14 +29,14 @@ class Stash:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/quillspark-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.count = 0
 
     def put(self, df: DataFrame, *by: str) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.root}/{self.count}"
+        self.count += 1
         (df.repartition(*by) if by else df).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        self._keep = [*getattr(self, "_keep", []), out]
+        out.stashed_at = path
         return out
 
     def small(self, df: DataFrame, row_bytes: int | Column = 0) -> DataFrame:
@@ -48,6 +50,7 @@ class Stash:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            if path := self.paths.pop(id(df), None):
+            path = vars(df).pop("stashed_at", "")
+            if path.startswith(f"{self.root}/"):
                 target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

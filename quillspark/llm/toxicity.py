@@ -13,6 +13,7 @@ from quillspark.llm.mixing import draw
 SIZES = (3, 4, 5)
 BITS = 18
 SAMPLE = 2_000  #: labelled rows of each class that the classifier is fitted on at most, by seeded hash
+SAMPLE_BYTES = 8 << 20  #: of their texts, for each class
 
 
 def code_points(texts: list[str]) -> np.ndarray:
@@ -40,16 +41,14 @@ def ngram_rows(column: pa.Array) -> Iterator[np.ndarray]:
         at = end
 
 
-def fit_ratio_scaled(rows: list[np.ndarray], toxic: np.ndarray, totals: tuple[int, int], steps: int = 50, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights (scaling included) and intercept. rows: each document's distinct features; totals: rows of class 0 and 1 there are. The classes weigh the same in the fit, and half their log ratio is added to the intercept: a document has to look toxic before the rarer class is chosen, yet few labels don't drown it."""
-    size = 1 << BITS
+def fit_ratio_scaled(flat: np.ndarray, at: np.ndarray, toxic: np.ndarray, totals: tuple[int, int], steps: int = 50, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights (scaling included) and intercept. flat[at[i] : at[i + 1]]: the distinct features of document i; totals: rows of class 0 and 1 there are. The classes weigh the same in the fit, and half their log ratio is added to the intercept: a document has to look toxic before the rarer class is chosen, yet few labels don't drown it."""
+    size, count = 1 << BITS, len(toxic)
     prior = float(np.log((totals[1] + 0.5) / (totals[0] + 0.5)))
-    if not len(rows) or toxic.all() or not toxic.any():
+    if not count or toxic.all() or not toxic.any():
         return np.zeros(size, np.float32), prior
-    flat = np.concatenate(rows).astype(np.int32)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
     y = toxic.astype(np.float64)
-    cuts = [*range(0, len(rows), 200), len(rows)]  # rows are gone through in parts, to hold little besides their features
+    cuts = [*range(0, count, 200), count]  # rows are gone through in parts, to hold little besides their features
     parts = [(lo, hi, flat[at[lo] : at[hi]], np.diff(at[lo : hi + 1])) for lo, hi in zip(cuts, cuts[1:])]
 
     def by_feature(values: np.ndarray) -> np.ndarray:
@@ -59,7 +58,7 @@ def fit_ratio_scaled(rows: list[np.ndarray], toxic: np.ndarray, totals: tuple[in
             total += np.bincount(own, weights=np.repeat(values[lo:hi], n), minlength=size)
         return total
 
-    every, hot = by_feature(np.ones(len(rows))), by_feature(y)
+    every, hot = by_feature(np.ones(count)), by_feature(y)
     known = every >= 3
     p, q = 1 + hot, 1 + every - hot
     ratio = np.where(known, np.log((p / p[known].sum()) / (q / q[known].sum())) if known.any() else 0, 0)
@@ -78,27 +77,37 @@ def fit_ratio_scaled(rows: list[np.ndarray], toxic: np.ndarray, totals: tuple[in
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Fits on the labelled documents for which `learn` (of doc_id) holds: at most about `sample` of each class.
+    """Fits on the labelled documents for which `learn` (of doc_id) holds: about `sample` of each class, fewer where these are longer than SAMPLE_BYTES in all.
 
-    Null labels don't count; of several labels of a document the largest does.
+    Null labels don't count; of several labels of a document the largest does. Without labels of both classes every
+    weight is 0.
     """
     marked = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    totals = counts.get(0, 0), sum(n for k, n in counts.items() if k != 0)
-    drawn = marked.withColumn("part", F.when(F.col("toxic") == 0, sample / max(1, totals[0])).otherwise(sample / max(1, totals[1])))
-    drawn = drawn.where(draw(29, F.col("doc_id")) < F.col("part") * 2.0**48).select("doc_id", "toxic")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    length = texts.select("doc_id", F.octet_length("text").alias("bytes"))
+    found = marked.join(length, "doc_id").groupBy((F.col("toxic") != 0).alias("hot")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    counts = {r.hot: (r.n, r.bytes or 0) for r in found.collect()}
+    totals = tuple(counts.get(k, (0, 0))[0] for k in (False, True))
+    part = [min(sample / max(1, n), SAMPLE_BYTES / max(1, size)) for n, size in (counts.get(k, (0, 0)) for k in (False, True))]
+    drawn = marked.where(draw(29, F.col("doc_id")) < F.when(F.col("toxic") == 0, part[0]).otherwise(part[1]) * 2.0**48).select("doc_id", "toxic")
     if not sum(totals):
-        return fit_ratio_scaled([], np.zeros(0, bool), totals)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+        return fit_ratio_scaled(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), totals)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 yield pa.record_batch({"toxic": part.column("toxic").cast(pa.int64()), "features": pa.array([x.astype("<u4").tobytes() for x in ngram_rows(part.column("text"))], pa.binary())})
 
-    found = texts.select("toxic", "text").mapInArrow(extract, "toxic long, features binary").toArrow()
-    rows = [np.frombuffer(x.as_py(), "<u4") for x in found.column("features")]
-    return fit_ratio_scaled(rows, np.asarray(found.column("toxic")) != 0, totals)
+    found = texts.join(F.broadcast(drawn), "doc_id").select("toxic", "text").mapInArrow(extract, "toxic long, features binary").toArrow()
+    toxic = np.asarray(found.column("toxic")) != 0
+    features = found.column("features").cast(pa.large_binary()).combine_chunks()
+    del found
+    _, at, data = features.buffers() if len(features) else (None, None, None)
+    at = np.frombuffer(at, np.int64)[: len(features) + 1] // 4 if at is not None else np.zeros(1, np.int64)
+    model = fit_ratio_scaled(np.frombuffer(data, "<i4") if data is not None else np.zeros(0, np.int32), at, toxic, totals)
+    del features, data, at
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -116,7 +125,11 @@ def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFra
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents whose score is under 0.5, learnt from the labels outside the held-out fold. All columns stay as they are."""
+    """The rows of documents whose score is under 0.5, learnt from the labels outside the held-out fold. All columns stay as they are.
+
+    Null and empty texts have no feature and get the score of the intercept alone, as every text does without labels of
+    both classes; they stay unless most labels are toxic. Repeated rows fare alike. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, remainder("doc_id", 5) != 0))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +147,10 @@ def remainder(id_col: str, by: int) -> Column:
 
 
 def document_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document, learnt from the labels outside the held-out fold."""
+    """doc_id, held_out, score, predicted of each row, learnt from the labels outside the held-out fold.
+
+    Null and empty texts get the score of no feature; a null id is not held out; repeated rows have a row each. Other
+    columns play no part. An empty table gives an empty result.
+    """
     scored = toxicity_scores(docs, toxicity_model(docs, labels, remainder("doc_id", 5) != 0))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
