@@ -36,14 +36,16 @@ _BREAKS = r"([^\pL\pN]+|\pN)"
 class IdBook:
     """Ids of white-space-free chunks by the tokenizers library, which sees each pre-token of plain chunks and other chunks whole; the first results are kept between batches."""
 
-    KEEP = 300_000
+    KEEP = 100_000  #: results kept
+    LONGEST = 64  #: characters of a chunk whose result is kept
+    AT_ONCE = 4_000  #: chunks that the library encodes in one call
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, bytes] = {}
 
     def ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks in a row, and where each begins."""
@@ -58,13 +60,15 @@ class IdBook:
     def _encode(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.seen.get(x) for x in tokens]
         new = [i for i, x in enumerate(found) if x is None]
-        for k in range(0, len(new), 20_000):
-            for i, e in zip(new[k : k + 20_000], self.tokenizer.encode_batch_fast([tokens[i] for i in new[k : k + 20_000]], add_special_tokens=False)):
-                found[i] = np.array(e.ids, np.uint32)
-        for i in new[: max(0, self.KEEP - len(self.seen))]:
+        for k in range(0, len(new), self.AT_ONCE):
+            some = new[k : k + self.AT_ONCE]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([tokens[i] for i in some], add_special_tokens=False)):
+                found[i] = np.array(e.ids, np.uint32).tobytes()
+        short = [i for i in new if len(tokens[i]) <= self.LONGEST]
+        for i in short[: max(0, self.KEEP - len(self.seen))]:
             self.seen[tokens[i]] = found[i]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(size)])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], np.cumsum(size)])
 
 
 @lru_cache(4)

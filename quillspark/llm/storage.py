@@ -7,6 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_BYTES = 16 << 20  #: of a table of numbers that is broadcast
+BATCH_ROWS = "1000"  #: of texts that Spark hands to Python at once, unless the session says otherwise
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large rows: Spark's own number of them for a batch would be hundreds of MB."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +35,7 @@ class Stash:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/quillspark-{uuid.uuid4().hex}"
         self.count = 0

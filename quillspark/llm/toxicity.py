@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.arrays import pieces, sums
 from quillspark.llm.mixing import draw
+from quillspark.llm.storage import small_batches
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -82,6 +83,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, learn: Column, sample: in
     Null labels don't count; of several labels of a document the largest does. Without labels of both classes every
     weight is 0.
     """
+    small_batches(docs.sparkSession)
     marked = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     length = texts.select("doc_id", F.octet_length("text").alias("bytes"))
