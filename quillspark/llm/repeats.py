@@ -84,7 +84,10 @@ def _paragraphs(table: DataFrame) -> DataFrame:
 def _at_places(table: DataFrame, wanted: DataFrame, stash: Stash) -> DataFrame:
     """The texts in which wanted places (doc_id, mark, word, key, around, many) lie, each with the list of them."""
     lists = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("word", "key", "around", "many")).alias("places"))
-    return table.join(stash.small(lists, 64 + 40 * F.size("places")), ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
+    lists = stash.small(lists, 64 + 40 * F.size("places"))
+    # Where the lists are too large to broadcast, their ids mostly aren't: then only these texts are shuffled.
+    ids = stash.small(lists.select("doc_id").distinct())
+    return table.join(ids, "doc_id", "left_semi").join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
 
 
 def _windows(texts: DataFrame) -> DataFrame:
