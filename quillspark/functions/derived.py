@@ -20,7 +20,28 @@ EXPERIENCE = {
 }
 
 # Spell slots of levels 1 to 9 that a full caster has at character levels 1 to 20.
-FULL_SLOTS = ["2", "3", "42", "43", "432", "433", "4331", "4332", "43331", "43332", "433321", "433321", "4333211", "4333211", "43332111", "43332111", "433321111", "433331111", "433332111", "433332211"]
+FULL_SLOTS = [
+    [2, 0, 0, 0, 0, 0, 0, 0, 0],
+    [3, 0, 0, 0, 0, 0, 0, 0, 0],
+    [4, 2, 0, 0, 0, 0, 0, 0, 0],
+    [4, 3, 0, 0, 0, 0, 0, 0, 0],
+    [4, 3, 2, 0, 0, 0, 0, 0, 0],
+    [4, 3, 3, 0, 0, 0, 0, 0, 0],
+    [4, 3, 3, 1, 0, 0, 0, 0, 0],
+    [4, 3, 3, 2, 0, 0, 0, 0, 0],
+    [4, 3, 3, 3, 1, 0, 0, 0, 0],
+    [4, 3, 3, 3, 2, 0, 0, 0, 0],
+    [4, 3, 3, 3, 2, 1, 0, 0, 0],
+    [4, 3, 3, 3, 2, 1, 0, 0, 0],
+    [4, 3, 3, 3, 2, 1, 1, 0, 0],
+    [4, 3, 3, 3, 2, 1, 1, 0, 0],
+    [4, 3, 3, 3, 2, 1, 1, 1, 0],
+    [4, 3, 3, 3, 2, 1, 1, 1, 0],
+    [4, 3, 3, 3, 2, 1, 1, 1, 1],
+    [4, 3, 3, 3, 3, 1, 1, 1, 1],
+    [4, 3, 3, 3, 3, 2, 1, 1, 1],
+    [4, 3, 3, 3, 3, 2, 2, 1, 1],
+]
 
 
 def modifier(score: Column) -> Column:
@@ -51,7 +72,7 @@ def proficiency(level: Column) -> Column:
 
 def spell_slots(level: Column, caster: Column) -> Column:
     """Slots by spell level from 0 (none). Half casters have those of a full caster of half their level, rounded up, from level 2 on; others have none; null outside 0 to 20."""
-    full = F.array(*(F.array(*(F.lit(int(c)) for c in ("0" + x).ljust(10, "0"))) for x in FULL_SLOTS))
+    full = F.array(*(F.array(F.lit(0), *(F.lit(n) for n in x)) for x in FULL_SLOTS))
     own = F.element_at(full, F.greatest(F.lit(1), level.cast("int")))
     half = F.slice(F.element_at(full, F.greatest(F.lit(1), F.ceil(level / 2).cast("int"))), 1, 6)
     none = F.array().cast("array<int>")

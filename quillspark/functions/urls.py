@@ -6,14 +6,38 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import slug
 
 # Routes that aren't the type in lower case with an s.
-ROUTES = {"CharacterClass": "classes", "CharClass": "classes", "Species": "species", "Armor": "armor", "Ability": "abilities", "ItemCategory": "itemcategories", "ItemRarity": "itemrarities"}
+ROUTES = {
+    "CharacterClass": "classes",
+    "CharClass": "classes",
+    "Species": "species",
+    "Armor": "armor",
+    "Ability": "abilities",
+    "ItemCategory": "itemcategories",
+    "ItemRarity": "itemrarities",
+    "WeaponProperty": "weaponproperties",
+}
+# Types without a route of their own, and the type whose route they have. Descriptions have that of what they describe.
+OWNERS = {
+    "SpeciesTrait": "Species",
+    "FeatBenefit": "Feat",
+    "BackgroundBenefit": "Background",
+    "CreatureTrait": "Creature",
+    "CreatureAction": "Creature",
+    "SpellCastingOption": "Spell",
+    "ClassFeature": "CharacterClass",
+    "ClassFeatureItem": "CharacterClass",
+}
 #: Types that are addressed through what they describe or belong to.
 NESTED = ["ClassFeature"]
 
 
+def _of(table: dict[str, str], kind: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), kind)
+
+
 def route(kind: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in ROUTES.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, kind), F.concat(F.lower(kind), F.lit("s")))
+    owner = F.coalesce(_of(OWNERS, kind), F.regexp_replace(kind, "Description$", ""))
+    return F.coalesce(_of(ROUTES, owner), F.concat(F.lower(owner), F.lit("s")))
 
 
 def search_route(schema: Column, kind: Column) -> Column:

@@ -164,8 +164,20 @@ def search(corpus: Corpus, request: SearchRequest) -> DataFrame:
     merged = merged.withColumn("__n", F.row_number().over(first)).where("__n = 1")
     if request.strict and (request.fuzzy or request.vector):
         merged = merged.where(F.col("match_type").isin(*["fuzzy"] * request.fuzzy, *["vector"] * request.vector))
-    best = merged.orderBy("type_rank", "score", "object_pk").withColumn("rank", F.monotonically_increasing_id())
-    return best.select("object_pk", "object_name", "match_type", F.abs("score").alias("score"), "rank")
+    return ranked(merged).select("object_pk", "object_name", "match_type", F.abs("score").alias("score"), "rank")
+
+
+def ranked(hits: DataFrame) -> DataFrame:
+    """The hits with rank, from 0 without gaps, by type_rank, score and object_pk.
+
+    Hits are counted by steps of the score, so that each step is sorted by itself: no task sorts all hits.
+    """
+    placed = hits.withColumn("__step", F.floor(F.col("score") * 64))
+    before = Window.orderBy("type_rank", "__step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = placed.groupBy("type_rank", "__step").agg(F.count("*").alias("__many"))
+    steps = steps.select("type_rank", "__step", F.coalesce(F.sum("__many").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("type_rank", "__step").orderBy("score", "object_pk"))
+    return placed.join(steps, ["type_rank", "__step"]).withColumn("rank", F.col("__before") + within - 1).orderBy("rank")
 
 
 def snippet(text: Column, terms: list[str], words: int = 20) -> Column:

@@ -89,9 +89,9 @@ def filt_isnull(t):
     return t.documents.agg(F.count(F.when(filters.predicate(c, "isnull", "true"), 1)).alias("missing"), F.count(F.when(filters.predicate(c, "isnull", "false"), 1)).alias("present"))
 
 
-@query("SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name LIKE 'A%' OR n_name = 'CHINA'")
+@query("SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name LIKE 'NATION_1%' OR n_name = 'NATION_7'")
 def filt_path_1hop(t):
-    return t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name").startswith("A") | (F.col("n_name") == "CHINA")).select("c_custkey", "c_name")
+    return t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name").startswith("NATION_1") | (F.col("n_name") == "NATION_7")).select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
@@ -434,22 +434,29 @@ def srch_merged(t):
 # Linking, quality, conversion
 
 
-@query("SELECT doc_id AS source_key, n_nationkey AS reference_key, n_name AS anchor FROM documents, nation WHERE regexp_matches(text, '\\b' || n_name || '\\b', 'i')")
+@query("""SELECT p_partkey AS source_key, k AS reference_key, name AS anchor FROM part JOIN (SELECT p_brand AS name, min(p_partkey) AS k FROM part GROUP BY p_brand)
+ ON regexp_matches('Made by ' || p_brand || ', unlike ' || p_name || '.', '\\b' || name || '\\b', 'i')""")
 def xref_names(t):
-    sources = t.documents.select(F.lit("document").alias("type"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("desc"))
-    refs = t.nation.select(F.lit("nation").alias("type"), F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("name"))
+    sources = t.part.select(F.lit("part").alias("type"), F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit("Made by "), "p_brand", F.lit(", unlike "), "p_name", F.lit(".")).alias("desc"))
+    refs = t.part.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").cast("string").alias("key")).withColumn("type", F.lit("brand"))
     found = linking.links(sources, refs)
-    return found.select(F.col("source_key").cast("long").alias("source_key"), F.col("reference_key").cast("int").alias("reference_key"), "anchor")
+    return found.select(F.col("source_key").cast("long").alias("source_key"), F.col("reference_key").cast("long").alias("reference_key"), "anchor")
+
 
+def _unmarked(mark: str, table: str) -> str:
+    """SQL that blanks what stands between two marks."""
+    return f"""SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 AND i < len(p) THEN regexp_replace(x, '[^\\n]', ' ', 'g') ELSE x END), '  ') AS text FROM (SELECT doc_id, string_split(text, '{mark}') AS p FROM {table})"""
 
-@query("""WITH b AS (SELECT min(item_id) AS item_id, name FROM (SELECT item_id, regexp_extract(text, '^\\W*(\\w+ \\w+ \\w+)', 1) AS name FROM benchmark) WHERE name <> '' GROUP BY name),
- d AS (SELECT doc_id, text, lower(text) AS low FROM documents WHERE NOT contains(text, '|') AND NOT contains(text, '**') AND NOT contains(text, '__') AND NOT contains(text, '#')),
+
+@query(f"""WITH b AS (SELECT min(item_id) AS item_id, name FROM (SELECT item_id, regexp_extract(text, '^\\W*(\\w+ \\w+ \\w+)', 1) AS name FROM benchmark) WHERE name <> '' GROUP BY name),
+ s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+ m AS (SELECT doc_id, array_to_string(list_transform(l, lambda x, i: CASE WHEN regexp_matches(x, '^\\s*#') OR (contains(x, '|') AND NOT (i > 1 AND contains(l[i - 1], '|'))) THEN repeat(' ', length(x)) ELSE x END), chr(10)) AS text FROM s),
+ bold AS ({_unmarked("**", "m")}), d AS (SELECT doc_id, text, lower(text) AS low FROM ({_unmarked("__", "bold")})),
  c AS MATERIALIZED (SELECT item_id, name, doc_id, text FROM b, d WHERE contains(low, lower(name)))
- SELECT item_id AS reference_key, doc_id AS source_key FROM c WHERE regexp_matches(text, '(^|[^\\p{L}\\p{M}\\p{N}_])' || name || '($|[^\\p{L}\\p{M}\\p{N}_])', 'i')""")
+ SELECT item_id AS reference_key, doc_id AS source_key FROM c WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || name || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 'i')""")
 def xref_passages(t):
-    """Which documents name the first three words of a benchmark item. Documents with markup are left to the rows-only check."""
-    plain = t.documents.where(~F.col("text").contains("|") & ~F.col("text").contains("**") & ~F.col("text").contains("__") & ~F.col("text").contains("#"))
-    sources = plain.select(F.lit("document").alias("type"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("desc"))
+    """Which documents name the first three words of a benchmark item outside headings, tables' first lines and bold parts."""
+    sources = t.documents.select(F.lit("document").alias("type"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("desc"))
     name = F.regexp_extract("text", r"^\W*(\w+ \w+ \w+)", 1)
     refs = t.benchmark.select(F.lit("item").alias("type"), F.col("item_id").cast("string").alias("key"), name.alias("name")).where("name <> ''").groupBy("type", "name").agg(F.min(F.col("key").cast("long")).cast("string").alias("key"))
     found = linking.links(sources, refs)
@@ -488,11 +495,11 @@ def dq_expected_key(t):
     return quality.keys_other_than(t.supplier.select("s_suppkey", "s_name"), "s_name", F.concat(F.lit("Supplier_"), F.col("s_suppkey").cast("string")))
 
 
-@query("""SELECT doc_id, (i - 1)::INT AS position, trim(part, ' ') AS title FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE NOT contains(text, '#')))
+@query("""SELECT doc_id, (i - 1)::INT AS position, trim(part, ' ') AS title FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(CASE WHEN starts_with(text, '## ') THEN chr(10) || substr(text, 4) ELSE text END, chr(10)) AS parts FROM documents))
  WHERE i > 1""")
 def etl_split_sections(t):
-    """Every line but the first of documents without a # as the heading of a section."""
-    marked = t.documents.where(~F.col("text").contains("#")).withColumn("body", F.replace("text", F.lit("\n"), F.lit("\n## ")))
+    """Every line but the first as the heading of a section, and the first if it is a heading itself."""
+    marked = t.documents.withColumn("body", F.replace("text", F.lit("\n"), F.lit("\n## ")))
     return texts.sections(marked.select("doc_id", "body"), "body", 2, ["doc_id"]).select("doc_id", "position", "title")
 
 

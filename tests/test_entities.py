@@ -91,6 +91,8 @@ def test_urls(spark):
     assert v(urls.object_url(F.lit("CharacterClass"), F.lit("bard"))) == "/v2/classes/bard/"
     assert v(urls.object_url(F.lit("ConditionDescription"), F.lit("d"), F.lit("Condition"), F.lit("blind"))) == "/v2/conditions/blind/"
     assert v(urls.search_route(F.lit("v1"), F.lit("Monster"))) == "v1/monsters/"
+    routes = {"WeaponProperty": "weaponproperties", "SpeciesTrait": "species", "FeatBenefit": "feats", "CreatureAction": "creatures", "SpellCastingOption": "spells", "AbilityDescription": "abilities", "ClassFeatureItem": "classes", "Item": "items", "ItemRarity": "itemrarities"}
+    assert {k: v(urls.route(F.lit(k))) for k in routes} == routes
     assert v(urls.newer_path(F.lit("creatures"), F.lit("doc"), F.lit("Big Rat"), F.lit(True))) == "/v2/creatures/doc_big-rat/"
 
 
@@ -102,3 +104,14 @@ def test_export(spark, catalogue, tmp_path):
     exports.export({"weapon": catalogue.weapon, "condition": catalogue.condition, "feat": catalogue.feat}, catalogue.document, str(tmp_path / "out"))
     again = spark.read.json(str(tmp_path / "out"))
     assert {(r.publisher, r.document, r.model, r.pk) for r in again.collect()} == {("pub", "srd", "weapon", "club"), ("pub", "srd", "condition", "blind")}
+
+
+def test_ranks_have_no_gaps(spark):
+    from quillspark.plans.search import ranked
+
+    rows = [(f"k{i:03d}", i % 3, -((i * 7) % 11) / 4.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "object_pk string, type_rank int, score double").repartition(7)
+    found = ranked(df).collect()
+    expected = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    assert [(r.object_pk, r.rank) for r in sorted(found, key=lambda r: r.rank)] == [(r[0], i) for i, r in enumerate(expected)]
+    assert ranked(df.limit(0)).count() == 0
