@@ -20,7 +20,6 @@ from quillspark.llm.toxicity import code_points, remainder
 BITS = 15
 SAMPLE = 1_500  #: documents of each language that its distribution is estimated from at most, by seeded hash
 ROUNDS = 12
-MOST = 3  #: languages in a document's set
 PENALTY = 3.0  #: in units of half the logarithm of the number of trigrams, for each further language
 
 _LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
@@ -65,13 +64,21 @@ def language_sets(row: np.ndarray, gram: np.ndarray, n: np.ndarray, likelihood:
     order = np.argsort(-share, axis=1, kind="stable")
     price = PENALTY * 0.5 * np.log(np.maximum(2, np.add.reduceat(n, at)))
     best, best_value, kept = share, np.full(len(rows), -np.inf), np.ones(len(rows), int)
-    for k in range(1, min(MOST, p.shape[1]) + 1):
-        allowed = np.zeros_like(share)
-        np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-        own_share, fit = mixture(p, n, at, own, allowed, ROUNDS if k > 1 else 0)  # one language has all of the text
-        better = fit - price * k > best_value
-        best = np.where(better[:, None], own_share, best)
-        best_value, kept = np.where(better, fit - price * k, best_value), np.where(better, k, kept)
+    some = np.arange(len(rows))  # rows that gained by their last language
+    for k in range(1, p.shape[1] + 1):
+        here = np.zeros(len(rows), bool)
+        here[some] = True
+        entry = np.flatnonzero(here[own])
+        place = (np.cumsum(here) - 1)[own[entry]]
+        allowed = np.zeros((len(some), p.shape[1]))
+        np.put_along_axis(allowed, order[some, :k], 1, axis=1)
+        own_share, fit = mixture(p[entry], n[entry], np.searchsorted(place, np.arange(len(some))), place, allowed, ROUNDS if k > 1 else 0)  # one language has all of the text
+        value = fit - price[some] * k
+        better = value > best_value[some]
+        some = some[better]
+        best[some], best_value[some], kept[some] = own_share[better], value[better], k
+        if not len(some):
+            break
     return rows, best, kept
 
 
