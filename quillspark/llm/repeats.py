@@ -24,6 +24,7 @@ LONG = 51  #: words that repeat, at least
 WORDS = 32  #: of a paragraph
 GAP = LONG - WORDS + 1  #: anchors are at most so many words apart
 GRAM = 5
+HOT = 2_000  #: a key that more than one in so many paragraphs have is joined without a shuffle; fewer than HOT keys can be
 _GRAM_BASE, _TEXT_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PLACE = ("doc_id", "mark", "word")
 
@@ -148,63 +149,80 @@ def _reach(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(find, "doc_id long, mark long, word long, side int, more long")
 
 
-def _chains(table: DataFrame, stash: Stash) -> DataFrame:
-    """doc_id, mark, word, key, around, chain (its first word), last (first word of its last paragraph), first (the key's smallest place) of the paragraphs that come again."""
+def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows with the columns of keys (the columns of `on`, `many`, and others; a row or two for each), whatever share of the rows one key has.
+
+    many: paragraphs that have the key, of `total` in all. Keys of more than total / HOT are broadcast: as each paragraph
+    has one key, there are fewer than HOT. The others are shuffled, and no task gets more rows of one of them than that.
+    """
+    hot = F.col("many") * HOT > total
+    common = keys.where(hot)
+    others = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(keys.where(~hot).drop("many"), on)
+    return rows.join(F.broadcast(common.drop("many")), on).unionByName(others)
+
+
+def _chains(table: DataFrame, stash: Stash) -> tuple[DataFrame, int]:
+    """The paragraphs that come again, and how many there are of any kind.
+
+    doc_id, mark, word, key, around, chain (its first word), last (first word of its last paragraph), first (the key's
+    smallest place), many (places of the key).
+    """
     found = stash.put(_paragraphs(table))
-    again = found.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-    entries = stash.put(found.join(again, "key"))
-    stash.drop(found)
+    total = found.count()
+    again = found.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct(*_PLACE)).alias("first")).where("many > 1")
+    again = stash.put(again.withColumn("places", F.col("many")))
+    entries = _with_keys(found, again, ["key"], total).withColumnRenamed("places", "many")
     order = Window.partitionBy("doc_id", "mark").orderBy("word")
     new = F.coalesce(F.col("word") - F.lag("word").over(order) > GAP, F.lit(True))
     chained = entries.withColumn("chain", F.last(F.when(new, F.col("word")), True).over(order))
-    chained = chained.withColumn("last", F.max("word").over(Window.partitionBy("doc_id", "mark", "chain")))
-    first = entries.groupBy("key").agg(F.min(F.struct(*_PLACE)).alias("first"))
-    out = stash.put(chained.join(first, "key"))
-    stash.drop(entries)
-    return out
+    out = stash.put(chained.withColumn("last", F.max("word").over(Window.partitionBy("doc_id", "mark", "chain"))))
+    stash.drop(found, again)
+    return out, total
 
 
-def _around_short(table: DataFrame, chained: DataFrame, stash: Stash) -> DataFrame:
+def _around_short(table: DataFrame, chained: DataFrame, total: int, stash: Stash) -> DataFrame:
     """doc_id, mark, chain, start, end, first of the runs of LONG words and more around the paragraphs of short chains that come again."""
-    short = chained.where(F.col("last") - F.col("chain") + WORDS < LONG).select("key").distinct()
-    own = stash.put(chained.join(short, "key").select(*_PLACE, "key", "around", "chain"))
+    short = chained.where(F.col("last") - F.col("chain") + WORDS < LONG).groupBy("key").agg(F.max("many").alias("many"))
+    short = stash.put(short)
+    own = stash.put(_with_keys(chained.select(*_PLACE, "key", "around", "chain"), short, ["key"], total))
     one = stash.put(own.groupBy("key", "around").agg(F.count("*").alias("many"), F.min(F.struct(*_PLACE)).alias("at")))
     windows = stash.put(_windows(_at_places(table, one.select("at.*", "key", "around", "many"), stash)))
     place = F.struct(*_PLACE)
     several = (F.max("many") > 1) | (F.min(place) != F.max(place))  # a text that repeats itself may have one window around several paragraphs
     again = windows.groupBy("key", "window").agg(several.alias("several"), F.min(place).alias("first")).where("several").select("key", "window", "first")
-    held = windows.select("key", "window", "around", "shift").join(again, ["key", "window"])
+    held = windows.select("key", "window", "around", "many", "shift").join(again, ["key", "window"])
     # The first and the last window that come again cover all between them.
-    runs = held.groupBy("key", "around").agg(*(f(F.struct("shift", "first")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))))
-    runs = runs.select("key", "around", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x")).select("key", "around", "x.*")
+    runs = held.groupBy("key", "around").agg(*(f(F.struct("shift", "first")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))), F.max("many").alias("many"))
+    runs = stash.put(runs.select("key", "around", "many", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x")).select("key", "around", "many", "x.*"))
     start = F.col("word") + F.col("shift")
-    out = stash.put(own.join(runs, ["key", "around"]).select("doc_id", "mark", "chain", start.alias("start"), (start + LONG).alias("end"), "first"))
-    stash.drop(own, one, windows)
+    out = stash.put(_with_keys(own, runs, ["key", "around"], total).select("doc_id", "mark", "chain", start.alias("start"), (start + LONG).alias("end"), "first"))
+    stash.drop(own, one, windows, short, runs)
     return out
 
 
-def _ends(table: DataFrame, chained: DataFrame, stash: Stash) -> DataFrame:
+def _ends(table: DataFrame, chained: DataFrame, total: int, stash: Stash) -> DataFrame:
     """doc_id, mark, word, side, more: by how many words the first (side 0) and last (1) paragraph of a long chain reaches on like its source."""
     long = chained.where(F.col("last") - F.col("chain") + WORDS >= LONG)
     elsewhere = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark")) | (F.col("word") != F.col("first.word"))
-    ends = long.where(elsewhere & ((F.col("word") == F.col("chain")) | (F.col("word") == F.col("last")))).select(*_PLACE, "key", "chain", "last", "first")
+    ends = long.where(elsewhere & ((F.col("word") == F.col("chain")) | (F.col("word") == F.col("last")))).select(*_PLACE, "key", "chain", "last", "first", "many")
     ends = stash.put(ends)
     wanted = ends.select(*_PLACE, "key").unionByName(ends.select("first.*", "key")).distinct()
     context = stash.put(_contexts(_at_places(table, wanted.withColumn("around", F.lit(0).cast("long")).withColumn("many", F.lit(1).cast("long")), stash)))
-    source = ends.select("key", "first.*").distinct().join(context, ["key", *_PLACE]).select("key", F.struct("left", "right").alias("of"))
+    source = ends.select("key", "many", "first.*").distinct().join(context, ["key", *_PLACE]).select("key", "many", F.struct("left", "right").alias("of"))
+    source = stash.put(source)
     own = ends.select(*_PLACE, "key", "chain", "last").join(context, ["key", *_PLACE])
     sides = F.array(*(F.struct(F.lit(k).alias("side"), (F.col("word") == F.col(c)).alias("ends"), F.col(s).alias("own"), F.col(f"of.{s}").alias("source")) for k, c, s in ((0, "chain", "left"), (1, "last", "right"))))
-    pairs = own.join(source, "key").select(*_PLACE, F.explode(sides).alias("x")).select(*_PLACE, "x.*").where("ends")
+    pairs = _with_keys(own, source, ["key"], total).select(*_PLACE, F.explode(sides).alias("x")).select(*_PLACE, "x.*").where("ends")
     out = stash.put(_reach(pairs.select(*_PLACE, "side", "own", "source")))
-    stash.drop(ends, context)
+    stash.drop(ends, context, source)
     return out
 
 
-def _clusters(chained: DataFrame, stash: Stash) -> DataFrame:
+def _clusters(chained: DataFrame, total: int, stash: Stash) -> DataFrame:
     """doc_id, mark, chain, cluster_id: chains that share a paragraph are in one cluster."""
     name = F.xxhash64("doc_id", "mark", "chain")
-    least = chained.groupBy("key").agg(F.min(name).alias("b"))
-    edges = stash.put(chained.join(least, "key").select(name.alias("a"), "b").where("a <> b").distinct())
+    least = stash.put(chained.groupBy("key").agg(F.min(name).alias("b"), F.max("many").alias("many")))
+    edges = stash.put(_with_keys(chained.drop("many"), least, ["key"], total).select(name.alias("a"), "b").where("a <> b").distinct())
     roots = components(edges, stash)
     names = chained.select("doc_id", "mark", "chain", name.alias("name")).distinct()
     out = names.join(roots, F.col("name") == F.col("node"), "left").select("doc_id", "mark", "chain", F.coalesce("root", "name").alias("cluster_id"))
@@ -224,9 +242,9 @@ def verbatim_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     stash = Stash(docs.sparkSession)
     table = _texts(docs, id_col, text_col)
-    chained = _chains(table, stash)
-    shorts = _around_short(table, chained, stash)
-    ends = _ends(table, chained, stash)
+    chained, total = _chains(table, stash)
+    shorts = _around_short(table, chained, total, stash)
+    ends = _ends(table, chained, total, stash)
     reach = [ends.where(f"side = {k}").select(*_PLACE, F.col("more").alias(n)) for k, n in ((0, "before"), (1, "after"))]
     long = chained.where(F.col("last") - F.col("chain") + WORDS >= LONG).join(reach[0], [*_PLACE], "left").join(reach[1], [*_PLACE], "left")
     before = F.coalesce("before", F.lit(0))
@@ -239,7 +257,7 @@ def verbatim_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs = parts.withColumn("run", F.sum(F.when(F.col("start") <= reached, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "mark", "removed", "run").agg(F.min("start").alias("word"), (F.max("end") - F.min("start")).alias("n_words"), F.min("first").alias("first"), F.min("chain").alias("chain"))
     if clusters:
-        runs = runs.join(_clusters(chained, stash), ["doc_id", "mark", "chain"])
+        runs = runs.join(_clusters(chained, total, stash), ["doc_id", "mark", "chain"])
     else:
         runs = runs.withColumn("cluster_id", F.lit(None).cast("long"))
     return runs.select("doc_id", "mark", "word", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.mark").alias("first_mark"), F.col("first.word").alias("first_word"), "removed", "cluster_id")

@@ -337,8 +337,9 @@ def test_passages_inside_lines_and_over_short_lines(spark):
     assert left == expected
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_verbatim_repeats_like_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(0, repeats.HOT), (1, 1), (1, 40)])
+def test_verbatim_repeats_like_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)  # 1: all keys are shuffled, 40: some
     rng = random.Random(seed)
     pool = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(30, 90))] for _ in range(12)] + [["x"] * 70, ["p", "q", "r"] * 30]
     rows = []
