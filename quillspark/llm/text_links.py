@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.arrays import mix, pieces, shingles, starts, sums, utf8
@@ -23,6 +23,7 @@ from quillspark.llm.storage import Stash
 TASK_BYTES = 4 << 20  #: of texts that one task holds, if no single group has more
 BLOCK = 1_000  #: members of one group in a block
 PIVOTS = 4
+SALTS = 64
 
 
 def set_marks(rows: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
@@ -81,14 +82,14 @@ def text_links(candidates: DataFrame, texts: Callable[[DataFrame], DataFrame], s
     gives (item, text) of a table with a column `item`, at least one row for each with the text whose set mark it is.
     """
     members = stash.put(components(candidates, stash).select(F.col("root").alias("key"), F.col("node").alias("item")))
-    by_key = Window.partitionBy("key").orderBy("item")
-    groups = members.groupBy("key").agg(F.count("*").alias("many"))
+    # The pivots are chosen from the least item of each of SALTS parts of a group, which are aggregated before a shuffle.
+    least = members.groupBy("key", F.pmod(F.xxhash64("item"), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n"), F.min("item").alias("item"))
+    groups = least.groupBy("key").agg(F.sum("n").alias("many"), F.slice(F.sort_array(F.collect_list("item")), 1, PIVOTS).alias("pivots"))
+    groups = stash.put(groups)
     large = groups.where(F.col("many") > BLOCK)
-    pivots = members.join(large.select("key", "many"), "key").withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(64)))
-    first = pivots.withColumn("n", F.row_number().over(Window.partitionBy("key", "salt").orderBy("item"))).where(F.col("n") <= PIVOTS)
-    first = first.withColumn("n", F.row_number().over(by_key)).where(F.col("n") <= PIVOTS)
+    first = large.select("key", F.explode("pivots").alias("item"), "many")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    placed = members.join(groups, "key").select("key", "item", F.when(F.col("many") > BLOCK, F.pmod(F.xxhash64("item", "key"), blocks)).otherwise(F.lit(0).cast("long")).alias("block"), "many")
+    placed = members.join(groups.select("key", "many"), "key").select("key", "item", F.when(F.col("many") > BLOCK, F.pmod(F.xxhash64("item", "key"), blocks)).otherwise(F.lit(0).cast("long")).alias("block"), "many")
     spread = first.select("key", "item", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "many")
     round_one = placed.unionByName(spread).distinct()
     needed = stash.put(_own_texts(texts(members.select("item")), size))
@@ -111,7 +112,7 @@ def text_links(candidates: DataFrame, texts: Callable[[DataFrame], DataFrame], s
         work = one.unionByName(two, allowMissingColumns=True).withColumn("task", F.xxhash64("key", "i", "j")).select("key", "item", "root", "side", "task")
         more = stash.put(_run(work, needed, size, num, den))
         roots = stash.put(components(edges.unionByName(more), stash))
-    stash.drop(needed, known, members)
+    stash.drop(needed, known, members, groups)
     return roots
 
 
