@@ -49,6 +49,8 @@ LOOKUPS: dict[str, Callable[[Column, object], Column]] = {
     "lte": lambda c, v: c <= F.lit(v),
     "isnull": lambda c, v: c.isNull() if is_true(v) else c.isNotNull(),
     "like": lambda c, v: ascii_fold(c).like(fold(v)),
+    "has": lambda c, v: F.array_contains(c, F.lit(v)),
+    "has_not": lambda c, v: ~F.array_contains(c, F.lit(v)),
 }
 
 
@@ -59,10 +61,10 @@ def predicate(column: Column, lookup: str, value: object) -> Column:
 
 
 class FilterSet:
-    """Which lookups each column allows. aliases: parameter names of other columns; a lookup of a parameter follows two underscores."""
+    """Which lookups each column allows. aliases: parameter names of other columns; a lookup of a parameter follows two underscores. named: parameters that stand for a column and a lookup."""
 
-    def __init__(self, allowed: Mapping[str, list[str]], aliases: Mapping[str, str] | None = None):
-        self.allowed, self.aliases = dict(allowed), dict(aliases or {})
+    def __init__(self, allowed: Mapping[str, list[str]], aliases: Mapping[str, str] | None = None, named: Mapping[str, tuple[str, str]] | None = None):
+        self.allowed, self.aliases, self.named = dict(allowed), dict(aliases or {}), dict(named or {})
 
     @classmethod
     def of_schema(cls, df: DataFrame) -> "FilterSet":
@@ -70,6 +72,8 @@ class FilterSet:
         return cls({f.name: ["exact"] if f.dataType.simpleString() in ("string", "int", "bigint", "double", "boolean") else ["icontains"] for f in df.schema})
 
     def parse(self, name: str) -> tuple[str, str] | None:
+        if name in self.named:
+            return self.named[name]
         for column, lookups in self.allowed.items():
             for known in (column, *(a for a, c in self.aliases.items() if c == column)):
                 for lookup in lookups:
@@ -79,7 +83,8 @@ class FilterSet:
 
     def apply(self, df: DataFrame, params: Mapping[str, object]) -> DataFrame:
         """All given parameters hold; those that name no filter are ignored."""
-        found = [predicate(F.col(x[0].replace("__", ".")), x[1], v) for k, v in params.items() if v not in (None, "") and (x := self.parse(k))]
+        column = lambda name: F.col(name if name in df.columns else name.replace("__", "."))
+        found = [predicate(column(x[0]), x[1], v) for k, v in params.items() if v not in (None, "") and (x := self.parse(k))]
         return df.where(reduce(lambda a, b: a & b, found)) if found else df
 
 
