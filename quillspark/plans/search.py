@@ -2,12 +2,15 @@
 
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import highlighted, without_accents
+from quillspark.functions.urls import search_route
 from quillspark.operators.filters import predicate
+from quillspark.operators.paging import PAGE_SIZE, Page
 
 # Constants of the ranking function, floor of a term's weight, thresholds of the other searches.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -62,10 +65,14 @@ def postings(corpus: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("term", key, "column").agg(F.count("*").alias("n"))
 
 
+def weighed_words(text: Column) -> Column:
+    """Words of two word characters at least, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), 1)
+
+
 def term_weights(corpus: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, weight): TF-IDF with smoothed idf = ln((1 + N) / (1 + df)) + 1, rows scaled to length 1. Terms have two word characters at least."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), 1)
-    tf = corpus.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = corpus.select(key, F.explode(weighed_words(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = corpus.agg(F.count("*").alias("n"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("raw", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
@@ -76,7 +83,7 @@ def term_weights(corpus: DataFrame, key: str, text: Column) -> DataFrame:
 def tfidf_scores(weights: DataFrame, key: str, query: str) -> DataFrame:
     """(key, score) of cosine similarity with the query, above the threshold."""
     spark = weights.sparkSession
-    words = spark.createDataFrame([(query,)], "q string").select(F.explode(F.regexp_extract_all(F.lower("q"), F.lit(r"(?U)(\b\w\w+\b)"), 1)).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
+    words = spark.createDataFrame([(query,)], "q string").select(F.explode(weighed_words(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
     idf = weights.join(F.broadcast(words), "term").groupBy("term").agg(F.first("idf").alias("idf"), F.first("qtf").alias("qtf"))
     scaled = idf.withColumn("q", F.col("qtf") * F.col("idf"))
     norm = scaled.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
@@ -129,42 +136,103 @@ class SearchRequest:
     strict: bool = False
 
 
+class Index(Protocol):
+    """What answers searches from kept tables."""
+
+    def bm25(self, terms: list[str], weights: dict[str, float]) -> DataFrame: ...
+    def similar_to(self, query: str) -> DataFrame: ...
+
+
 @dataclass
 class Corpus:
-    """Columns: object_pk (unique), object_name, object_model, document_pk, schema_version, text."""
+    """Columns: object_pk (unique), object_name, object_model, document_pk, schema_version, text. With an index no search reads all texts."""
 
     rows: DataFrame
-    weights: DataFrame
+    weights: DataFrame | None = None
     columns: dict[str, float] = field(default_factory=lambda: {"document_pk": 1, "object_pk": 1, "object_name": 10, "object_model": 1, "schema_version": 1, "text": 1})
+    index: Index | None = None
 
+    def exact(self, terms: list[str]) -> DataFrame:
+        """Rows with `score`."""
+        return self.rows.join(self.index.bm25(terms, self.columns), "object_pk") if self.index else bm25(self.rows, terms, self.columns)
 
-def search(corpus: Corpus, request: SearchRequest) -> DataFrame:
-    """object_pk, object_name, match_type, score, rank: exact hits by rank, then fuzzy ones, then similar ones, each entry once.
+    def similar(self, query: str) -> DataFrame:
+        return self.index.similar_to(query) if self.index else tfidf_scores(self.weights, "object_pk", query)
 
-    Fuzzy matching also stands in where nothing matches exactly. strict with fuzzy or vector gives those hits only.
-    Words of the query that the full-text language doesn't take match nothing exactly.
-    """
-    spark = corpus.rows.sparkSession
-    empty = spark.createDataFrame([], "object_pk string, object_name string, match_type string, type_rank int, score double")
+
+HIT = "object_pk string, object_name string, match_type string, type_rank int, score double, matched_term string"
+
+
+def _merged(corpus: Corpus, request: SearchRequest) -> DataFrame:
+    """Hits of all searches that the request needs, each entry once, as the first type that found it."""
+    empty = corpus.rows.sparkSession.createDataFrame([], HIT)
     if not request.query.strip():
-        return empty.select("object_pk", "object_name", "match_type", "score", F.lit(0).alias("rank"))
+        return empty
     wanted = predicate(F.col("schema_version"), "like", request.schema) & predicate(F.col("document_pk"), "like", request.document) & predicate(F.col("object_model"), "like", request.model)
     terms = terms_of(request.query)
-    kind = lambda df, name, rank: df.select("object_pk", "object_name", F.lit(name).alias("match_type"), F.lit(rank).alias("type_rank"), "score")
-    exact = kind(bm25(corpus.rows, terms, corpus.columns).where(wanted), "exact", 0) if terms else empty
+    kind = lambda df, name, rank, term: df.select("object_pk", "object_name", F.lit(name).alias("match_type"), F.lit(rank).alias("type_rank"), "score", term.cast("string").alias("matched_term"))
+    exact = kind(corpus.exact(terms).where(wanted), "exact", 0, F.lit(request.query)) if terms else empty
     parts = [exact]
     if request.fuzzy or (not request.strict and exact.isEmpty()):
         names = fuzzy_names(corpus.rows, "object_name", request.query)
-        parts.append(kind(corpus.rows.where(wanted).join(names, "object_name").withColumn("score", -F.col("score") / 100), "fuzzy", 1))
+        parts.append(kind(corpus.rows.where(wanted).join(names, "object_name").withColumn("score", -F.col("score") / 100), "fuzzy", 1, F.col("word")))
     if request.vector:
-        near = tfidf_scores(corpus.weights, "object_pk", request.query)
-        parts.append(kind(corpus.rows.where(wanted).join(near, "object_pk").withColumn("score", -F.col("score")), "vector", 2))
+        near = corpus.similar(request.query)
+        parts.append(kind(corpus.rows.where(wanted).join(near, "object_pk").withColumn("score", -F.col("score")), "vector", 2, F.lit(None)))
     merged = reduce(DataFrame.unionByName, parts)
     first = Window.partitionBy("object_pk").orderBy("type_rank", "score")
-    merged = merged.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return merged.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+def _shown(merged: DataFrame, request: SearchRequest) -> DataFrame:
     if request.strict and (request.fuzzy or request.vector):
-        merged = merged.where(F.col("match_type").isin(*["fuzzy"] * request.fuzzy, *["vector"] * request.vector))
-    return ranked(merged).select("object_pk", "object_name", "match_type", F.abs("score").alias("score"), "rank")
+        return merged.where(F.col("match_type").isin(*["fuzzy"] * request.fuzzy, *["vector"] * request.vector))
+    return merged
+
+
+def search(corpus: Corpus, request: SearchRequest) -> DataFrame:
+    """object_pk, object_name, match_type, score, rank: exact hits by rank, then fuzzy ones, then similar ones, each entry once.
+
+    Fuzzy matching also stands in where nothing matches exactly. strict with fuzzy or vector gives those hits only.
+    Words of the query that the full-text language doesn't take match nothing exactly. An empty query finds nothing.
+    """
+    return ranked(_shown(_merged(corpus, request), request)).select("object_pk", "object_name", "match_type", F.abs("score").alias("score"), "rank")
+
+
+@dataclass
+class SearchPage(Page):
+    """exact_matches: whether anything matches exactly, shown or not."""
+
+    exact_matches: bool = False
+
+
+def respond(corpus: Corpus, request: SearchRequest, number: int = 1, size: int = PAGE_SIZE) -> SearchPage:
+    """One page of hits with their texts, marked texts, routes and extra columns (`extra`, if the corpus has it). An exact hit's match_score is 1.
+
+    LookupError if there is no such page. Only the page's rows (`size` at most) are joined with the texts.
+    """
+    if number < 1 or size < 1:
+        raise ValueError("pages and their sizes begin at 1")
+    merged = _merged(corpus, request)
+    facts = merged.agg(F.max(F.col("match_type") == "exact").alias("exact")).first()
+    shown = _shown(merged, request)
+    count = shown.count()
+    if number > max(1, -(-count // size)):
+        raise LookupError(f"there is no page {number}")
+    begin = (number - 1) * size
+    page = ranked(shown).where(F.col("rank").between(begin, begin + size - 1)).drop("object_name")
+    rows = corpus.rows.join(F.broadcast(page), "object_pk")  # as many rows as a page has
+    words = terms_of(request.query) or request.query.split()
+    marked = F.when(F.col("match_type") == "exact", snippet(F.col("text"), words)).when(F.col("match_type") == "fuzzy", _marked_by(F.col("matched_term"))).otherwise(highlighted(F.col("text"), [request.query]))
+    score = F.when(F.col("match_type") == "exact", 1.0).otherwise(F.abs("score"))
+    extra = [F.col("extra")] if "extra" in corpus.rows.columns else []
+    rows = rows.select("document_pk", "object_pk", "object_name", "object_model", "schema_version", search_route(F.col("schema_version"), F.col("object_model")).alias("route"), "text", marked.alias("highlighted"), "match_type", "matched_term", score.alias("match_score"), *extra, "rank")
+    return SearchPage(count, number, size, rows.orderBy("rank"), bool(facts.exact))
+
+
+def _marked_by(word: Column) -> Column:
+    """The text with each whole `word`, which is letters, digits and _, marked."""
+    return F.regexp_replace(F.col("text"), F.concat(F.lit(r"(?iU)\b("), word, F.lit(r")\b")), F.lit('<span class="highlighted">$1</span>'))
 
 
 def ranked(hits: DataFrame) -> DataFrame:
