@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import derived, parsers, text
 from quillspark.operators import aggregates, filters, joins, paging, projection, quality
 from quillspark.plans import linking, list_query, search
+from quillspark.plans.search_index import SearchIndex
+from quillspark.session import working_folder
 from quillspark.sources import texts
 
 FLAGSHIP = "list_parts"
@@ -110,6 +112,14 @@ def filt_m2m_anti(t):
     return filters.unrelated(t.customer, t.orders, "c_custkey", "o_custkey", F.col("o_orderstatus") == "F").select("c_custkey")
 
 
+_WORDS = filters.FilterSet({}, named={"with": ("words", "has"), "without": ("words", "has_not")})
+
+
+@query("SELECT doc_id, lang FROM documents WHERE list_contains(string_split(text, ' '), 'the') AND NOT list_contains(string_split(text, ' '), 'and')")
+def filt_array_has(t):
+    return _WORDS.apply(t.documents.withColumn("words", F.split("text", " ")), {"with": "the", "without": "and"}).select("doc_id", "lang")
+
+
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE (contains(lower(p_name), 'a') OR contains(lower(p_brand), 'a')) AND (contains(lower(p_name), '1') OR contains(lower(p_brand), '1'))")
 def filt_keyword_search(t):
     return filters.keyword_search(t.part, "A 1", ["p_name", "p_brand"]).select("p_partkey", "p_name", "p_brand")
@@ -392,6 +402,13 @@ def srch_bm25(t):
     return search.bm25(t.documents.select("doc_id", "text"), ["license", "version"], {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(ORACLES["srch_bm25"])
+def srch_index(t):
+    """What srch_bm25 finds, from an index that is written first."""
+    index = SearchIndex.build(t.documents.select("doc_id", "text"), working_folder(t.spark, "search-index"), ["text"], "doc_id", parts=16)
+    return index.bm25(["license", "version"], {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+
+
 _WEIGHTS = """tf AS (SELECT p_partkey, term, count(*) AS tf FROM (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '\\w\\w+')) AS term FROM part) GROUP BY ALL),
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM part),
  raw AS (SELECT p_partkey, term, tf * (ln((1 + n) / (1 + df)) + 1) AS r, ln((1 + n) / (1 + df)) + 1 AS idf FROM tf JOIN df USING (term), n),

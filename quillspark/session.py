@@ -3,6 +3,7 @@
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,3 +28,13 @@ def ship(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="quillspark-")
     context.addPyFile(shutil.make_archive(f"{folder}/quillspark", "zip", ROOT, "quillspark"))
     context._quillspark_shipped = True
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of this run, below spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="quillspark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
