@@ -14,6 +14,7 @@ from quillspark.llm.mixing import mix_documents
 from quillspark.llm.nearest import nearest
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.paragraphs import all_repeats
+from quillspark.llm.quality import document_quality
 from quillspark.llm.shingle_join import join_shingles
 from quillspark.llm.tokens import token_counts
 from quillspark.llm.toxicity import document_toxicity
@@ -66,6 +67,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_vector_dedup, op4_language, op5_extraction, op6_toxicity, op7_passages, op8_nearest, op9_shingle_join, op10_packing, op12_collocations, op13_importance)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_vector_dedup, op4_language, op5_extraction, op6_toxicity, op7_passages, op8_nearest, op9_shingle_join, op10_packing, op11_quality, op12_collocations, op13_importance)}
 ORACLES: dict[str, str] = {
     "op12_collocations": r"""
 WITH pieces AS (
