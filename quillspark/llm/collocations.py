@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,28 +20,32 @@ from quillspark.llm.word_runs import BLOCK, Block, Split
 
 SPLIT = Split.at(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 NO_LANG = "und"
-SALTS = 64
+SALTS = 16  #: parts of a language that are ranked apart before their first rows are ranked together
 _EXACT = "decimal(38,0)"
 
 
-def run_counts(docs: DataFrame, max_n: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase, f) of all runs of 1 to max_n words within pieces of text. Language and phrase are one key while they are shuffled."""
+def run_counts(docs: DataFrame, max_n: int, least: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, phrase, f) of the runs of 1 to max_n words within pieces of text that come `least` times or more, and of the empty phrase: all words.
+
+    Language and phrase are one key while they are shuffled, and are told apart only in what is left.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", BLOCK):
                 block, lang = Block(part.column("text"), SPLIT), part.column("lang").dictionary_encode()
-                names, of = lang.dictionary.to_pylist(), np.asarray(lang.indices).astype(np.int64)
+                names, of = pc.binary_join_element_wise("\n", lang.dictionary, ""), np.asarray(lang.indices).astype(np.int64)
+                words = np.bincount(of[block.row], minlength=len(names))
+                yield pa.record_batch({"key": names, "f": words})
                 for n, runs in enumerate(block.runs(max_n, of), 1):
-                    name = pa.array(names, pa.string()).take(pa.array(of[block.row[runs.one]]))
-                    yield pa.record_batch({"lang": name, "phrase": block.strings(runs.one, n), "f": runs.count})
+                    name = names.take(pa.array(of[block.row[runs.one]]))
+                    yield pa.record_batch({"key": pc.binary_join_element_wise(block.strings(runs.one, n), name, ""), "f": runs.count})
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(count, "lang string, phrase string, f long")
-    key = F.concat("phrase", F.lit("\n"), "lang")  # a phrase holds no line end
-    counted = found.select(key.alias("key"), "f").groupBy("key").agg(F.sum("f").alias("f"))
-    end = F.instr("key", "\n")
-    return counted.select(F.expr("substring(key, instr(key, '\\n') + 1)").alias("lang"), F.substring("key", F.lit(1), end - 1).alias("phrase"), "f")
+    counted = rows.mapInArrow(count, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    kept = counted.where((F.col("f") >= least) | F.col("key").startswith("\n"))
+    end = F.instr("key", F.lit("\n"))  # a phrase holds no line end
+    return kept.select(F.substring("key", end + 1, F.length("key")).alias("lang"), F.substring("key", F.lit(1), end - 1).alias("phrase"), "f")
 
 
 def _words(phrase: Column) -> Column:
@@ -84,11 +89,9 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, within: tuple
     without a phrase that comes often enough, gives an empty result.
     """
     stash = Stash(docs.sparkSession)
-    counts = run_counts(docs, max_n, lang_col, text_col)
-    # The words of a language are all its single words; the rare ones are needed for no more than this sum.
-    kept = stash.put(counts.withColumn("single", F.instr("phrase", " ") == 0).groupBy("lang", F.when((F.col("f") >= least), F.col("phrase")).alias("phrase")).agg(F.sum("f").alias("f"), F.sum(F.when(F.col("single"), F.col("f")).otherwise(0)).alias("words")))
-    frequent = kept.where("phrase IS NOT NULL").select("lang", "phrase", "f")
-    total = kept.groupBy("lang").agg(F.sum("words").alias("n"))
+    kept = stash.put(run_counts(docs, max_n, least, lang_col, text_col))
+    frequent = kept.where("phrase <> ''")
+    total = kept.where("phrase = ''").select("lang", F.col("f").alias("n"))
     left = scored(frequent).join(parts_of_longer(frequent, max_n, *within), ["lang", "phrase"], "left_anti")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
