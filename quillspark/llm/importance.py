@@ -1,11 +1,14 @@
 """Resampling of documents towards a target distribution by the gains of hashed word n-grams.
 
-A dictionary counts every distinct n-gram string of the documents and of the target texts and hashes it once; counts of
-buckets come from the dictionary, and the gain of a string's bucket is joined back to the documents that hold it. The
+A dictionary counts every distinct n-gram string of a block of texts and hashes it once; counts of buckets come from the
+dictionaries of all blocks, and the gain of a string's bucket is joined back to the texts of the block that hold it. No
+string leaves its block: a dictionary over all documents would shuffle more than eight times the input (README). The
 draw without replacement is a top-k by weight plus seeded Gumbel noise.
 """
 
+import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,53 +17,63 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.arrays import pieces
 from quillspark.llm.storage import Stash
-from quillspark.llm.word_runs import BLOCK, Block, Split
+from quillspark.llm.word_runs import BLOCK, Block, Runs, Split
 
 #: ASCII letters and digits and all that isn't ASCII are word bytes.
 SPLIT = Split.at(bytes(b for b in range(128) if not chr(b).isalnum()))
 BUCKETS, SIZES, SEED = 10_000, 3, 42
 
 
-def document_words(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_words, n_features of each row: numbers of words and of runs of 1 to SIZES words."""
+def _dictionary(block: Block) -> Iterator[tuple[Runs, np.ndarray]]:
+    """For each length, the block's runs and the bucket of each distinct one, whose string is hashed once."""
+    for n, runs in enumerate(block.runs(SIZES), 1):
+        strings = block.strings(runs.one, n).cast(pa.binary()).to_pylist()
+        yield runs, np.fromiter(map(crc32, strings), np.int64, len(strings)) % BUCKETS
+
+
+def bucket_counts(texts: DataFrame) -> DataFrame:
+    """(bucket, n) of all runs of 1 to SIZES words; each task adds up its own first. texts: (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in pieces(batch, "text", BLOCK):
-                n = np.bincount(Block(part.column("text"), SPLIT).row, minlength=part.num_rows)
-                runs = sum(np.maximum(0, n - k) for k in range(SIZES))
-                yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "n_words": n, "n_features": runs})
+                for runs, bucket in _dictionary(Block(part.column("text"), SPLIT)):
+                    np.add.at(total, bucket, runs.count)
+        some = np.flatnonzero(total)
+        yield pa.record_batch({"bucket": some.astype(np.int32), "n": total[some]})
 
-    return docs.mapInArrow(count, "row long, doc_id long, n_words long, n_features long")
+    return texts.mapInArrow(count, "bucket int, n long")
 
 
-def feature_counts(docs: DataFrame) -> DataFrame:
-    """(row, feature, n): how often each run of 1 to SIZES words comes in each row's text."""
+def weighed(docs: DataFrame, gains: np.ndarray) -> DataFrame:
+    """doc_id, n_words, n_features, weight of each row: numbers of words and of runs of 1 to SIZES words, and the sum of the runs' gains. gains: by bucket."""
+    shared = docs.sparkSession.sparkContext.broadcast(gains)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", BLOCK):
-                block, rows = Block(part.column("text"), SPLIT), np.asarray(part.column("row"))
-                for n, runs in enumerate(block.runs(SIZES, np.arange(part.num_rows)), 1):
-                    yield pa.record_batch({"row": rows[block.row[runs.one]], "feature": block.strings(runs.one, n), "n": runs.count})
-
-    return docs.mapInArrow(count, "row long, feature string, n long")
-
+                block = Block(part.column("text"), SPLIT)
+                n = np.bincount(block.row, minlength=part.num_rows)
+                weight = np.zeros(part.num_rows, np.int64)
+                for runs, bucket in _dictionary(block):
+                    np.add.at(weight, block.row[runs.first], shared.value[bucket][runs.code])
+                features = sum(np.maximum(0, n - k) for k in range(SIZES))
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": n, "n_features": features, "weight": weight})
 
-def bucket_of(feature: Column) -> Column:
-    return (F.crc32(feature.cast("binary")) % BUCKETS).cast("int")
+    return docs.mapInArrow(weigh, "doc_id long, n_words long, n_features long, weight long")
 
 
-def bucket_gains(strings: DataFrame, target: DataFrame, stash: Stash) -> DataFrame:
-    """(bucket, gain) of every bucket. strings, target: (bucket, n) of counted strings, in any number of rows."""
-    spark = strings.sparkSession
-    own, wanted = (df.groupBy("bucket").agg(F.sum("n").alias(c)) for df, c in ((strings, "s"), (target, "t")))
+def bucket_gains(own: DataFrame, target: DataFrame) -> np.ndarray:
+    """The gain of every bucket. own, target: (bucket, n), in any number of rows."""
+    spark = own.sparkSession
+    s, t = (df.groupBy("bucket").agg(F.sum("n").alias(c)) for df, c in ((own, "s"), (target, "t")))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    held = stash.put(every.join(own, "bucket", "left").join(wanted, "bucket", "left").fillna(0, ["s", "t"]).coalesce(1))
-    sums = held.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    d = lambda c: F.col(c).cast("double")
-    ratio = ((d("t") + 1) * (d("all_s") + BUCKETS)) / ((d("s") + 1) * (d("all_t") + BUCKETS))
-    return held.crossJoin(F.broadcast(sums)).select("bucket", F.floor(1000 * F.ln(ratio)).alias("gain"))  # one row of sums
+    held = every.join(s, "bucket", "left").join(t, "bucket", "left").fillna(0, ["s", "t"])
+    rows = held.toPandas().sort_values("bucket")  # BUCKETS rows
+    s, t = (rows[c].to_numpy(np.int64).astype(float) for c in ("s", "t"))
+    ratio = ((t + 1) * (s.sum() + BUCKETS)) / ((s + 1) * (t.sum() + BUCKETS))
+    return np.array([math.floor(1000 * math.log(x)) for x in ratio.tolist()], np.int64)
 
 
 def noise(doc_id: Column) -> Column:
@@ -107,14 +120,8 @@ def resample(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 10
     empty target makes every gain that of no target text.
     """
     stash = Stash(docs.sparkSession)
-    table = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wanted = target.select(F.monotonically_increasing_id().alias("row"), F.col(target_col).cast("string").alias("text"))
-    counts = feature_counts(table)
-    dictionary = stash.put(counts.groupBy("feature").agg(F.sum("n").alias("n")).withColumn("bucket", bucket_of(F.col("feature"))))
-    asked = feature_counts(wanted).groupBy("feature").agg(F.sum("n").alias("n")).withColumn("bucket", bucket_of(F.col("feature")))
-    gains = bucket_gains(dictionary, asked, stash)
-    gained = dictionary.join(F.broadcast(gains), "bucket").select("feature", "gain")  # BUCKETS rows
-    weights = counts.join(gained, "feature").groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("weight"))
-    weighed = document_words(table).join(weights, "row", "left").withColumn("weight", F.coalesce("weight", F.lit(0).cast("long")))
-    scored = stash.put(weighed.select("doc_id", "n_words", "n_features", "weight", (F.col("weight") + noise(F.col("doc_id"))).alias("score")))
+    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    wanted = target.select(F.col(target_col).cast("string").alias("text"))
+    rows = weighed(table, bucket_gains(bucket_counts(table.select("text")), bucket_counts(wanted)))
+    scored = stash.put(rows.withColumn("score", F.col("weight") + noise(F.col("doc_id"))))
     return drawn(scored, share, least, stash).select("doc_id", "n_features", "weight", "score", "rank")
