@@ -33,6 +33,5 @@ def components(edges: DataFrame, stash: Stash) -> DataFrame:
 
 
 def _state(links: DataFrame) -> tuple:
-    """Count and order-free fingerprint of the edges."""
-    mark = F.xxhash64("a", "b")
-    return tuple(links.agg(F.count("*"), F.sum(F.pmod(mark, F.lit(1 << 40))), F.bit_xor(mark)).first())
+    """Count and order-free fingerprints of the edges, which are distinct. No sum of hashes: that would leave 64 bits."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())

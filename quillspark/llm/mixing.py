@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.storage import Stash
+from quillspark.llm.storage import Stash, as_rows, of_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -177,9 +177,15 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> tuple[DataFrame, Mixture]:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of the documents that the mixture takes, each as often as it does. Columns stay as they are."""
+    """The rows of the documents that the mixture takes, each as often as it does. Columns of any name stay as they are.
+
+    Null and empty texts have no words and are not taken; a null source is a source; rows that repeat an id are taken
+    alike. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
-    rows = Stash(spark).put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    own = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "size": word_count(F.col("text"))}
+    rows = Stash(spark).put(docs.select(*(c.alias(n) for n, c in own.items())))
     mixture = plan_mixture(rows, "doc_id", "size", F.array("source"), rotating_weights, seed=seed)
-    taken = mixture.copies(docs, F.col("doc_id").cast("long"), F.array(F.col("source").cast("string")), "__copies")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.when(word_count(F.col("text")) > 0, F.col("__copies")).otherwise(0).cast("int")))).select(docs.columns)
+    taken = mixture.copies(as_rows(docs, **own), F.col("doc_id"), F.array("source"))
+    times = F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("int")
+    return of_rows(taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))), docs.columns)

@@ -10,13 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.arrays import pieces, shingles, starts, utf8, word_hashes
 from quillspark.llm.mixing import draw
 from quillspark.llm.signature_tree import SMALL, Signatures, bitmap
-from quillspark.llm.storage import Stash
+from quillspark.llm.storage import Stash, as_rows, of_rows
 from quillspark.llm.text_links import set_marks, shared_keys, text_links
 from quillspark.llm.vector_dedup import all_pairs, stars
 
@@ -106,15 +106,9 @@ def candidate_edges(members: DataFrame, signatures: DataFrame, num: int, den: in
     return stash.put(work.groupBy("task").applyInArrow(lambda t: _candidates(num, den, t), "a long, b long"))
 
 
-def join_shingles(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: rows link if den * |intersection| >= num * |union| of their shingle sets.
-
-    A text with fewer words than `size` has its whole sequence as one shingle; a null text or one without words has
-    none and links with nothing. component_id is the smallest id reachable by links. Rows with a null id are their own
-    components (null); repeated rows give a row each. An empty table gives an empty result.
-    """
+def grouped_rows(docs: DataFrame, stash: Stash, size: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles, root, component of every row. root: the same in one group only; root and component are null for rows that link with nothing by rule."""
     spark = docs.sparkSession
-    stash = Stash(spark)
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(word_rarity(table, docs.count()))
 
@@ -126,9 +120,10 @@ def join_shingles(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
                 own, first = first_tokens(rows, tokens, rarity, at, num, den)
                 lists = pa.ListArray.from_arrays(pa.array(starts(own, part.num_rows).astype(np.int32)), pa.array(first.view(np.int64)))
                 bits = [bitmap(tokens[a:b]) for a, b in zip(at[:-1], at[1:])]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": np.diff(at), "item": marks, "first": lists, "bits": pa.array(bits, pa.binary())})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "mark": part.column("mark"), "n_shingles": np.diff(at), "item": marks, "first": lists, "bits": pa.array(bits, pa.binary())})
 
-    described = stash.put(table.mapInArrow(describe, "doc_id long, n_shingles long, item long, first array<long>, bits binary"))
+    marked = table.withColumn("mark", F.xxhash64("text"))
+    described = stash.put(marked.mapInArrow(describe, "doc_id long, mark long, n_shingles long, item long, first array<long>, bits binary"))
     shared.destroy()
     items = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("rep"))
     items = stash.put(items)
@@ -144,19 +139,39 @@ def join_shingles(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
     roots = text_links(edges, texts, size, num, den, stash)
     placed = items.join(roots, items.item == roots.node, "left").select("item", "rep", F.coalesce("root", "item").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
-    of_item = placed.join(least, "root").select("item", "component")
-    out = described.select("doc_id", "n_shingles", "item").join(of_item, "item", "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    of_item = placed.join(least, "root").select("item", "root", "component")
+    out = described.select("doc_id", "mark", "n_shingles", "item").join(of_item, "item", "left")
+    own = lambda c: F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    return out.select("doc_id", "mark", "n_shingles", own("root"), own("component"))
+
+
+def join_shingles(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: rows link if den * |intersection| >= num * |union| of their shingle sets.
+
+    A text with fewer words than `size` has its whole sequence as one shingle; a null text or one without words has
+    none and links with nothing. component_id is the smallest id reachable by links. Rows with a null id are their own
+    components (null); repeated rows give a row each. An empty table gives an empty result.
+    """
+    rows = grouped_rows(docs, Stash(docs.sparkSession), size, num, den, id_col, text_col)
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that have a linked document of a smaller id; of rows that repeat an id one stays. Columns stay as they are."""
+def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each group of linked rows, that of the smallest doc_id (of its texts the one of the smallest hash). Columns of any name stay as they are.
+
+    Rows are told apart by doc_id and text: a row that repeats an id with another text belongs to its own text's
+    group. Of rows that repeat both, one stays. Null and empty texts and rows with a null id link with nothing and
+    stay, all of them. An empty table gives an empty result.
+    """
     stash = Stash(docs.sparkSession)
-    joined = stash.put(join_shingles(docs, **options).select("doc_id", "component_id"))
-    gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(stash.small(gone), "doc_id", "left_anti")
-    if joined.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left.select(docs.columns)
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return left.withColumn("__n", F.row_number().over(same)).where(F.col("doc_id").isNull() | (F.col("__n") == 1)).select(docs.columns)
+    rows = stash.put(grouped_rows(docs, stash, size, num, den).where("root IS NOT NULL").select("root", "doc_id", "mark"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    gone = rows.join(first, "root").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark")))
+    # The columns of the documents travel as one, so that none can clash with those of the decisions.
+    whole = as_rows(docs, doc_id=F.col("doc_id").cast("long"), mark=F.xxhash64(F.col("text").cast("string")))
+    left = whole.join(stash.small(gone.select("doc_id", "mark").distinct()), ["doc_id", "mark"], "left_anti")
+    twice = stash.put(rows.groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark"))
+    if not twice.isEmpty():
+        one = left.join(twice, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        left = left.join(twice, ["doc_id", "mark"], "left_anti").select("row").unionByName(one.select("row"))
+    return of_rows(left, docs.columns)

@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def as_rows(docs: DataFrame, **beside: Column) -> DataFrame:
+    """The columns of each row as one struct `row`, so that no name can clash with the columns beside it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in beside.items()))
+
+
+def of_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """What as_rows was made of."""
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+
+
 class Stash:
     """Tables written once and read again, which cuts lineage: a lost executor costs no more than the tasks since.
 

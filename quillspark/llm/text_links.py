@@ -123,8 +123,7 @@ def _run(work: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> Da
 
 def shared_keys(entries: DataFrame, stash: Stash) -> DataFrame:
     """(key, item) of the keys that several items have; of keys with the same items one is kept. entries: (key, item), distinct."""
-    mark = F.xxhash64("item")
-    whole = {"many": F.count("*"), "mark": F.sum(F.pmod(mark, F.lit(1 << 40))), "mixed": F.bit_xor(mark), "low": F.min("item"), "high": F.max("item")}
+    whole = {"many": F.count("*"), "mark": F.bit_xor(F.xxhash64("item")), "other": F.bit_xor(F.xxhash64("item", F.lit(1))), "low": F.min("item"), "high": F.max("item")}
     groups = entries.groupBy("key").agg(*(c.alias(n) for n, c in whole.items())).where("many > 1")
     one = groups.groupBy(*whole).agg(F.min("key").alias("key")).select("key", "many")
     return stash.put(entries.join(one, "key").select("key", "item", "many"))

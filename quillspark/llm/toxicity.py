@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.arrays import pieces, sums
 from quillspark.llm.mixing import draw
-from quillspark.llm.storage import small_batches
+from quillspark.llm.storage import as_rows, of_rows, small_batches
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -140,7 +140,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part in pieces(batch, "text"):
                 yield part.filter(pa.array([bias + weights[x].sum(dtype=np.float64) < 0 for x in ngram_rows(part.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    rows = as_rows(docs, text=F.col("text").cast("string"))
+    return of_rows(rows.mapInArrow(clean, rows.schema), docs.columns)
 
 
 def remainder(id_col: str, by: int) -> Column:

@@ -280,6 +280,25 @@ def test_keys_of_other_items_with_equal_sums_stay(spark):
     assert {(r.key, r.item, r.many) for r in found} == {(k, i, 2) for k, pair in ((1, pairs[0]), (2, pairs[1])) for i in pair}
 
 
+def test_one_of_each_group_by_row(spark):
+    """A repeated id doesn't take texts with it of which no copy is left."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, 7), (2, a, 7), (2, b, 7), (3, b + " more", 7), (4, c, 7), (4, c + " one", 7), (5, c, 8), (5, c, 9), (None, a, 7), (6, None, 7), (6, None, 7), (6, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark long").repartition(3)
+    kept = [tuple(r) for r in shingle_join.one_of_each_group(df).collect()]
+    assert {r[:2] for r in kept} - {(4, c), (4, c + " one")} == {(1, a), (2, b), (None, a), (6, None), (6, "")}
+    assert len(kept) == 7 and sum(r[0] == 4 for r in kept) == 1
+    alone = spark.createDataFrame([(5, c, 8), (5, c, 9), (7, b, 1)], df.schema)
+    assert sorted(map(tuple, shingle_join.one_of_each_group(alone).collect())) == [(5, c, 8), (7, b, 1)]
+
+
+def test_many_edges_dont_overflow(spark):
+    from quillspark.llm.components import _state
+
+    count, *marks = _state(spark.range(20_000_000).selectExpr("id + 1 AS a", "id AS b"))
+    assert count == 20_000_000 and all(marks)
+
+
 def test_one_of_each_group(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "z y x w"), (3, "z y x w"), (None, "q"), (4, None)]
     df = documents(spark, rows)
