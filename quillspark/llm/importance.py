@@ -24,11 +24,63 @@ SPLIT = Split.at(bytes(b for b in range(128) if not chr(b).isalnum()))
 BUCKETS, SIZES, SEED = 10_000, 3, 42
 
 
+def _zero_byte(crc: np.ndarray) -> np.ndarray:
+    return crc >> np.uint32(8) ^ _BYTE[crc & np.uint32(255)]
+
+
+def _of_bytes(crc: np.ndarray) -> np.ndarray:
+    """For each of the four bytes of a checksum, what its 256 values become. crc: what each bit becomes."""
+    values = np.arange(256)
+    return np.array([[np.bitwise_xor.reduce(crc[8 * k : 8 * k + 8][(v >> np.arange(8) & 1) == 1]) for v in values] for k in range(4)], np.uint32)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """What n further bytes of zero make of a checksum, by its bytes: for n under _SHORT, and for _SHORT, 2 * _SHORT, 4 * _SHORT, ..."""
+    bits, short, long = np.uint32(1) << np.arange(32, dtype=np.uint32), [], []
+    for _ in range(_SHORT):
+        short.append(_of_bytes(bits))
+        bits = _zero_byte(bits)
+    for _ in range(25):
+        long.append(_of_bytes(bits))
+        bits = _look_up(long[-1], bits)
+    return np.array(short), np.array(long)
+
+
+def _look_up(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return table[0, crc & np.uint32(255)] ^ table[1, crc >> np.uint32(8) & np.uint32(255)] ^ table[2, crc >> np.uint32(16) & np.uint32(255)] ^ table[3, crc >> np.uint32(24)]
+
+
+_SHORT = 64
+_BYTE = np.array([crc32(bytes([b])) ^ crc32(b"\0") for b in range(256)], np.uint32)
+_NEAR, _FAR = _tables()
+_FLAT = _NEAR.reshape(-1)
+
+
+def joined_crc(left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """crc32 of left + right from the crc32 of both and the bytes of the right one: a checksum is linear in its bits."""
+    at = (size % _SHORT) * 1024
+    for k, table in enumerate(_FAR):
+        some = np.flatnonzero(size // _SHORT >> k & 1) if k == 0 or (size >= _SHORT << k).any() else ()
+        if len(some):
+            left = left.copy()
+            left[some] = _look_up(table, left[some])
+    low = np.uint32(255)
+    moved = _FLAT[at + (left & low)] ^ _FLAT[at + 256 + (left >> np.uint32(8) & low)] ^ _FLAT[at + 512 + (left >> np.uint32(16) & low)] ^ _FLAT[at + 768 + (left >> np.uint32(24))]
+    return moved ^ right
+
+
 def _dictionary(block: Block) -> Iterator[tuple[Runs, np.ndarray]]:
-    """For each length, the block's runs and the bucket of each distinct one, whose string is hashed once."""
+    """For each length, the block's runs and the bucket of each distinct one, hashed once, from the checksums of its words."""
+    words = block.spelling.cast(pa.binary()).to_pylist()
+    crc = np.fromiter(map(crc32, words), np.uint32, len(words))
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    spaced = np.fromiter((crc32(b" " + w) for w in words), np.uint32, len(words))
     for n, runs in enumerate(block.runs(SIZES), 1):
-        strings = block.strings(runs.one, n).cast(pa.binary()).to_pylist()
-        yield runs, np.fromiter(map(crc32, strings), np.int64, len(strings)) % BUCKETS
+        of = crc[block.code[runs.one]]
+        for k in range(1, n):
+            word = block.code[runs.one + k]
+            of = joined_crc(of, spaced[word], size[word])
+        yield runs, (of % np.uint32(BUCKETS)).astype(np.int64)
 
 
 def bucket_counts(texts: DataFrame) -> DataFrame:

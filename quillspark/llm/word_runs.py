@@ -74,8 +74,13 @@ class Block:
                 go = self.joined[first[first + n - 1 < len(self.code)] + n - 2]
                 first, code = first[: len(go)][go], code[: len(go)][go]
                 key = code * len(self.spelling) + self.code[first + n - 1]
-            _, one, code, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            out.append(Runs(first, code, count, first[one]))
+            order = np.argsort(key)
+            new = np.ones(len(key), bool)
+            new[1:] = key[order[1:]] != key[order[:-1]]
+            begin = np.flatnonzero(new)
+            code = np.empty(len(key), np.int64)
+            code[order] = np.cumsum(new) - 1
+            out.append(Runs(first, code, np.diff(begin, append=len(key)), first[order[begin]]))
         return out
 
     def strings(self, first: np.ndarray, n: int) -> pa.Array:

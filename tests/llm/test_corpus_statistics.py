@@ -120,6 +120,15 @@ def test_resample(spark, share):
     assert {(r[3], r[0], r[4]) for r in got if r[0] != 200} == {(r[3], r[0], r[4]) for r in expected if r[0] != 200}  # 200 comes twice
 
 
+def test_joined_checksums():
+    from quillspark.llm.importance import joined_crc
+
+    draws = np.random.default_rng(1)
+    pairs = [(draws.bytes(int(a)), draws.bytes(int(b))) for a, b in draws.integers(0, 200, (300, 2))] + [(b"x", bytes(70_000)), (b"", b""), (b"y" * 9, draws.bytes(1 << 20))]
+    left, right = (np.array([zlib.crc32(p[k]) for p in pairs], np.uint32) for k in (0, 1))
+    assert joined_crc(left, right, np.array([len(b) for _, b in pairs])).tolist() == [zlib.crc32(a + b) for a, b in pairs]
+
+
 def test_resample_of_nothing(spark):
     target = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert resample(documents(spark, []).limit(0), target).count() == 0
