@@ -11,23 +11,14 @@ from quillspark.functions.text import highlighted, without_accents
 from quillspark.functions.urls import search_route
 from quillspark.operators.filters import predicate
 from quillspark.operators.paging import PAGE_SIZE, Page
+from quillspark.plans import fulltext
+from quillspark.plans.fulltext import IDF_FLOOR, K1, B, tokens
+from quillspark.session import kept
 
-# Constants of the ranking function, floor of a term's weight, thresholds of the other searches.
-K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+# Thresholds of the fuzzy and the TF-IDF search.
 FUZZY_LEAST, FUZZY_WORDS, VECTOR_LEAST = 75.0, 5, 0.05
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits in lower case, accents stripped."""
-    return F.regexp_extract_all(F.lower(without_accents(F.coalesce(text, F.lit("")))), F.lit(r"([\p{L}\p{N}]+)"), 1)
-
-
-def terms_of(query: str) -> list[str] | None:
-    """The words of a query; None if it holds signs that the full-text language doesn't take outside quotes."""
-    words = query.replace('"', " ").split()
-    return [w.lower() for w in words] if words and all(w.isalnum() for w in words) and not {"AND", "OR", "NOT"} & set(words) else None
-
-
 def _occurrences(words: Column, word: Column) -> Column:
     return F.size(F.filter(words, lambda x: x == word))
 
@@ -60,9 +51,15 @@ def bm25(corpus: DataFrame, terms: list[str], weights: dict[str, float], all_ter
 
 
 def postings(corpus: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(term, key, column, n): the index as a table, to be written once and partitioned by term."""
-    parts = [corpus.select(key, F.lit(c).alias("column"), F.explode(tokens(F.col(c))).alias("term")) for c in columns]
-    return reduce(DataFrame.unionByName, parts).groupBy("term", key, "column").agg(F.count("*").alias("n"))
+    """(term, key, column, n, positions, length): the index as a table, to be written once and partitioned by term.
+
+    positions: where in the column the term stands, from 0; length: tokens of all columns of the row.
+    """
+    length = reduce(lambda a, b: a + b, (F.size(tokens(F.col(c))) for c in columns))
+    rows = corpus.withColumn("length", length)
+    parts = [rows.select(key, "length", F.lit(c).alias("column"), F.posexplode(tokens(F.col(c))).alias("at", "term")) for c in columns]
+    found = reduce(DataFrame.unionByName, parts).groupBy("term", key, "column", "length")
+    return found.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("at")).alias("positions")).select("term", key, "column", "n", "positions", "length")
 
 
 def weighed_words(text: Column) -> Column:
@@ -128,7 +125,7 @@ def fuzzy_names(names: DataFrame, name: str, query: str) -> DataFrame:
 @dataclass
 class SearchRequest:
     query: str
-    schema: str = "%"
+    schema: str = "v2"
     document: str = "%"
     model: str = "%"
     vector: bool = False
@@ -139,7 +136,7 @@ class SearchRequest:
 class Index(Protocol):
     """What answers searches from kept tables."""
 
-    def bm25(self, terms: list[str], weights: dict[str, float]) -> DataFrame: ...
+    def matches(self, node: fulltext.Node, weights: dict[str, float]) -> DataFrame: ...
     def similar_to(self, query: str) -> DataFrame: ...
 
 
@@ -152,9 +149,9 @@ class Corpus:
     columns: dict[str, float] = field(default_factory=lambda: {"document_pk": 1, "object_pk": 1, "object_name": 10, "object_model": 1, "schema_version": 1, "text": 1})
     index: Index | None = None
 
-    def exact(self, terms: list[str]) -> DataFrame:
+    def exact(self, node: fulltext.Node) -> DataFrame:
         """Rows with `score`."""
-        return self.rows.join(self.index.bm25(terms, self.columns), "object_pk") if self.index else bm25(self.rows, terms, self.columns)
+        return self.rows.join(self.index.matches(node, self.columns), "object_pk") if self.index else fulltext.matches(self.rows, node, self.columns)
 
     def similar(self, query: str) -> DataFrame:
         return self.index.similar_to(query) if self.index else tfidf_scores(self.weights, "object_pk", query)
@@ -164,15 +161,15 @@ HIT = "object_pk string, object_name string, match_type string, type_rank int, s
 
 
 def _merged(corpus: Corpus, request: SearchRequest) -> DataFrame:
-    """Hits of all searches that the request needs, each entry once, as the first type that found it."""
+    """Hits of all searches that the request needs, each entry once, as the first type that found it. They are written, so that nothing is searched twice."""
     empty = corpus.rows.sparkSession.createDataFrame([], HIT)
     if not request.query.strip():
         return empty
     wanted = predicate(F.col("schema_version"), "like", request.schema) & predicate(F.col("document_pk"), "like", request.document) & predicate(F.col("object_model"), "like", request.model)
-    terms = terms_of(request.query)
+    node = fulltext.parse(request.query, list(corpus.columns))
     kind = lambda df, name, rank, term: df.select("object_pk", "object_name", F.lit(name).alias("match_type"), F.lit(rank).alias("type_rank"), "score", term.cast("string").alias("matched_term"))
-    exact = kind(corpus.exact(terms).where(wanted), "exact", 0, F.lit(request.query)) if terms else empty
-    parts = [exact]
+    exact = kept(kind(corpus.exact(node).where(wanted), "exact", 0, F.lit(request.query)), "exact-hits") if node else empty
+    parts = [exact]  # entries are unique in each part
     if request.fuzzy or (not request.strict and exact.isEmpty()):
         names = fuzzy_names(corpus.rows, "object_name", request.query)
         parts.append(kind(corpus.rows.where(wanted).join(names, "object_name").withColumn("score", -F.col("score") / 100), "fuzzy", 1, F.col("word")))
@@ -180,8 +177,10 @@ def _merged(corpus: Corpus, request: SearchRequest) -> DataFrame:
         near = corpus.similar(request.query)
         parts.append(kind(corpus.rows.where(wanted).join(near, "object_pk").withColumn("score", -F.col("score")), "vector", 2, F.lit(None)))
     merged = reduce(DataFrame.unionByName, parts)
+    if len(parts) == 1:
+        return exact
     first = Window.partitionBy("object_pk").orderBy("type_rank", "score")
-    return merged.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return kept(merged.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"), "hits")
 
 
 def _shown(merged: DataFrame, request: SearchRequest) -> DataFrame:
@@ -194,7 +193,7 @@ def search(corpus: Corpus, request: SearchRequest) -> DataFrame:
     """object_pk, object_name, match_type, score, rank: exact hits by rank, then fuzzy ones, then similar ones, each entry once.
 
     Fuzzy matching also stands in where nothing matches exactly. strict with fuzzy or vector gives those hits only.
-    Words of the query that the full-text language doesn't take match nothing exactly. An empty query finds nothing.
+    A query that isn't a full-text expression (fulltext.parse) matches nothing exactly. An empty query finds nothing.
     """
     return ranked(_shown(_merged(corpus, request), request)).select("object_pk", "object_name", "match_type", F.abs("score").alias("score"), "rank")
 
@@ -214,20 +213,21 @@ def respond(corpus: Corpus, request: SearchRequest, number: int = 1, size: int =
     if number < 1 or size < 1:
         raise ValueError("pages and their sizes begin at 1")
     merged = _merged(corpus, request)
-    facts = merged.agg(F.max(F.col("match_type") == "exact").alias("exact")).first()
     shown = _shown(merged, request)
-    count = shown.count()
-    if number > max(1, -(-count // size)):
+    facts = merged.agg(F.max(F.col("match_type") == "exact").alias("exact")).crossJoin(shown.agg(F.count("*").alias("count"))).first()  # one row each
+    if number > max(1, -(-facts["count"] // size)):
         raise LookupError(f"there is no page {number}")
     begin = (number - 1) * size
-    page = ranked(shown).where(F.col("rank").between(begin, begin + size - 1)).drop("object_name")
+    # Only the hits up to the page's end are sorted, each task's own first; only the page's are numbered.
+    page = shown.orderBy(*ORDER).offset(begin).limit(size).withColumn("rank", F.row_number().over(Window.orderBy(*ORDER)) + begin - 1).drop("object_name")
     rows = corpus.rows.join(F.broadcast(page), "object_pk")  # as many rows as a page has
-    words = terms_of(request.query) or request.query.split()
-    marked = F.when(F.col("match_type") == "exact", snippet(F.col("text"), words)).when(F.col("match_type") == "fuzzy", _marked_by(F.col("matched_term"))).otherwise(highlighted(F.col("text"), [request.query]))
+    node = fulltext.parse(request.query, list(corpus.columns))
+    rows = fulltext.snippets(rows, node, corpus.columns, "text", name="__snippet") if node else rows.withColumn("__snippet", F.col("text"))
+    marked = F.when(F.col("match_type") == "exact", F.col("__snippet")).when(F.col("match_type") == "fuzzy", _marked_by(F.col("matched_term"))).otherwise(highlighted(F.col("text"), [request.query]))
     score = F.when(F.col("match_type") == "exact", 1.0).otherwise(F.abs("score"))
     extra = [F.col("extra")] if "extra" in corpus.rows.columns else []
     rows = rows.select("document_pk", "object_pk", "object_name", "object_model", "schema_version", search_route(F.col("schema_version"), F.col("object_model")).alias("route"), "text", marked.alias("highlighted"), "match_type", "matched_term", score.alias("match_score"), *extra, "rank")
-    return SearchPage(count, number, size, rows.orderBy("rank"), bool(facts.exact))
+    return SearchPage(facts["count"], number, size, rows.orderBy("rank"), bool(facts.exact))
 
 
 def _marked_by(word: Column) -> Column:
@@ -235,23 +235,18 @@ def _marked_by(word: Column) -> Column:
     return F.regexp_replace(F.col("text"), F.concat(F.lit(r"(?iU)\b("), word, F.lit(r")\b")), F.lit('<span class="highlighted">$1</span>'))
 
 
+ORDER = ("type_rank", "score", "object_pk")
+
+
 def ranked(hits: DataFrame) -> DataFrame:
-    """The hits with rank, from 0 without gaps, by type_rank, score and object_pk.
+    """The hits with rank, from 0 without gaps, by ORDER, a total order.
 
-    Hits are counted by steps of the score, so that each step is sorted by itself: no task sorts all hits.
+    Tasks sort ranges of the order, ties included, and the written ranges are numbered by their sizes: no task sorts all
+    hits, however many have one score.
     """
-    placed = hits.withColumn("__step", F.floor(F.col("score") * 64))
-    before = Window.orderBy("type_rank", "__step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = placed.groupBy("type_rank", "__step").agg(F.count("*").alias("__many"))
-    steps = steps.select("type_rank", "__step", F.coalesce(F.sum("__many").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("type_rank", "__step").orderBy("score", "object_pk"))
-    return placed.join(steps, ["type_rank", "__step"]).withColumn("rank", F.col("__before") + within - 1).orderBy("rank")
-
-
-def snippet(text: Column, terms: list[str], words: int = 20) -> Column:
-    """About `words` words around the first hit, with marks and dots where something is left out."""
-    parts = F.split(text, r"\s+")
-    first = F.coalesce(F.array_min(F.filter(F.transform(parts, lambda w, i: F.when(F.exists(tokens(w), lambda t: t.isin(*terms)), i)), lambda x: x.isNotNull())), F.lit(0))
-    begin = F.greatest(F.lit(0), first - words // 2)
-    body = F.array_join(F.slice(parts, begin + 1, words), " ")
-    return F.concat(F.when(begin > 0, "...").otherwise(""), highlighted(body, terms), F.when(F.size(parts) > begin + words, "...").otherwise(""))
+    ranges = kept(hits.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("__at", F.monotonically_increasing_id()), "ranked-hits")
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = ranges.groupBy(part.alias("__part")).agg(F.count("*").alias("__many"))  # a row for each task
+    before = F.coalesce(F.sum("__many").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
+    return ranges.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("rank", F.col("__before") + within).drop("__at", "__part", "__before").orderBy("rank")

@@ -1,7 +1,7 @@
 """A kept search index: tables written once, of which a query reads only the parts that its words are in.
 
-Postings are partitioned by a hash of the term, so a query's scan is pruned to as many folders as it has words;
-document lengths, names' words, TF-IDF weights and the corpus itself lie beside them. Counts of terms are in a table of
+Postings hold positions and the row's length, and are partitioned by a hash of the term, so a query's scan is pruned to
+as many folders as it has words; TF-IDF weights and the corpus itself lie beside them. Counts of terms are in a table of
 their own, partitioned alike, so no query counts the corpus again. A rebuild writes a new version and then turns the
 pointer, so readers see one whole version.
 """
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.text import without_accents
-from quillspark.plans import search
+from quillspark.plans import fulltext, search
 
 PARTS = 256  #: folders of the terms
 #: Columns of the tables that are partitioned by term, beside the key (that of terms has none).
-BY_PART = {"postings": "term string, column string, n long, part int", "terms": "term string, df long, part int", "weights": "term string, weight double, idf double, part int"}
+BY_PART = {"postings": "term string, column string, n long, positions array<int>, length int, part int", "terms": "term string, df long, part int", "weights": "term string, weight double, idf double, part int"}
 
 
 def part_of(term: Column, parts: int) -> Column:
@@ -95,17 +95,35 @@ class SearchIndex:
         """(key, score) of the rows that hold all terms; smaller is better. With the index's columns the scores of search.bm25."""
         words = self.words_of(F.array(*(F.lower(without_accents(F.lit(t))) for t in terms)))
         factor = F.try_element_at(F.create_map(*(F.lit(x) for c, v in weights.items() for x in (c, float(v)))), F.col("column"))
-        found = self.of_terms("postings", words).groupBy(self.key, "term").agg(F.sum(F.col("n") * factor).alias("f"))
+        found = self.of_terms("postings", words).groupBy(self.key, "term").agg(F.sum(F.col("n") * factor).alias("f"), F.max("length").alias("length"))
         times = F.create_map(*(F.lit(x) for w in words for x in (w[0], w[2])))
         idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         rare = self.of_terms("terms", words).crossJoin(F.broadcast(self.table("totals")))  # a row for each word, one of totals
-        rare = rare.select("term", (F.when(idf <= 0, search.IDF_FLOOR).otherwise(idf) * times[F.col("term")]).alias("idf"), "mean")
-        scored = found.join(F.broadcast(rare), "term").join(self.table("lengths"), self.key)
-        k, b = search.K1, search.B
+        rare = rare.select("term", (F.when(idf <= 0, fulltext.IDF_FLOOR).otherwise(idf) * times[F.col("term")]).alias("idf"), "mean")
+        scored = found.join(F.broadcast(rare), "term")
+        k, b = fulltext.K1, fulltext.B
         f = F.col("f")
         part = F.col("idf") * f * (k + 1) / (f + k * (1 - b + b * F.col("length") / F.col("mean")))
         return scored.groupBy(self.key).agg(F.count("*").alias("held"), (-F.sum(part)).alias("score")).where(F.col("held") == len(words)).drop("held")
 
+    def matches(self, node: fulltext.Node, weights: dict[str, float]) -> DataFrame:
+        """(key, score) of the rows that match an expression; with the index's columns the scores of fulltext.matches.
+
+        One aggregation of the postings of the expression's words. A prefix has no folder of its own: in every folder only
+        the row groups are read whose range of terms it is in.
+        """
+        e = fulltext.Expression(node, weights)
+        whole, prefixes = [w for w, p in e.words if not p], [w for w, p in e.words if p]
+        rows = self.table("postings")
+        parts = [part for _, part, _ in self.words_of(F.array(*map(F.lit, whole)))] if whole else []
+        wanted = [F.col("part").isin(parts) & F.col("term").isin(whole)] if whole else []
+        wanted += [F.col("term").startswith(w) for w in prefixes]
+        found = rows.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
+        places = lambda c, w: F.when((F.col("column") == c) & fulltext.is_word(F.col("term"), *w), F.col("positions"))
+        each = [F.sort_array(F.flatten(F.collect_list(places(n, w)))).alias(e.slot(k, c)) for k, w in enumerate(e.words) for c, n in enumerate(e.names)]
+        placed = found.groupBy(self.key).agg(F.max("length").alias("__length"), *each)
+        return e.score(*e.judged(e.occurring(placed)), self.table("totals")).select(self.key, "score")
+
     def similar_to(self, query: str) -> DataFrame:
         """(key, score) by TF-IDF cosine above the threshold; nothing where the index has no weights."""
         words = self.words_of(search.weighed_words(F.lit(query)))

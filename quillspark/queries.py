@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import derived, parsers, text
 from quillspark.operators import aggregates, filters, joins, paging, projection, quality
-from quillspark.plans import linking, list_query, search
+from quillspark.plans import fulltext, linking, list_query, search
 from quillspark.plans.search_index import SearchIndex
 from quillspark.session import working_folder
 from quillspark.sources import texts
@@ -436,9 +436,50 @@ def srch_highlight(t):
     return t.documents.where(F.col("text").rlike(r"(?i)\b(license|version)\b")).select("doc_id", text.highlighted(F.col("text"), ["license", "version"]).alias("marked"))
 
 
-@query()
+def _scored(found: str, phrases: dict[str, str]) -> str:
+    """SQL of BM25 over `phrases`: name -> count of a row, given its tokens `tok`; found: which rows match."""
+    counts = ", ".join(f"{sql} AS {n}" for n, sql in phrases.items())
+    totals = ", ".join(f"count(*) FILTER (WHERE {n} > 0) AS d_{n}" for n in phrases)
+    weight = lambda n: f"ln((n - d_{n} + 0.5) / (d_{n} + 0.5))"
+    part = lambda n: f"(CASE WHEN {weight(n)} <= 0 THEN 1e-6 ELSE {weight(n)} END) * {n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * l / a))"
+    return f"""WITH d AS (SELECT doc_id, {_DOC_TOKENS} AS tok FROM documents), c AS (SELECT doc_id, len(tok) AS l, {counts} FROM d), s AS (SELECT count(*) AS n, avg(l) AS a, {totals} FROM c)
+ SELECT doc_id, round(-({" + ".join(map(part, phrases))}), 6) AS score FROM c, s WHERE {found}"""
+
+
+def _phrase_sql(words: list[str], prefix: bool = False) -> str:
+    tests = [f"starts_with(tok[i + {k}], '{w}')" if prefix and k == len(words) - 1 else f"tok[i + {k}] = '{w}'" for k, w in enumerate(words)]
+    return f"len(list_filter(range(1, len(tok) + {2 - len(words)}), lambda i: {' AND '.join(tests)}))"
+
+
+@query(_scored("a1 > 0 AND v > 0 AND r = 0", {"a1": _phrase_sql(["public", "license"]), "v": _phrase_sql(["version"])}).replace("AS a1,", f"AS a1, {_phrase_sql(['4', '0'])} AS r,"))
+def srch_phrase(t):
+    """Phrases with AND and NOT, by one scan of the texts."""
+    node = fulltext.parse('"public license" AND version NOT "4 0"', ["text"])
+    return fulltext.matches(t.documents.select("doc_id", "text"), node, {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_scored("p > 0 AND w > 0", {"p": _phrase_sql(["general", "publ"], True), "w": _phrase_sql(["licen"], True)}))
+def srch_prefix(t):
+    """A phrase that ends in a prefix and a prefix, answered by a kept index with positions."""
+    index = SearchIndex.build(t.documents.select("doc_id", "text"), working_folder(t.spark, "search-index"), ["text"], "doc_id", parts=16)
+    return index.matches(fulltext.parse('"general publ"* licen*', ["text"]), {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS tok, string_split_regex(text, '[\p{L}\p{N}]+') AS btw FROM documents WHERE text IS NOT NULL),
+ h AS (SELECT *, len(tok) AS n, list_filter(range(0, len(tok)), lambda i: lower(strip_accents(tok[i + 1])) = 'license') AS hits FROM d),
+ s AS (SELECT *, CASE WHEN n > 20 THEN list_filter(range(0, n), lambda i: i = 0 OR regexp_matches(btw[i + 1], '[.:][ \t\r\n]+$')) ELSE [] END AS starts FROM h WHERE len(hits) > 0),
+ one AS (SELECT *, unnest(hits) AS hit, generate_subscripts(hits, 1) AS k FROM s),
+ near AS (SELECT *, list_max(list_filter(hits, lambda x: x >= hit AND x < hit + 20)) AS last, list_max(list_filter(starts, lambda x: x < hit)) AS before FROM one),
+ found AS (
+  SELECT doc_id, 999 + len(list_filter(hits, lambda x: x >= hit AND x < hit + 20)) AS worth, 2 * k AS turn, greatest(0, least(hit - (20 - (last + 1 - hit)) // 2, n - 20)) AS b FROM near
+  UNION ALL SELECT doc_id, len(list_filter(hits, lambda x: x >= before AND x < before + 20)) + CASE WHEN len(list_filter(hits, lambda x: x >= before AND x < before + 20)) > 0 THEN 999 ELSE 0 END + CASE WHEN before = 0 THEN 120 ELSE 100 END, 2 * k + 1, before FROM near WHERE before IS NOT NULL AND NOT list_contains(starts, hit)),
+ best AS (SELECT doc_id, b FROM found QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY worth DESC, turn) = 1),
+ cut AS (SELECT s.*, b, least(b + 20, n) AS e FROM s JOIN best USING (doc_id))
+ SELECT doc_id, (CASE WHEN b > 0 THEN '...' ELSE '' END) || array_to_string(list_transform(range(b, e), lambda i: (CASE WHEN i = b AND i > 0 THEN '' ELSE btw[i + 1] END) || CASE WHEN list_contains(hits, i) THEN '<span class="highlighted">' || tok[i + 1] || '</span>' ELSE tok[i + 1] END), '') || (CASE WHEN e >= n THEN btw[n + 1] ELSE '...' END) AS snippet FROM cut""")
 def srch_snippet(t):
-    return t.documents.where(F.array_contains(search.tokens(F.col("text")), "license")).select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
+    node = fulltext.parse("license", ["text"])
+    docs = t.documents.select("doc_id", "text").where(F.array_contains(search.tokens(F.col("text")), "license"))
+    return fulltext.snippets(docs, node, {"text": 1.0}).select("doc_id", "snippet")
 
 
 @query()

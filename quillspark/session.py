@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -30,6 +30,13 @@ def ship(spark: SparkSession) -> None:
     context._quillspark_shipped = True
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a new folder and read again: steps that need them more than once don't make them anew."""
+    path = working_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def working_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables of this run, below spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -31,7 +31,7 @@ def test_same_as_without(spark, rows, root):
     index = SearchIndex.load(spark, root)
     weights = search.term_weights(rows, "object_pk", F.concat_ws(" ", "object_name", "text"))
     plain, kept = search.Corpus(rows, weights), search.Corpus(index.table("rows"), index=index)
-    for request in (search.SearchRequest("fire"), search.SearchRequest("fire fire"), search.SearchRequest("ice fire", vector=True), search.SearchRequest("elan"), search.SearchRequest("firebal"), search.SearchRequest("nothing at all"), search.SearchRequest(""), search.SearchRequest("fire", schema="v1"), search.SearchRequest("the giant", strict=True, vector=True)):
+    for request in (*(search.SearchRequest(q, schema="%") for q in ("fire", "fire fire", "elan", "firebal", "nothing at all", "", '"fire giant"', '"the fire" OR sto*', "fire NOT ice", "NEAR(elan giant, 3)", "object_name:fireball", "^ice", "ic* ice", 'fire AND "', "-text:fireball")), search.SearchRequest("ice fire", schema="%", vector=True), search.SearchRequest("fire"), search.SearchRequest("fire", schema="v1"), search.SearchRequest("the giant", schema="%", strict=True, vector=True)):
         found = [[(r.object_pk, r.match_type, round(r.score, 9), r.rank) for r in search.search(c, request).orderBy("rank").collect()] for c in (plain, kept)]
         assert found[0] == found[1], request
 
@@ -52,13 +52,20 @@ def test_empty(spark, rows, tmp_path):
 def test_respond(spark, root):
     index = SearchIndex.load(spark, root)
     corpus = search.Corpus(index.table("rows"), index=index)
-    page = search.respond(corpus, search.SearchRequest("fire"), 1, 2)
+    page = search.respond(corpus, search.SearchRequest("fire", schema="%"), 1, 2)
     found = page.rows.collect()
     assert (page.count, page.next, page.exact_matches, [r.rank for r in found]) == (4, 2, True, [0, 1])
     assert all(r.match_score == 1 and "highlighted" in r.highlighted and r.extra == '{"level":1}' and r.route.endswith("/spells/") for r in found)
-    fuzzy = search.respond(corpus, search.SearchRequest("firebal"))
+    fuzzy = search.respond(corpus, search.SearchRequest("firebal", schema="%"))
     row = fuzzy.rows.first()
     assert (fuzzy.exact_matches, row.matched_term, row.match_type) == (False, "fireball", "fuzzy") and row.match_score > 0.9
     assert search.respond(corpus, search.SearchRequest("")).count == 0
     with pytest.raises(LookupError):
         search.respond(corpus, search.SearchRequest("fire"), 9)
+
+
+def test_ranks_of_many_ties(spark):
+    hits = spark.range(5000).selectExpr("CAST(id AS STRING) AS object_pk", "CAST(id % 2 AS INT) AS type_rank", "CAST(-1.0 AS DOUBLE) AS score").repartition(6)
+    found = search.ranked(hits).collect()
+    assert [r["rank"] for r in found] == list(range(5000))
+    assert [(r.type_rank, r.object_pk) for r in found] == sorted((i % 2, str(i)) for i in range(5000))
