@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import derived, parsers, text
-from quillspark.operators import aggregates, filters, joins, paging, projection, quality
+from quillspark.operators import aggregates, filters, joins, merges, paging, projection, quality
 from quillspark.plans import fulltext, linking, list_query, search
 from quillspark.plans.search_index import SearchIndex
 from quillspark.session import working_folder
@@ -501,6 +501,38 @@ def xref_names(t):
     return found.select(F.col("source_key").cast("long").alias("source_key"), F.col("reference_key").cast("long").alias("reference_key"), "anchor")
 
 
+@query("""WITH c AS (SELECT *, CASE WHEN c_custkey = 1 THEN 2 ELSE c_custkey END AS asked, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS balance FROM customer)
+ SELECT c_custkey, coalesce(balance, s_acctbal) AS balance, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE s_nationkey END AS c_nationkey, NULL::VARCHAR AS c_mktsegment, CASE WHEN s_suppkey IS NULL THEN 'unmatched' ELSE 'matched' END AS outcome
+ FROM c LEFT JOIN supplier ON s_suppkey = asked""")
+def etl_patch(t):
+    """Customers patched from the supplier of the same number: a missing balance, always the nation, and no segment."""
+    rows = t.customer.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), "c_nationkey", "c_mktsegment")
+    patch = merges.patched(rows, t.supplier, "c_custkey", "s_suppkey", {"balance": ("s_acctbal", merges.IF_NULL), "c_nationkey": ("s_nationkey", merges.ALWAYS), "c_mktsegment": (None, merges.CLEAR)}, {"1": "2"})
+    outcome = patch.report.where("outcome != 'unused'").select(F.col("c_custkey").cast("long").alias("c_custkey"), "outcome")
+    return patch.rows.join(outcome, "c_custkey")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0), n AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 5 <> 0)
+ SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed' WHEN o.o_totalprice = n.o_totalprice AND o.o_orderstatus = n.o_orderstatus THEN 'same' ELSE 'replaced' END AS change FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey""")
+def etl_change_set(t):
+    """What differs between two versions of the orders."""
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = orders.where("o_orderkey % 5 != 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return merges.changes(orders.where("o_orderkey % 7 != 0"), new, ["o_orderkey"])
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey || '/' || o_orderpriority AS base FROM orders),
+ k AS (SELECT o_orderkey, base, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) - 1 AS n FROM o),
+ m AS (SELECT o_orderkey, base || CASE WHEN n = 0 THEN '' ELSE '_' || n END AS new FROM k)
+ SELECT m.new AS l_orderkey, m.new || '/' || l_linenumber || CASE WHEN row_number() OVER (PARTITION BY m.new, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) = 1 THEN '' ELSE '_' || (row_number() OVER (PARTITION BY m.new, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) - 1) END AS l_key, l_partkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) JOIN m ON l_orderkey = o_orderkey""")
+def dq_cascade(t):
+    """Orders get keys of customer and priority, numbered where they collide; their lines' references and keys follow."""
+    lines = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("l_key"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    levels = [merges.Level("orders", "o_orderkey", F.concat_ws("/", "o_custkey", "o_orderpriority"), ["o_orderkey"]), merges.Level("lines", "l_key", F.concat_ws("/", "l_orderkey", "l_linenumber"), ["l_orderkey", "l_partkey", "l_suppkey"])]
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    return merges.cascade({"orders": orders, "lines": lines}, levels, [("lines", "l_orderkey", "orders")]).tables["lines"].select("l_orderkey", "l_key", "l_partkey")
+
+
 def _unmarked(mark: str, table: str) -> str:
     """SQL that blanks what stands between two marks."""
     return f"""SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 AND i < len(p) THEN regexp_replace(x, '[^\\n]', ' ', 'g') ELSE x END), '  ') AS text FROM (SELECT doc_id, string_split(text, '{mark}') AS p FROM {table})"""
