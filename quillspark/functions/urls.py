@@ -16,6 +16,8 @@ ROUTES = {
     "ItemRarity": "itemrarities",
     "WeaponProperty": "weaponproperties",
 }
+# Routes of search hits that aren't the type in lower case with an s.
+SEARCH_ROUTES = {"CharacterClass": "classes", "CharClass": "classes", "Species": "species"}
 # Types without a route of their own, and the type whose route they have. Descriptions have that of what they describe.
 OWNERS = {
     "SpeciesTrait": "Species",
@@ -41,8 +43,8 @@ def route(kind: Column) -> Column:
 
 
 def search_route(schema: Column, kind: Column) -> Column:
-    """v2/spells/"""
-    return F.concat_ws("/", schema, route(kind), F.lit(""))
+    """v2/spells/: the type in lower case with an s, but for a few; not always the address that objects have."""
+    return F.concat_ws("/", schema, F.coalesce(_of(SEARCH_ROUTES, kind), F.concat(F.lower(kind), F.lit("s"))), F.lit(""))
 
 
 def object_url(kind: Column, key: Column, parent_kind: Column | None = None, parent: Column | None = None) -> Column:

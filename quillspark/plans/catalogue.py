@@ -4,7 +4,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,9 @@ REFERENCES = [
     ("item", "category", "itemcategory"), ("item", "weapon", "weapon"), ("item", "armor", "armor"), ("rule", "ruleset", "ruleset"),
 ]
 
+#: What an attack shows within its action; a damage type is shown with its name, a unit is the document's where it isn't set.
+ATTACK_FIELDS = ["name", "attack_type", "to_hit_mod", "reach", "range", "long_range", "distance_unit", "target_creature_only", "damage_die_count", "damage_die_type", "damage_bonus", "damage_type", "extra_damage_die_count", "extra_damage_die_type", "extra_damage_bonus", "extra_damage_type"]
+
 #: Bounds of numbers by entity.
 BOUNDS = {
     "creature": {f"ability_score_{a}": (0, 50) for a in derived.ABILITIES} | {f"saving_throw_{a}": (-5, 20) for a in derived.ABILITIES} | {f"skill_bonus_{s}": (-5, 20) for s in derived.SKILLS} | {"passive_perception": (0, 40), "challenge_rating": (0, 30), "armor_class": (0, 100), "hit_points": (0, 10000)},
@@ -72,6 +75,11 @@ BOUNDS = {
 }
 
 
+def _json(**columns: Column) -> Column:
+    """A JSON object of all columns, nulls too; decimals are texts."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in columns.items())), {"ignoreNullFields": "false"})
+
+
 @dataclass
 class Catalogue:
     tables: dict[str, DataFrame] = field(default_factory=dict)
@@ -123,9 +131,15 @@ class Catalogue:
 
     def creatures(self) -> DataFrame:
         """Creatures with actions (with attacks), traits, modifiers, all saves, all skills, all speeds and experience."""
-        actions = joins.with_children(self.creatureaction, self.creatureactionattack, "key", "parent", "attacks", ["name", "attack_type", "to_hit_mod", "reach", "range", "damage_die_count", "damage_die_type", "damage_bonus", "extra_damage_type"], ["key"])
+        attacks = self.creatureactionattack.withColumnsRenamed({"damage_type": "__damage", "extra_damage_type": "__extra"})
+        for column, name in (("__damage", "damage_type"), ("__extra", "extra_damage_type")):
+            attacks = joins.with_parent(attacks, self.damagetype, column, "key", name, ["key", "name"])
+        attacks = joins.with_parent(attacks, joins.with_parent(self.creatureaction, self.creature, "parent", "key", "__c", ["unit", "document"]).select("key", "__c.unit", "__c.document"), "parent", "key", "__a", ["unit", "document"])
+        units = self.document.select(F.col("key").alias("__d"), F.col("distance_unit").alias("__du"))
+        attacks = attacks.join(units, F.col("__a.document") == F.col("__d"), "left").withColumn("distance_unit", F.coalesce("distance_unit", "__du"))
+        actions = joins.with_children(self.creatureaction, attacks, "key", "parent", "attacks", ATTACK_FIELDS, ["key"])
         actions = actions.withColumn("usage_limits", derived.usage_limits(F.col("uses_type"), F.col("uses_param")))
-        df = joins.with_children(self.creature, actions, "key", "parent", "actions", ["name", "desc", "action_type", "usage_limits", "attacks"], ["order_in_statblock", "key"])
+        df = joins.with_children(self.creature, actions, "key", "parent", "actions", ["name", "desc", "action_type", "order_in_statblock", "legendary_action_cost", "limited_to_form", "usage_limits", "attacks"], ["order_in_statblock", "key"])
         df = joins.with_children(df, self.creaturetrait, "key", "parent", "traits", ["name", "desc"], ["key"])
         df = self.with_document(df)
         score = {a: F.col(f"ability_score_{a}") for a in derived.ABILITIES}
@@ -189,14 +203,30 @@ class Catalogue:
         return routes
 
     def corpus(self, models: Mapping[str, str] | None = None) -> DataFrame:
-        """The search corpus: all entities with a description; a creature's text includes its actions, a class's its features."""
-        chosen = models or {"creature": "Creature", "spell": "Spell", "feat": "Feat", "background": "Background", "characterclass": "CharacterClass", "species": "Species", "item": "Item", "rule": "Rule"}
+        """The search corpus: a creature's text includes its actions, a class's its features; `extra` has further columns of some types as JSON.
+
+        The types are those that the index to rebuild really holds: conditions are asked for there, but give no rows.
+        """
+        one = lambda df, table, column, name: joins.with_parent(df, table.select(F.col("key").alias("__k"), "name"), column, "__k", name, ["name"])
+        chosen = models or {"creature": "Creature", "spell": "Spell", "feat": "Feat", "background": "Background", "characterclass": "CharacterClass", "species": "Species", "item": "Item", "environment": "Environment", "rule": "Rule"}
         parts = []
         for entity, model in chosen.items():
             df = {"creature": self.creatures, "characterclass": self.classes}.get(entity, lambda e=entity: self.with_document(self.tables[e]))()
+            extra = F.lit(None).cast("string")
+            if entity == "creature":
+                df = one(one(df, self.creaturetype, "type", "__type"), self.size, "size", "__size")
+                extra = _json(cr=F.col("challenge_rating"), type=F.col("__type.name"), size=F.col("__size.name"))
+            elif entity == "spell":
+                df = one(df, self.spellschool, "school", "__school")
+                extra = _json(school=F.col("__school.name"), level=F.col("level"))
+            elif entity == "characterclass":
+                extra = _json(subclass_of=F.when(F.col("subclass_of").isNotNull(), F.struct("subclass_of.name", "subclass_of.key")))
+            elif entity == "species":
+                df = one(df, self.species, "subspecies_of", "__of")
+                extra = _json(subspecies_of=F.when(F.col("__of").isNotNull(), F.struct("__of.name", F.col("subspecies_of").alias("key"))))
             body = [F.col("name"), F.coalesce("desc", F.lit(""))]
             nested = {"creature": "actions", "characterclass": "features"}.get(entity)
             if nested:
                 body.append(F.array_join(F.transform(nested, lambda x: F.concat_ws("\n", x["name"], x["desc"])), "\n"))
-            parts.append(df.select(F.col("document.key").alias("document_pk"), F.col("key").alias("object_pk"), F.col("name").alias("object_name"), F.lit(model).alias("object_model"), F.lit("v2").alias("schema_version"), F.concat_ws("\n\n", *body).alias("text")))
+            parts.append(df.select(F.col("document.key").alias("document_pk"), F.col("key").alias("object_pk"), F.col("name").alias("object_name"), F.lit(model).alias("object_model"), F.lit("v2").alias("schema_version"), F.concat_ws("\n\n", *body).alias("text"), F.col("document.name").alias("document_name"), extra.alias("extra")))
         return reduce(DataFrame.unionByName, parts)

@@ -68,8 +68,9 @@ def allowed(text: Column, at: Column, kind: Column, name: Column, ambiguous: lis
 def links(sources: DataFrame, references: DataFrame, ambiguous: list[str] = (), excluded_names: list[str] = (), excluded_key_parts: list[str] = ()) -> DataFrame:
     """source_type, source_key, reference_type, reference_key, anchor, key.
 
-    sources: (type, key, desc[, parent]); references: (type, key, name). A text links to an entry that it names as
-    whole words at a place that takes links; it links neither to itself nor to its parent, and once to each name.
+    sources: (type, key, desc[, parent][, parents]); references: (type, key, name). A text links to an entry that it
+    names as whole words at a place that takes links; it links neither to itself nor to its parent (a key of any type) or
+    one of its parents (an array of type and key), and once to each name.
     Candidates come from an equi join of the texts' words with the longest word of each name; only those that hold the
     name at all are searched by regular expression.
     """
@@ -81,11 +82,13 @@ def links(sources: DataFrame, references: DataFrame, ambiguous: list[str] = (),
     longest = F.array_max(F.transform(words("name"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     refs = refs.select(F.col("type").alias("reference_type"), F.col("key").alias("reference_key"), F.col("name").alias("anchor"), longest.alias("__word")).where(F.col("__word").isNotNull())
     parent = F.col("parent") if "parent" in sources.columns else F.lit(None).cast("string")
-    texts = texts.select(F.col("type").alias("source_type"), F.col("key").alias("source_key"), "desc", parent.alias("__parent"))
-    pairs = texts.select("source_type", "source_key", "__parent", F.explode(F.array_distinct(words("desc"))).alias("__word")).join(refs, "__word").drop("__word")
+    parents = F.col("parents") if "parents" in sources.columns else F.array().cast("array<struct<type:string,key:string>>")
+    texts = texts.select(F.col("type").alias("source_type"), F.col("key").alias("source_key"), "desc", parent.alias("__parent"), parents.alias("__parents"))
+    pairs = texts.select("source_type", "source_key", "__parent", "__parents", F.explode(F.array_distinct(words("desc"))).alias("__word")).join(refs, "__word").drop("__word")
     pairs = pairs.where((F.col("reference_key") != F.col("source_key")) | (F.col("reference_type") != F.col("source_type")))
-    pairs = pairs.where(~F.coalesce(F.col("reference_key") == F.col("__parent"), F.lit(False))).drop("__parent")
-    named = pairs.join(texts.drop("__parent"), ["source_type", "source_key"]).where(F.lower("desc").contains(F.lower("anchor")))
+    above = F.exists("__parents", lambda p: F.coalesce((p["type"] == F.col("reference_type")) & (p["key"] == F.col("reference_key")), F.lit(False)))
+    pairs = pairs.where(~F.coalesce(F.col("reference_key") == F.col("__parent"), F.lit(False)) & ~above).drop("__parent", "__parents")
+    named = pairs.join(texts.drop("__parent", "__parents"), ["source_type", "source_key"]).where(F.lower("desc").contains(F.lower("anchor")))
     at = positions(masked(F.col("desc")), F.col("anchor"))
     good = named.where(F.exists(at, lambda p: allowed(F.col("desc"), p, F.col("reference_type"), F.col("anchor"), list(ambiguous))))
     named = good.withColumn("__name", F.lower("anchor")).select("source_type", "source_key", "reference_type", "reference_key", "anchor", "__name")
