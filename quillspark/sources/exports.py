@@ -1,9 +1,12 @@
-"""Export of a catalogue to fixture files: a folder for each publisher and document, a folder of JSON lines for each model."""
+"""Export of a catalogue to fixture files: one JSON array for each publisher, document and model, or tables of records."""
 
+import uuid
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.sources.fixtures import encode
 
@@ -33,3 +36,89 @@ def export(tables: dict[str, DataFrame], documents: DataFrame, root: str) -> Non
         parts.append(records.withColumn("__doc", F.get_json_object("fields", "$.document")))
     every = reduce(DataFrame.unionByName, parts).join(F.broadcast(place), "__doc", "left").withColumnRenamed("__doc", "document")
     every.write.mode("overwrite").partitionBy("publisher", "document", "model").json(root)
+
+
+def record_text(df: DataFrame, model: str, key: str = "key") -> Column:
+    """A row as the JSON text of its record {fields, model, pk}: names sorted, nulls kept, decimals and times as texts."""
+
+    def plain(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.DecimalType):
+            c = c.cast("string")
+        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return c.alias(field.name)
+
+    fields = [plain(f) for f in sorted(df.schema, key=lambda f: f.name) if f.name != key]
+    whole = F.struct(F.struct(*fields).alias("fields"), F.lit(model).alias("model"), F.col(f"`{key}`").alias("pk"))
+    return F.to_json(whole, {"ignoreNullFields": "false"})
+
+
+def write_arrays(records: DataFrame, root: str, empty: list[str] = ()) -> list[str]:
+    """Writes (place, pk, text) as one JSON array for each place, a path below the root, ordered by pk; gives the places.
+
+    Tasks stream the sorted records of a place into one file of a draft folder; then each file is renamed to its place,
+    so that a reader sees a file before or after, never half of it, and a run that fails changes nothing. empty: places
+    that get an empty array where they have no record. Other files below the root stay. Rows without a place are errors.
+    """
+    spark = records.sparkSession
+    by = Window.partitionBy("place").orderBy("pk", "text")
+    first, last = F.row_number().over(by) == 1, F.lead("text").over(by).isNull()
+    held = F.when(F.col("place").isNull(), F.raise_error(F.lit("a record has no place"))).otherwise(F.col("place"))
+    lines = records.withColumn("place", held).withColumn("first", first).withColumn("last", last)
+    value = F.concat(F.when(F.col("first"), "[\n").otherwise(""), F.col("text"), F.when(F.col("last"), "\n]").otherwise(","))
+    draft = f"{root.rstrip('/')}/.draft-{uuid.uuid4().hex}"
+    lines.select("place", value.alias("value")).write.partitionBy("place").text(draft)
+    return _put_in_place(spark, draft, root.rstrip("/"), list(empty))
+
+
+def _put_in_place(spark: SparkSession, draft: str, root: str, empty: list[str]) -> list[str]:
+    """Renames the draft's files, of which there is one for each place: as many as a catalogue has documents and models."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(draft).getFileSystem(spark._jsc.hadoopConfiguration())
+    places = []
+    for folder in files.listStatus(path(draft)):
+        name = folder.getPath().getName()
+        if not name.startswith("place="):
+            continue
+        place = unquote(name.removeprefix("place="))
+        parts = [f.getPath() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        if len(parts) != 1:
+            raise RuntimeError(f"{place} was written by {len(parts)} tasks")
+        _rename(files, path, parts[0], f"{root}/{place}")
+        places.append(place)
+    for place in sorted(set(empty) - set(places)):
+        made = path(f"{draft}/empty")
+        stream = files.create(made, True)
+        stream.write(b"[]\n")
+        stream.close()
+        _rename(files, path, made, f"{root}/{place}")
+        places.append(place)
+    files.delete(path(draft), True)
+    return sorted(places)
+
+
+def _rename(files, path, source, target: str) -> None:
+    to = path(target)
+    files.mkdirs(to.getParent())
+    if files.exists(to):
+        files.delete(to, False)
+    if not files.rename(source, to):
+        raise RuntimeError(f"{target} can't be written")
+
+
+def appended(spark: SparkSession, root: str, place: str, records: DataFrame) -> list[str]:
+    """Adds (pk, text) records to the array at a place; a record of a known pk replaces the one there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{place}")
+    new = records.select(F.lit(place).alias("place"), "pk", "text")
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        old = spark.read.option("multiLine", True).schema("model string, pk string, fields string").json(str(target.toString()))
+        # The fields' own text is kept as it is.
+        text = F.concat(F.lit('{"fields":'), "fields", F.lit(',"model":'), _quoted("model"), F.lit(',"pk":'), _quoted("pk"), F.lit("}"))
+        kept = old.where("pk IS NOT NULL").select(F.lit(place).alias("place"), "pk", text.alias("text")).join(new.select("pk"), "pk", "left_anti")
+        new = kept.select("place", "pk", "text").unionByName(new)
+    return write_arrays(new, root)
+
+
+def _quoted(c: str) -> Column:
+    return F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":(.*)\}$', 1)
