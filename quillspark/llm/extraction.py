@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.storage import Stash
-from quillspark.llm.wrappers import infer, page_blocks, skeleton, slot_zones, slots
+from quillspark.llm.wrappers import OWN_INSIDE, OWN_REST, infer, page_blocks, skeleton, slot_zones, slots
 
 FAN = 64  #: expressions that are aligned in one group of a round, on average
 BROADCAST_BYTES = 32 << 20  #: of the table of wrappers and slots; a larger one is joined by shuffle
@@ -100,8 +100,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     of_slot = of_slot.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
     kept = of_slot.join(wrappers, "host").groupBy("host").applyInArrow(_keep, "host string, wrapper string, choices array<array<int>>")
     own = F.get(F.filter("choices", lambda c: F.arrays_overlap(c, "slot_of")), F.lit(0))
-    chosen = placed.join(kept, "host").withColumn("kept", F.coalesce(own, F.array().cast("array<int>")))
-    keep = chosen.select("host", "expression", F.transform("slot_of", lambda s: F.array_contains("kept", s)).alias("keep"))
+    chosen = placed.join(kept.select("host", "choices"), "host", "left").withColumn("kept", F.coalesce(own, F.array().cast("array<int>")))
+    # A text without a slot stays where its own page has it in the article, or has nothing else.
+    stays = lambda s: F.array_contains("kept", s) | (s == OWN_INSIDE) | ((s == OWN_REST) & (F.size("kept") == 0))
+    keep = chosen.select("host", "expression", F.transform("slot_of", stays).alias("keep"))
     keep = stash.put(keep)
     small = (keep.agg(F.sum(F.length("expression") + F.size("keep") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES
     joined = rows.join(F.broadcast(keep) if small else keep, ["host", "expression"], "left")

@@ -22,6 +22,7 @@ INSIDE = frozenset("article main".split())
 OUTSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|alert|banner|breadcrumbs?|comments?|consent|cookies?|footer|header|login|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|remark\w*|repl(?:y|ies)|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|tags?|widget)(?=$|[\s_-])", re.I)
 INSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story)(?=$|[\s_-])", re.I)
 
+OWN_INSIDE, OWN_REST = -2, -3  #: a T that no slot of the host's wrapper is, in an article element of its own page, or elsewhere outside menus and the like
 LONGEST = 12  #: items of a repeated group as it is first found
 
 
@@ -255,22 +256,55 @@ def infer(expressions: list[str]) -> str:
 
 @lru_cache(20_000)
 def slots(expression: str, wrapper: str) -> tuple[int, ...]:
-    """For each T of the expression the number of the wrapper's T that it is, or -1."""
+    """For each T of the expression the number of the wrapper's T that it is.
+
+    What stands once where the wrapper has a group is aligned inside the group, item by item, as often as some of it fits.
+    A T that fits nowhere gets OWN_INSIDE, OWN_REST or -1, by the part of its own page that it is in.
+    """
     out = [-1] * expression.split().count("T")
 
     def visit(a: list[Item], b: list[Item]) -> None:
-        for x, y in align(gather_groups(a, [z for z in b if z.body is not None]), b):
-            if x and y:
-                if x.body is not None:
+        left: list[Item] = []  # of the expression, since the last items that fit
+        groups: list[Item] = []  # of the wrapper, since then
+        for x, y in [*align(gather_groups(a, [z for z in b if z.body is not None]), b), (None, None)]:
+            if x and not y:
+                left.append(x)
+            elif y and not x:
+                groups += [y] * (y.body is not None)
+            else:
+                inside(left, groups)
+                left, groups = [], []
+                if x and x.body is not None:
                     visit(x.body, y.body)
-                else:
+                elif x:
                     for s in x.slots:
                         out[s] = y.slots[0]
 
+    def inside(run: list[Item], groups: list[Item]) -> None:
+        for group in groups:
+            while run:
+                pairs = [(x, y) for x, y in align(run, group.body) if x]
+                own = {id(x) for x, y in pairs if y}
+                if all(x.name == "T" for x, y in pairs if y):  # a text alone fits anywhere
+                    # A group inside the run may still hold what the group's body holds.
+                    for x in run:
+                        if x.body is not None and any(out[s] == -1 for s in _slots_of(x)):
+                            visit(x.body, group.body)
+                    break
+                visit([x for x in run if id(x) in own], group.body)
+                run = [x for x in run if id(x) not in own]
+
     visit(read(expression), read(wrapper))
+    if -1 in out:
+        own = {1: OWN_INSIDE, 0: OWN_REST, -1: -1}
+        out = [own[zone] if s == -1 else s for s, zone in zip(out, slot_zones(expression))]
     return tuple(out)
 
 
+def _slots_of(item: Item) -> tuple[int, ...]:
+    return item.slots if item.body is None else tuple(s for x in item.body for s in _slots_of(x))
+
+
 def slot_zones(expression: str) -> list[int]:
     """For each T: -1 in a part that is never the article, 1 in an article element, 0 elsewhere."""
     stack: list[str] = []

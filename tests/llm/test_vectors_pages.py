@@ -121,6 +121,27 @@ def test_wrapper_inference():
     assert wrappers.skeleton("p T /p p T /p x")[1] == (0, 0)
 
 
+def test_every_text_has_a_slot_or_a_zone():
+    """A run that stands once where the wrapper has a group, with optional items in between, is aligned inside the group."""
+    pages = ["article p T /p /article section h2 T /h2 ul li T /li /ul /section", "article ( p T /p )+ /article section h2 T /h2 /section", "article ( p T /p h2 T /h2 )+ /article"]
+    wrapper = wrappers.infer(pages)
+    found = [wrappers.slots(p, wrapper) for p in pages]
+    assert all(s >= 0 or s == wrappers.OWN_INSIDE for f in found for s in f)
+    zones = wrappers.slot_zones(wrapper)
+    assert all(zones[f[0]] == 1 for f in found if f[0] >= 0)
+    assert wrappers.slots("nav T /nav article b T /b /article div T /div", "ul ( li T /li )+ /ul") == (-1, wrappers.OWN_INSIDE, wrappers.OWN_REST)
+
+
+def test_first_paragraphs_stay(spark):
+    p1 = "<article><p>one first</p></article><section><h2>one s</h2><ul><li>one l</ul></section>"
+    p2 = "<article><p>two first</p><p>two second</p></article><section><h2>two s</h2></section>"
+    p3 = "<article><p>three first</p><h2>three h</h2><p>three second</p><h2>three i</h2></article>"
+    rows = [(i, "http://three.example/", p) for i, p in enumerate((p1, p2, p3))]
+    out = {r.page_id: r.text.split("\n") for r in extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i][0] for i in range(3)] == ["one first", "two first", "three first"]
+    assert out[1][:2] == ["two first", "two second"] and out[2] == ["three first", "three h", "three second", "three i"]
+
+
 def test_many_expressions_of_a_host(spark, monkeypatch):
     monkeypatch.setattr(extraction, "FAN", 3)
     rng = random.Random(5)
