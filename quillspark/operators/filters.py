@@ -88,6 +88,43 @@ class FilterSet:
         return df.where(reduce(lambda a, b: a & b, found)) if found else df
 
 
+class UnknownValues(ValueError):
+    """Values of parameters that no parent row has. errors: parameter -> values, all of a request's."""
+
+    def __init__(self, errors: dict[str, list[str]]):
+        super().__init__("; ".join(f"{k}: no {', '.join(v)}" for k, v in sorted(errors.items())))
+        self.errors = errors
+
+
+def check_parents(params: Mapping[str, object], parents: Mapping[str, tuple[DataFrame, str]]) -> None:
+    """UnknownValues with all values of a request that aren't keys of their parents, found by one job before the request's own plan runs.
+
+    parents: parameter -> (table, its key); a parameter `name__in` is checked like `name`. Each table is read for the asked
+    keys only.
+    """
+    asked = {}
+    for name, value in params.items():
+        base = name.removesuffix("__in")
+        if base in parents and value not in (None, ""):
+            asked[name] = [str(v) for v in values(value)] if name != base else [str(value)]
+    if not asked:
+        return
+    parts = []
+    for name, wanted in asked.items():
+        table, key = parents[name.removesuffix("__in")]
+        parts.append(table.where(F.col(key).isin(wanted)).select(F.lit(name).alias("name"), F.col(key).cast("string").alias("value")).distinct())
+    found = {(r["name"], r["value"]) for r in reduce(DataFrame.unionByName, parts).collect()}  # as many as were asked for
+    errors = {name: lost for name, wanted in asked.items() if (lost := [v for v in wanted if (name, v) not in found])}
+    if errors:
+        raise UnknownValues(errors)
+
+
+def split_by(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows for which the condition holds, and all others, those for which it is null too."""
+    sure = F.coalesce(condition, F.lit(False))
+    return df.where(sure), df.where(~sure)
+
+
 def keyword_search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """Each word of the text is in one of the columns at least, whatever its case."""
     for word in text.replace(",", " ").split():

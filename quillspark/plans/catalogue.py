@@ -187,17 +187,17 @@ class Catalogue:
         number = ["exact", "range", "gt", "gte", "lt", "lte"]
         filters = lambda **more: FilterSet(keyed | more)
         routes = {
-            "creatures": Listing(self.creatures(), "key", filters(size=["exact"], type=["exact"], challenge_rating=number, armor_class=number, hit_points=number, passive_perception=number, **{f"ability_score_{a}": number for a in derived.ABILITIES}, **{f"saving_throw_{a}": ["isnull"] for a in derived.ABILITIES})),
+            "creatures": Listing(self.creatures(), "key", filters(size=["exact"], type=["exact"], challenge_rating=number, armor_class=number, hit_points=number, passive_perception=number, **{f"ability_score_{a}": number for a in derived.ABILITIES}, **{f"saving_throw_{a}": ["isnull"] for a in derived.ABILITIES}), parents={"size": (self.size, "key"), "type": (self.creaturetype, "key")}),
             "spells": Listing(self.spells(), "key", filters(level=number, range=number, school__key=["exact"], school__name=["exact", "in"], duration=["exact", "in"], casting_time=["exact", "in"], **{c: ["exact"] for c in ("concentration", "verbal", "somatic", "material", "material_consumed")})),
             "weapons": Listing(self.weapons(), "key", filters(damage_dice=["exact", "in"], is_simple=["exact"])),
             "armor": Listing(self.armors(), "key", filters(ac_base=number, ac_add_dexmod=["exact"], grants_stealth_disadvantage=["exact"], strength_score_required=number)),
             "classes": Listing(self.classes(), "key", filters(is_subclass=["exact"], caster_type=["exact", "in"])),
             "backgrounds": Listing(self.with_benefits("background", "backgroundbenefit", "benefits", ["key"]), "key", filters()),
             "feats": Listing(self.with_benefits("feat", "featbenefit", "benefits", ["order", "key"]), "key", filters(prerequisite=["icontains"])),
-            "species": Listing(self.with_benefits("species", "speciestrait", "traits", ["order", "key"]), "key", filters(subspecies_of=["exact", "isnull"])),
+            "species": Listing(self.with_benefits("species", "speciestrait", "traits", ["order", "key"]), "key", filters(subspecies_of=["exact", "isnull"]), parents={"subspecies_of": (self.species, "key")}),
         }
         simple = {"languages": ("language", {"is_exotic": ["exact"], "is_secret": ["exact"]}), "services": ("service", {}), "environments": ("environment", {}), "sizes": ("size", {"rank": number}), "images": ("image", {}), "rulesets": ("ruleset", {}), "itemcategories": ("itemcategory", {}), "itemrarities": ("itemrarity", {}), "items": ("item", {"cost": number, "weight": number, "category": ["exact"], "weapon": ["isnull"], "armor": ["isnull"]}), "creaturesets": ("creatureset", {}), "itemsets": ("itemset", {})}
-        routes |= {r: Listing(self.with_document(self.tables[e]), "key", filters(**more)) for r, (e, more) in simple.items()}
+        routes |= {r: Listing(self.with_document(self.tables[e]), "key", filters(**more), parents={"category": (self.itemcategory, "key")} if e == "item" else {}) for r, (e, more) in simple.items()}
         routes |= {r: Listing(self.descriptions(e), "key", FilterSet({"key": ["exact", "in"], "name": ["exact", "icontains"], "document": ["exact", "in"]})) for r, e in {"abilities": "ability", "alignments": "alignment", "conditions": "condition", "damagetypes": "damagetype", "skills": "skill", "creaturetypes": "creaturetype"}.items()}
         routes |= {r: Listing(self.tables[e], "key", FilterSet.of_schema(self.tables[e])) for r, e in {"documents": "document", "publishers": "publisher", "gamesystems": "gamesystem", "licenses": "license", "rules": "rule"}.items()}
         return routes

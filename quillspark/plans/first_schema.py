@@ -70,9 +70,10 @@ def armor_text(base: Column, dex: Column, con: Column, wis: Column, flat: Column
     return F.concat(base.cast("string"), given(dex, " + Dex modifier"), given(con, " + Con modifier"), given(wis, " + Wis modifier"), more, given(F.coalesce(most, F.lit(0)) != 0, " (max 2)"))
 
 
-def outside(spells: DataFrame) -> DataFrame:
-    """(key, column, value) of schools that aren't among the choices in lower case."""
-    return quality.outside_domain(spells, "slug", {"school": SCHOOLS})
+def outside(rows: DataFrame, school: str | None = "school", damage_type: str | None = None, shape: str | None = None, key: str = "slug") -> DataFrame:
+    """(key, column, value) of texts that aren't among the choices of schools, damage types and shapes, in lower case. Name the columns that hold them; null passes."""
+    domains = {c: v for c, v in ((school, SCHOOLS), (damage_type, DAMAGE_TYPES), (shape, SHAPES)) if c}
+    return quality.outside_domain(rows, key, domains)
 
 
 @dataclass

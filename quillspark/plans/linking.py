@@ -102,6 +102,12 @@ def report(edges: DataFrame, by: str, other: str) -> DataFrame:
     return groups.withColumn("n", F.size("others")).orderBy(F.desc("n"), by)
 
 
+def write_reports(edges: DataFrame, folder: str) -> None:
+    """Two JSON tables below the folder: what each source names (by_source), and what names each entry (by_reference), most first."""
+    for name, by, other in (("by_source", "source_key", "reference_key"), ("by_reference", "reference_key", "source_key")):
+        report(edges, by, other).write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+
+
 def applied(existing: DataFrame, new: DataFrame, documents: list[str] | None = None) -> DataFrame:
     """The edges after a run: new ones replace those of the same key (and all of the given documents)."""
     kept = existing.where(~F.col("document").isin(*documents)) if documents else existing

@@ -5,7 +5,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from quillspark.operators.filters import FilterSet, keyword_search
+from quillspark.operators.filters import FilterSet, check_parents, keyword_search
 from quillspark.operators.paging import PAGE_SIZE, Page, ordered, page, page_rows
 from quillspark.operators.projection import apply_params
 
@@ -19,8 +19,11 @@ class Listing:
     filters: FilterSet
     search_columns: list[str] = field(default_factory=list)
     default_order: str | None = None
+    #: Parameters whose values must be keys of another table.
+    parents: Mapping[str, tuple[DataFrame, str]] = field(default_factory=dict)
 
     def matching(self, params: Mapping[str, object]) -> DataFrame:
+        check_parents(params, self.parents)
         df = self.filters.apply(self.rows, params)
         if self.search_columns and params.get("search"):
             df = keyword_search(df, str(params["search"]), self.search_columns)

@@ -2,11 +2,10 @@
 
 Postings hold positions and the row's length, and are partitioned by a hash of the term, so a query's scan is pruned to
 as many folders as it has words; TF-IDF weights and the corpus itself lie beside them. Counts of terms are in a table of
-their own, partitioned alike, so no query counts the corpus again. A rebuild writes a new version and then turns the
-pointer, so readers see one whole version.
+their own, partitioned alike, so no query counts the corpus again. A rebuild writes a new version and then turns to
+it by one rename, so readers see one whole version (sources/versions.py; old ones go by its prune).
 """
 
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions.text import without_accents
 from quillspark.plans import fulltext, search
+from quillspark.sources.versions import Versions
 
 PARTS = 256  #: folders of the terms
 #: Columns of the tables that are partitioned by term, beside the key (that of terms has none).
@@ -45,7 +45,8 @@ class SearchIndex:
         read once for each table; a null text has no terms, an empty corpus gives an index that finds nothing.
         """
         spark = corpus.sparkSession
-        path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        versions = Versions(spark, root)
+        path = versions.new_folder()
         corpus.write.parquet(f"{path}/rows")
         rows = spark.read.parquet(f"{path}/rows")
         one = search.postings(rows, key, columns).withColumn("part", part_of(F.col("term"), parts))
@@ -59,18 +60,19 @@ class SearchIndex:
         if similar is not None:
             weights = search.term_weights(rows, key, similar).withColumn("part", part_of(F.col("term"), parts))
             _write(weights, key, f"{path}/weights")
-        facts = spark.createDataFrame([(path, key, parts, similar is not None)], "path string, key string, parts int, similar boolean")
-        facts.coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/current")
+        facts = spark.createDataFrame([(key, parts, similar is not None)], "key string, parts int, similar boolean")
+        facts.coalesce(1).write.parquet(f"{path}/facts")
+        versions.publish(path)
         return index
 
     @classmethod
     def load(cls, spark: SparkSession, root: str) -> "SearchIndex | None":
         """The current version; None where there is no index, so that a caller can build one."""
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/current/_SUCCESS")
-        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        path = Versions(spark, root).current()
+        if not path:
             return None
-        found = spark.read.parquet(f"{root.rstrip('/')}/current").first()
-        return cls(spark, found.path).opened(found.key, found.parts, found.similar)
+        found = spark.read.parquet(f"{path}/facts").first()
+        return cls(spark, path).opened(found.key, found.parts, found.similar)
 
     def opened(self, key: str, parts: int, similar: bool) -> "SearchIndex":
         self.key, self.parts, self.similar = key, parts, similar

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import derived, parsers, text
-from quillspark.operators import aggregates, filters, joins, merges, paging, projection, quality
+from quillspark.operators import aggregates, filters, joins, merges, paging, projection, quality, synonyms
 from quillspark.plans import fulltext, linking, list_query, search
 from quillspark.plans.search_index import SearchIndex
 from quillspark.session import working_folder
@@ -512,6 +512,17 @@ def etl_patch(t):
     return patch.rows.join(outcome, "c_custkey")
 
 
+@query("""WITH w AS (SELECT DISTINCT p_partkey, lower(trim(unnest(string_split(p_type || ' ' || CASE WHEN p_size = 7 THEN 'Any' ELSE '' END, ' ')))) AS word FROM part),
+ e AS (SELECT DISTINCT n_name AS target, CASE n_regionkey WHEN 0 THEN 'small' WHEN 1 THEN 'large' WHEN 2 THEN 'medium' WHEN 3 THEN 'economy' ELSE lower(n_name) END AS word FROM nation)
+ SELECT DISTINCT p_partkey AS key, target FROM w JOIN e ON w.word = e.word OR w.word = 'any'""")
+def etl_synonyms(t):
+    """Parts linked with nations by the words of their types: the words of a size mean a region's nations, Any means all."""
+    rows = t.part.select("p_partkey", F.split(F.concat_ws(" ", "p_type", F.when(F.col("p_size") == 7, "Any").otherwise("")), " ").alias("words"))
+    regions = {r: w for r, w in enumerate(("small", "large", "medium", "economy"))}
+    names = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in regions.items() for x in p)), F.col("n_regionkey").cast("int")), F.col("n_name"))
+    return synonyms.word_links(rows, "p_partkey", F.col("words"), t.nation.withColumn("named", names), "n_name", "named").links
+
+
 @query("""WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0), n AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 5 <> 0)
  SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed' WHEN o.o_totalprice = n.o_totalprice AND o.o_orderstatus = n.o_orderstatus THEN 'same' ELSE 'replaced' END AS change FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey""")
 def etl_change_set(t):

@@ -98,3 +98,41 @@ def test_versions(spark, tmp_path):
         store.write(spark.createDataFrame([("srd", k)], "document string, key string"), "document")
     assert [r.key for r in store.read().collect()] == ["c"] and len(store.numbers()) == 3
     assert len(store.prune(1)) == 2 and [r.key for r in store.read().collect()] == ["c"]
+
+
+def test_word_links(spark):
+    from quillspark.operators.synonyms import word_links
+
+    rows = spark.createDataFrame([(1, ["Forest", " hills ", "Forest"]), (2, ["ANY"]), (3, ["lava", None, ""]), (4, None), (5, ["Woods", "lava"])], "id int, words array<string>")
+    places = spark.createDataFrame([("forest",), ("hill",), ("jungle",), (None,)], "key string")
+    found = word_links(rows, "id", F.col("words"), places, synonyms={"hills": "hill", "woods": ["forest", "jungle"], "Sea": "ocean"})
+    assert {tuple(r) for r in found.links.collect()} == {(1, "forest"), (1, "hill"), (2, "forest"), (2, "hill"), (2, "jungle"), (5, "forest"), (5, "jungle")}
+    assert {tuple(r) for r in found.unknown.collect()} == {("lava", 2)}
+    assert word_links(rows.limit(0), "id", F.col("words"), places).links.count() == 0 and word_links(rows, "id", F.col("words"), places.limit(0), every=[]).links.count() == 0
+
+
+def test_check_parents(spark):
+    from quillspark.operators.filters import FilterSet, UnknownValues, check_parents, split_by
+    from quillspark.plans.list_query import Listing
+
+    sizes = spark.createDataFrame([("small",), ("large",)], "key string")
+    kinds = spark.createDataFrame([("beast",)], "key string")
+    parents = {"size": (sizes, "key"), "type": (kinds, "key")}
+    check_parents({"size": "small", "type__in": "beast", "other": "x", "type": ""}, parents)
+    with pytest.raises(UnknownValues) as raised:
+        check_parents({"size__in": "small,huge,tiny", "type": "plant", "name": "x"}, parents)
+    assert raised.value.errors == {"size__in": ["huge", "tiny"], "type": ["plant"]}
+    rows = spark.createDataFrame([("a", "small"), ("b", None)], "key string, size string")
+    listing = Listing(rows, "key", FilterSet({"size": ["exact"]}), parents=parents)
+    assert listing.rows_of({"size": "small"}).count() == 1
+    with pytest.raises(UnknownValues):
+        listing.rows_of({"size": "huge"})
+    some, rest = split_by(rows, F.col("size") == "small")
+    assert [r.key for r in some.collect()] == ["a"] and [r.key for r in rest.collect()] == ["b"]
+
+
+def test_choices_of_the_first_schema(spark):
+    from quillspark.plans.first_schema import outside
+
+    rows = spark.createDataFrame([("a", "evocation", "fire", "cone"), ("b", "Evocation", "ice", None)], "slug string, school string, damage string, area string")
+    assert {(r.key, r.column) for r in outside(rows, damage_type="damage", shape="area").collect()} == {("b", "school"), ("b", "damage")}
