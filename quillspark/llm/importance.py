@@ -2,7 +2,7 @@
 
 A dictionary counts every distinct n-gram string of a block of texts and hashes it once; counts of buckets come from the
 dictionaries of all blocks, and the gain of a string's bucket is joined back to the texts of the block that hold it. No
-string leaves its block: a dictionary over all documents would shuffle more than eight times the input (README). The
+string leaves its block: a dictionary over all documents would shuffle more than six times the input (README). The
 draw without replacement is a top-k by weight plus seeded Gumbel noise.
 """
 
