@@ -1,23 +1,25 @@
 """Bulk-synchronous best-fit packing of token pieces into sequences.
 
-Lengths are whole numbers up to the capacity, so range-sorted documents and gaps are runs of equal length: the
-distributed part counts the documents of each length and gives each its rank within it. A round takes the next
-shorter length, matches its documents with the smallest gaps that hold them by a successor sweep over the sorted runs
-of gaps, lets rank decide which document gets which gap, updates the runs of gaps, and goes on until no document is
-left. A round thus moves whole ranges of ranks; the ranges (bounded by the capacity, not by the documents) are
-broadcast, and each document looks its own one up.
+Documents of equal length are interchangeable, so Spark counts and ranks those of each length, and a round moves runs
+of them. A round is one Spark job over the runs that are left: runs of documents and of gaps are partitioned by size; a
+successor sweep within each block of sizes, then one over what the blocks left, gives the documents, longest first,
+the smallest gaps that hold them; of documents that want one gap the longest, then the first in rank, gets it, and the
+others look on. A gap takes one document a round. The round's table holds the moves and the runs that are left, gaps
+updated; the next round reads it. Documents much shorter than the longest one left wait, so that they don't fill the
+gaps that longer ones need; if nothing moves, new sequences are opened. A round reads at most one run of documents for
+each length and the runs of gaps, whose number the capacity bounds, not the documents.
 """
 
 import os
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.arrays import gather, pieces, sums
@@ -25,6 +27,10 @@ from quillspark.llm.storage import Stash
 from quillspark.llm.tokens import text_chunks
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+RUN = "kind int, length long, rank long, room long, sequence long, many long"
+DOCUMENTS, GAPS, MOVES = range(3)  #: kinds of runs
+_BLOCK = 128  #: sizes of runs that one task sweeps first
+_WAIT = 0.2  #: of the longest length left: shorter documents wait
 _RANK_ROWS = 200_000  #: documents of one length that are ranked by one task
 
 
@@ -110,50 +116,81 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     return rows.mapInArrow(cut, PIECE + (", ids array<long>" if with_ids else ""))
 
 
-def best_fit_ranges(counts: Mapping[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, documents, first sequence, offset) of ranges of documents that go to successive sequences."""
-    out, opened = [], 0
-    gaps: dict[int, list[list[int]]] = {}  # room -> runs [first sequence, sequences]
-    rooms: list[int] = []  # sorted
-
-    def give(room: int, first: int, many: int) -> None:
-        if room and many:
-            if room not in gaps:
-                gaps[room] = []
-                insort(rooms, room)
-            gaps[room].append([first, many])
-
-    for length in sorted(counts, reverse=True):
-        need, rank = counts[length], 0
-        while need:
-            k = bisect_left(rooms, length)
-            room = rooms[k] if k < len(rooms) else capacity
-            deep = room // length
-            wanted = -(-need // deep)
-            if k < len(rooms):
-                run = gaps[room][-1]
-                first, many = run[0], min(wanted, run[1])
-                run[0], run[1] = run[0] + many, run[1] - many
-                if not run[1]:
-                    gaps[room].pop()
-                    if not gaps[room]:
-                        del gaps[room]
-                        rooms.pop(k)
-            else:
-                first, many = opened, wanted
-                opened += wanted
-            full = min(many, need // deep)
-            for j in range(deep if full else 0):
-                out.append((length, rank, full, first, capacity - room + j * length))
-                rank, need = rank + full, need - full
-            give(room - deep * length, first, full)
-            if full < many:  # the last sequence takes what is left
-                for j in range(need):
-                    out.append((length, rank, 1, first + full, capacity - room + j * length))
-                    rank += 1
-                give(room - need * length, first + full, 1)
-                need = 0
-    return out
+def successor_sweep(runs: pd.DataFrame) -> pd.DataFrame:
+    """Moves of documents to the smallest gaps that hold them, longest first, one to a gap; the runs that are left; moves made before."""
+    documents = runs["kind"] == DOCUMENTS
+    size = runs["length"].where(documents, runs["room"])
+    order = np.lexsort((runs["sequence"], runs["rank"], documents, -size))
+    out, free = [], []
+    for kind, length, rank, room, sequence, many in runs[[c.split()[0] for c in RUN.split(", ")]].iloc[order].itertuples(index=False):
+        if kind == MOVES:
+            out.append((kind, length, rank, room, sequence, many))
+        elif kind == GAPS:
+            free.append([room, sequence, many])
+        else:
+            while many and free:
+                gap = free[-1]
+                moved = min(many, gap[2])
+                out.append((MOVES, length, rank, gap[0], gap[1], moved))
+                rank, many, gap[1], gap[2] = rank + moved, many - moved, gap[1] + moved, gap[2] - moved
+                if not gap[2]:
+                    free.pop()
+            if many:
+                out.append((DOCUMENTS, length, rank, 0, 0, many))
+    out += [(GAPS, 0, 0, *gap) for gap in free]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in RUN.split(", ")])
+
+
+def best_fit_moves(counts: DataFrame, capacity: int, stash: Stash) -> DataFrame:
+    """Moves of all rounds (length, rank, room, sequence, many): documents `rank` on of a length go to as many sequences from `sequence` on, at capacity - room.
+
+    counts: length and count, one row for each length of 1 to `capacity`. No rows give no moves.
+    """
+    spark = counts.sparkSession
+    kind, length, many = F.col("kind"), F.col("length"), F.col("many")
+
+    def measured(runs: DataFrame, limit: int) -> tuple[DataFrame, dict]:
+        """The runs, written, and what is left: longest and least length, tokens and large documents of at least `limit`."""
+        left = kind == DOCUMENTS
+        seen = Observation()
+        asked = left & (length >= limit)
+        kept = stash.put(
+            runs.observe(
+                seen,
+                F.max(F.when(left, length)).alias("top"),
+                F.min(F.when(left, length)).alias("least"),
+                F.sum(F.when(asked, length * many)).alias("tokens"),
+                F.sum(F.when(asked & (2 * length > capacity), many)).alias("large"),
+                F.sum(F.when(kind == MOVES, many)).alias("moved"),
+            )
+        )
+        return kept, seen.get
+
+    start = counts.select(F.lit(DOCUMENTS).alias("kind"), "length", *(F.lit(0).cast("long").alias(c) for c in ("rank", "room", "sequence")), F.col("count").alias("many"))
+    limit = int((counts.agg(F.max("length")).first()[0] or 0) * _WAIT)
+    runs, left = measured(start, limit)
+    rounds, opened = [runs], 0
+    while left["top"]:
+        moved = kind == MOVES
+        room = F.when(moved, F.col("room") - length).otherwise(F.col("room"))
+        state = runs.select(
+            F.when(moved, GAPS).otherwise(kind).alias("kind"),
+            *(F.when(moved, 0).otherwise(F.col(c)).alias(c) for c in ("length", "rank")),
+            room.alias("room"),
+            "sequence",
+            "many",
+        ).where((kind == DOCUMENTS) | (F.col("room") >= left["least"]))
+        if not left["moved"]:  # what asks for a gap finds none
+            new = max(left["large"] or 0, -(-left["tokens"] // capacity))
+            state = state.union(spark.range(0, 1, 1, 1).select(F.lit(GAPS), *(F.lit(x).cast("long") for x in (0, 0, capacity, opened, new))))
+            opened += new
+        limit = int(left["top"] * _WAIT)
+        waits = (kind == DOCUMENTS) & (length < limit)
+        size = F.when(kind == DOCUMENTS, length).otherwise(F.col("room"))
+        swept = state.where(~waits).groupBy(F.floor(size / _BLOCK)).applyInPandas(successor_sweep, RUN).groupBy().applyInPandas(successor_sweep, RUN)
+        runs, left = measured(swept.union(state.where(waits)), limit)
+        rounds.append(runs)
+    return spark.read.schema(RUN).parquet(*(r.stashed_at for r in rounds)).where(kind == MOVES).drop("kind")
 
 
 def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -163,13 +200,15 @@ def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     table gives an empty result. A length over the capacity or under 1 is an error.
     """
     spark = rows.sparkSession
-    counts = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}
-    if any(n is None or not 1 <= n <= capacity for n in counts):
+    stash = Stash(spark)
+    counts = stash.put(rows.groupBy("length").count())
+    odd, most = counts.agg(F.max(F.col("length").isNull() | ~F.col("length").between(1, capacity)), F.max("count")).first()
+    if odd:
         raise ValueError(f"lengths must lie between 1 and {capacity}")
-    ranges = best_fit_ranges(counts, capacity)
-    keyed = np.array(sorted(ranges), np.int64).reshape(-1, 5)
+    moves = best_fit_moves(counts, capacity, stash).select("length", "rank", "sequence", "room").collect()
+    keyed = np.array(sorted(moves), np.int64).reshape(-1, 4)
     table = spark.sparkContext.broadcast((keyed[:, 0] << 44 | keyed[:, 1], keyed))
-    salts = max(8, -(-max(counts.values(), default=0) // _RANK_ROWS))
+    salts = max(8, -(-(most or 0) // _RANK_ROWS))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
@@ -178,11 +217,11 @@ def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranges = table.value
+        keys, moves = table.value
         for batch in batches:
             length, rank = (np.asarray(batch.column(c)) for c in ("length", "rank"))
-            own = ranges[np.searchsorted(keys, length << 44 | rank, "right") - 1]
-            yield pa.record_batch({c: batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": own[:, 3] + rank - own[:, 1], "offset": own[:, 4]})
+            own = moves[np.searchsorted(keys, length << 44 | rank, "right") - 1]
+            yield pa.record_batch({c: batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": own[:, 2] + rank - own[:, 1], "offset": capacity - own[:, 3]})
 
     return ranked.mapInArrow(place, PIECE + ", sequence_id long, offset long")
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -199,25 +200,31 @@ def test_packing(spark):
     assert with_ids.ids == ids(texts[3])[:cap]
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_best_fit_ranges(seed):
-    rng = random.Random(seed)
-    counts = {n: rng.randint(1, 400) for n in rng.sample(range(1, 101), 30)}
-    bins, free = [], []
+def plain_best_fit(counts, cap):
+    """Free room of each sequence by best fit, longest first, one document after another."""
+    free = []
     for n in sorted(counts, reverse=True):
         for _ in range(counts[n]):
             fit = min((room for room in free if room >= n), default=None)
             if fit is None:
-                bins.append(1)
-                free.append(100 - n)
+                free.append(cap - n)
             else:
                 free[free.index(fit)] = fit - n
-    used, seen = defaultdict(list), Counter()
-    for length, rank, many, first, offset in packing.best_fit_ranges(counts, 100):
-        seen[length] += many
+    return free
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_fit_moves(spark, seed):
+    rng = random.Random(seed)
+    counts = {n: rng.randint(1, 400) for n in rng.sample(range(1, 101), 30)}
+    table = spark.createDataFrame([*counts.items()], "length long, count long")
+    used, seen = defaultdict(list), defaultdict(list)
+    for length, rank, room, sequence, many in packing.best_fit_moves(table, 100, Stash(spark)).collect():
+        seen[length] += range(rank, rank + many)
         for k in range(many):
-            used[first + k].append((offset, length))
-    assert seen == Counter(counts) and len(used) == len(bins)
+            used[sequence + k].append((100 - room, length))
+    assert {n: sorted(ranks) for n, ranks in seen.items()} == {n: [*range(c)] for n, c in counts.items()}
+    assert sorted(used) == [*range(len(used))] and len(used) <= 1.01 * len(plain_best_fit(counts, 100)) + 1
     for spans in used.values():
         at = 0
         for o, n in sorted(spans):
@@ -226,6 +233,37 @@ def test_best_fit_ranges(seed):
         assert at <= 100
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_successor_sweep_by_blocks(seed):
+    """Sweeps of blocks, then of what they left, move what one sweep moves: each document, longest first, to the smallest free gap."""
+    rng = random.Random(seed)
+    lengths = {n: rng.randint(1, 9) for n in rng.sample(range(1, 60), 12)}
+    rooms = [(rng.randint(1, 60), 10 * k, rng.randint(1, 9)) for k in range(12)]
+    columns = [c.split()[0] for c in packing.RUN.split(", ")]
+    runs = pd.DataFrame([(packing.DOCUMENTS, n, 0, 0, 0, c) for n, c in lengths.items()] + [(packing.GAPS, 0, 0, *r) for r in rooms], columns=columns)
+    blocks = [packing.successor_sweep(part) for _, part in runs.groupby((runs["length"] + runs["room"]) // 16)]
+    found = Counter()
+    for kind, length, _, room, _, many in packing.successor_sweep(pd.concat(blocks)).itertuples(index=False):
+        found[kind, length, room] += many
+    free, expected = [room for room, _, many in rooms for _ in range(many)], Counter()
+    for n in sorted(lengths, reverse=True):
+        for _ in range(lengths[n]):
+            fit = min((room for room in free if room >= n), default=None)
+            if fit is None:
+                expected[packing.DOCUMENTS, n, 0] += 1
+            else:
+                free.remove(fit)
+                expected[packing.MOVES, n, fit] += 1
+    assert found == expected + Counter((packing.GAPS, 0, room) for room in free)
+
+
+def test_lengths_that_do_not_fit(spark):
+    for odd in (None, 0, 101):
+        rows = spark.createDataFrame([(1, 0, 0, odd, 5)], packing.PIECE)
+        with pytest.raises(ValueError):
+            packing.pack(rows, 100)
+
+
 # Near copies
 
 
