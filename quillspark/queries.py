@@ -426,7 +426,16 @@ def srch_tfidf(t):
     return search.tfidf_scores(weights, "p_partkey", top.q).select("p_partkey", F.round("score", 6).alias("score"))
 
 
-@query()
+def _common_sql(word: str) -> str:
+    """SQL rows (pattern, letters) of all subsequences of the word: the longest one that matches is the longest common subsequence."""
+    picks = {"".join(c for k, c in enumerate(word) if mask >> k & 1) for mask in range(1, 1 << len(word))}
+    return ", ".join(f"('%{'%'.join(x)}%', {len(x)})" for x in sorted(picks))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT p_name, unnest(regexp_extract_all(lower(p_name), '\\w+')) AS word FROM part),
+ s AS (SELECT word, max(200.0::DOUBLE * n / (length(word) + 4)) AS score FROM (SELECT DISTINCT word FROM w) JOIN (VALUES {_common_sql("geer")}) v(p, n) ON word LIKE p GROUP BY word),
+ b AS (SELECT word, score FROM (SELECT * FROM s ORDER BY score DESC, word LIMIT 5) WHERE score >= 75)
+ SELECT p_name, word, score FROM w JOIN b USING (word) QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY score DESC, word DESC) = 1""")
 def srch_fuzzy(t):
     return search.fuzzy_names(t.part, "p_name", "geer")
 
@@ -549,12 +558,17 @@ def _unmarked(mark: str, table: str) -> str:
     return f"""SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 AND i < len(p) THEN regexp_replace(x, '[^\\n]', ' ', 'g') ELSE x END), '  ') AS text FROM (SELECT doc_id, string_split(text, '{mark}') AS p FROM {table})"""
 
 
-@query(f"""WITH b AS (SELECT min(item_id) AS item_id, name FROM (SELECT item_id, regexp_extract(text, '^\\W*(\\w+ \\w+ \\w+)', 1) AS name FROM benchmark) WHERE name <> '' GROUP BY name),
+def _named_sql(items: str, found: str) -> str:
+    """SQL of what documents name: items (key, name) in, `found` over c (key, name, doc_id, text) out, outside headings, tables' first lines and bold parts."""
+    return f"""WITH b AS ({items}),
  s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
  m AS (SELECT doc_id, array_to_string(list_transform(l, lambda x, i: CASE WHEN regexp_matches(x, '^\\s*#') OR (contains(x, '|') AND NOT (i > 1 AND contains(l[i - 1], '|'))) THEN repeat(' ', length(x)) ELSE x END), chr(10)) AS text FROM s),
  bold AS ({_unmarked("**", "m")}), d AS (SELECT doc_id, text, lower(text) AS low FROM ({_unmarked("__", "bold")})),
- c AS MATERIALIZED (SELECT item_id, name, doc_id, text FROM b, d WHERE contains(low, lower(name)))
- SELECT item_id AS reference_key, doc_id AS source_key FROM c WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || name || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 'i')""")
+ c AS MATERIALIZED (SELECT b.key, name, doc_id, text FROM b, d WHERE contains(low, lower(name)))
+ {found} WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || name || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 'i')"""
+
+
+@query(_named_sql("SELECT min(item_id) AS key, name FROM (SELECT item_id, regexp_extract(text, '^\\W*(\\w+ \\w+ \\w+)', 1) AS name FROM benchmark) WHERE name <> '' GROUP BY name", "SELECT key AS reference_key, doc_id AS source_key FROM c"))
 def xref_passages(t):
     """Which documents name the first three words of a benchmark item outside headings, tables' first lines and bold parts."""
     sources = t.documents.select(F.lit("document").alias("type"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("desc"))
@@ -564,11 +578,14 @@ def xref_passages(t):
     return found.select(F.col("reference_key").cast("long").alias("reference_key"), F.col("source_key").cast("long").alias("source_key"))
 
 
-@query()
+@query(_named_sql("SELECT min(key) AS key, arg_min(name, key) AS name FROM (SELECT item_id::VARCHAR AS key, regexp_extract(text, '^\\W*(\\w+ \\w+)', 1) AS name FROM benchmark) WHERE name <> '' GROUP BY lower(name)",
+    "SELECT key AS reference_key, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS others, any_value(name) AS anchors, count(*)::INTEGER AS n FROM c") + " GROUP BY key")
 def xref_report(t):
+    """Which documents name the first two words of each benchmark item, most named first; of items that begin alike the smallest key counts."""
     sources = t.documents.select(F.lit("document").alias("type"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("desc"))
     refs = t.benchmark.select(F.lit("item").alias("type"), F.col("item_id").cast("string").alias("key"), F.regexp_extract("text", r"^\W*(\w+ \w+)", 1).alias("name")).where("name <> ''")
-    return linking.report(linking.links(sources, refs), "reference_key", "source_key")
+    found = linking.report(linking.links(sources, refs), "reference_key", "source_key")
+    return found.select("reference_key", F.array_join("others", ",").alias("others"), F.array_join("anchors", "|").alias("anchors"), "n")
 
 
 @query("SELECT 'labels' AS \"table\", doc_id::VARCHAR AS key, 'doc_id' AS \"column\", doc_id::VARCHAR AS value FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
