@@ -1,11 +1,16 @@
 """Ranked text search over a corpus: full-text BM25, fuzzy words of names, TF-IDF similarity, and their merge."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.text import highlighted, without_accents
 from quillspark.functions.urls import search_route
@@ -17,6 +22,7 @@ from quillspark.session import kept
 
 # Thresholds of the fuzzy and the TF-IDF search.
 FUZZY_LEAST, FUZZY_WORDS, VECTOR_LEAST = 75.0, 5, 0.05
+BLOCK_WORDS = 2_000_000  #: of a block of rows whose postings are made at once (one row at least)
 
 
 def _occurrences(words: Column, word: Column) -> Column:
@@ -50,16 +56,59 @@ def bm25(corpus: DataFrame, terms: list[str], weights: dict[str, float], all_ter
     return joined.withColumn("score", score).drop("__length", "__n", "__avg", *(f"__f{k}" for k in n), *(f"__n{k}" for k in n))
 
 
-def postings(corpus: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(term, key, column, n, positions, length): the index as a table, to be written once and partitioned by term.
+def posting_blocks(corpus: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(term, column, entries, fresh): postings without a shuffle, a row for each term and column of a block of rows.
 
-    positions: where in the column the term stands, from 0; length: tokens of all columns of the row.
+    entries: (key, positions, length) of the block's rows; positions: where in the column the term stands, from 0; length:
+    tokens of all columns of the row. fresh: entries of rows that have the term in no earlier column, so that its sum
+    over a term is the number of rows that hold it. Keys are unique.
     """
-    length = reduce(lambda a, b: a + b, (F.size(tokens(F.col(c))) for c in columns))
-    rows = corpus.withColumn("length", length)
-    parts = [rows.select(key, "length", F.lit(c).alias("column"), F.posexplode(tokens(F.col(c))).alias("at", "term")) for c in columns]
-    found = reduce(DataFrame.unionByName, parts).groupBy("term", key, "column", "length")
-    return found.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("at")).alias("positions")).select("term", key, "column", "n", "positions", "length")
+    read = corpus.select(F.col(key).alias("key"), *(tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)))
+    kind = T.StructType([T.StructField("key", read.schema["key"].dataType), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("length", T.IntegerType())])
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("column", T.StringType()), T.StructField("entries", T.ArrayType(kind)), T.StructField("fresh", T.LongType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.asarray(pc.list_value_length(batch.column(f"t{i}")), dtype=np.int64) for i in range(len(columns))]
+            length = sum(sizes)
+            ends, at = np.cumsum(length), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_WORDS, "right")))
+                if ends[to - 1] > (ends[at - 1] if at else 0):
+                    yield _block(batch.slice(at, to - at), [n[at:to] for n in sizes], length[at:to].astype(np.int32), columns)
+                at = to
+
+    return read.mapInArrow(find, schema)
+
+
+def _block(rows: pa.RecordBatch, sizes: list[np.ndarray], length: np.ndarray, columns: list[str]) -> pa.RecordBatch:
+    """The postings of some rows, of which one has a word at least. sizes: words of each row in each column."""
+    many = [int(n.sum()) for n in sizes]
+    coded = pa.concat_arrays([rows.column(f"t{i}").flatten() for i in range(len(columns))]).dictionary_encode()
+    code, column = np.asarray(coded.indices), np.repeat(np.arange(len(columns)), many)
+    row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+    place = np.concatenate([np.arange(m) - np.repeat(np.cumsum(n) - n, n) for n, m in zip(sizes, many)]).astype(np.int32)
+    order = np.argsort(code.astype(np.int64) * len(columns) + column, kind="stable")  # of one term and column, rows and places are in order already
+    code, column, row, place = code[order], column[order], row[order], place[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (column[1:] != column[:-1])
+    entry = new.copy()
+    entry[1:] |= row[1:] != row[:-1]
+    group, first = np.flatnonzero(new), np.flatnonzero(entry)
+    begin = np.searchsorted(first, group)
+    fresh = np.zeros(len(first), np.int64)
+    fresh[np.unique(code[first].astype(np.int64) * rows.num_rows + row[first], return_index=True)[1]] = 1
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), pa.array(place))
+    entries = pa.StructArray.from_arrays([rows.column("key").take(pa.array(row[first])), positions, pa.array(length[row[first]])], ["key", "positions", "length"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(first)), pa.int32()), entries)
+    names = pa.array(columns).take(pa.array(column[group]))
+    return pa.record_batch({"term": coded.dictionary.take(pa.array(code[group])).cast(pa.string()), "column": names, "entries": lists, "fresh": np.add.reduceat(fresh, begin)})
+
+
+def opened(blocks: DataFrame, key: str, *beside: str) -> DataFrame:
+    """(key, term, column, n, positions, length, beside): a row for each posting of the blocks."""
+    each = blocks.select("term", "column", F.explode("entries").alias("e"), *beside)
+    return each.select(F.col("e.key").alias(key), "term", "column", F.size("e.positions").cast("long").alias("n"), "e.positions", "e.length", *beside)
 
 
 def weighed_words(text: Column) -> Column:

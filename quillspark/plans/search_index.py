@@ -1,7 +1,7 @@
 """A kept search index: tables written once, of which a query reads only the parts that its words are in.
 
-Postings hold positions and the row's length, and are partitioned by a hash of the term, so a query's scan is pruned to
-as many folders as it has words; TF-IDF weights and the corpus itself lie beside them. Counts of terms are in a table of
+Postings hold positions and the row's length, those of a term in a block of rows as one row (search.posting_blocks), and
+are partitioned by a hash of the term, so a query's scan is pruned to as many folders as it has words; TF-IDF weights and the corpus itself lie beside them. Counts of terms are in a table of
 their own, partitioned alike, so no query counts the corpus again. A rebuild writes a new version and then turns to
 it by one rename, so readers see one whole version (sources/versions.py; old ones go by its prune).
 """
@@ -18,8 +18,9 @@ from quillspark.plans import fulltext, search
 from quillspark.sources.versions import Versions
 
 PARTS = 256  #: folders of the terms
-#: Columns of the tables that are partitioned by term, beside the key (that of terms has none).
-BY_PART = {"postings": "term string, column string, n long, positions array<int>, length int, part int", "terms": "term string, df long, part int", "weights": "term string, weight double, idf double, part int"}
+SPREAD = 8  #: tasks that write a folder of postings at most
+#: Columns of the tables that are partitioned by term, beside the key (that of terms has none; entries of postings hold it).
+BY_PART = {"postings": "term string, column string, entries array<struct<key:{key},positions:array<int>,length:int>>, fresh long, part int", "terms": "term string, df long, part int", "weights": "term string, weight double, idf double, part int"}
 
 
 def part_of(term: Column, parts: int) -> Column:
@@ -49,13 +50,15 @@ class SearchIndex:
         path = versions.new_folder()
         corpus.write.parquet(f"{path}/rows")
         rows = spark.read.parquet(f"{path}/rows")
-        one = search.postings(rows, key, columns).withColumn("part", part_of(F.col("term"), parts))
-        _write(one, key, f"{path}/postings")
+        # Blocks of a frequent term are dealt to several tasks; no range is sampled, as that would make the postings twice.
+        blocks = search.posting_blocks(rows, key, columns).withColumn("part", part_of(F.col("term"), parts))
+        dealt = blocks.repartition("part", F.pmod(F.xxhash64(F.col("entries")[0]["key"]), F.lit(SPREAD)))
+        dealt.sortWithinPartitions("part", "term").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/postings")
         length = reduce(lambda a, b: a + b, (F.size(search.tokens(F.col(c))) for c in columns))
         rows.select(key, length.alias("length")).write.parquet(f"{path}/lengths")
         spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{path}/totals")
         index = cls(spark, path).opened(key, parts, similar is not None)
-        counts = index.table("postings").groupBy("part", "term", key).count().groupBy("part", "term").agg(F.count("*").alias("df"))
+        counts = index.blocks().groupBy("part", "term").agg(F.sum("fresh").alias("df"))
         _write(counts, "df", f"{path}/terms")
         if similar is not None:
             weights = search.term_weights(rows, key, similar).withColumn("part", part_of(F.col("term"), parts))
@@ -81,9 +84,16 @@ class SearchIndex:
     def table(self, name: str) -> DataFrame:
         if name not in BY_PART:
             return self.spark.read.parquet(f"{self.path}/{name}")
+        if name == "postings":
+            return search.opened(self.blocks(), self.key, "part")
         key = T.StructType([f for f in self.table("lengths").schema if f.name == self.key])  # a table by part has no file where it is empty
         return self.spark.read.schema(T.StructType([*key, *T.StructType.fromDDL(BY_PART[name])]) if name != "terms" else BY_PART[name]).parquet(f"{self.path}/{name}")
 
+    def blocks(self) -> DataFrame:
+        """The postings as they are written: (term, column, entries, fresh, part)."""
+        kind = self.table("lengths").schema[self.key].dataType.simpleString()
+        return self.spark.read.schema(BY_PART["postings"].format(key=kind)).parquet(f"{self.path}/postings")
+
     def words_of(self, words: Column) -> list[tuple[str, int, int]]:
         """(term, part, how often it comes) of a query's words, an array."""
         rows = self.spark.range(1).select(F.explode(words).alias("term")).groupBy("term").count()

@@ -69,3 +69,23 @@ def test_ranks_of_many_ties(spark):
     found = search.ranked(hits).collect()
     assert [r["rank"] for r in found] == list(range(5000))
     assert [(r.type_rank, r.object_pk) for r in found] == sorted((i % 2, str(i)) for i in range(5000))
+
+
+def test_postings_are_made_without_a_shuffle(spark, rows):
+    blocks = search.posting_blocks(rows, "object_pk", ["object_name", "text"])
+    assert "Exchange" not in blocks.selectExpr("term", "entries")._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    found = {(r.term, r.column, r.object_pk): (r.n, r.positions, r.length) for r in search.opened(blocks, "object_pk").collect()}
+    assert found["the", "text", "k7"] == (2, [0, 1], 6) and found["ice", "text", "k6"] == (3, [0, 1, 2], 5) and found["name", "object_name", "k2"] == (1, [0], 2)
+    assert ("fireball", "object_name", "k0") in found and not any(k == "k2" and c == "text" for _, c, k in found) and len(found) == 29
+    held = {}
+    for term, _, key in found:
+        held.setdefault(term, set()).add(key)
+    assert {r.term: r.df for r in blocks.groupBy("term").agg(F.sum("fresh").alias("df")).collect()} == {t: len(k) for t, k in held.items()}
+
+
+def test_frequent_terms_are_counted_in_blocks(spark, rows, tmp_path):
+    """A term's postings are a row for each block, not one for each row of the corpus."""
+    many = spark.range(300).select(F.col("id").alias("k"), F.lit("fire fire").alias("text")).coalesce(1)
+    index = SearchIndex.build(many, str(tmp_path), ["text"], "k", parts=2)
+    assert spark.read.parquet(f"{index.path}/postings").count() == 1 and index.table("postings").count() == 300
+    assert index.table("terms").first().df == 300
