@@ -8,7 +8,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,25 +116,39 @@ def weighed_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), 1)
 
 
-def term_weights(corpus: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, weight): TF-IDF with smoothed idf = ln((1 + N) / (1 + df)) + 1, rows scaled to length 1. Terms have two word characters at least."""
-    tf = corpus.select(key, F.explode(weighed_words(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+def term_weights(corpus: DataFrame, key: str, text: Column, of: list[str] | None = None) -> DataFrame:
+    """(key, term, weight): TF-IDF with smoothed idf = ln((1 + N) / (1 + df)) + 1, rows scaled to length 1. Terms have two word characters at least.
+
+    of: words; then only rows that hold one of them have weights, which is all that a search for these words needs. The
+    counts that weights are made of are those of all rows, and each task adds up its own before they are shuffled.
+    """
+    read = corpus.select(key, weighed_words(text).alias("__words"))
+    df = read.select(F.explode(F.array_distinct("__words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = corpus.agg(F.count("*").alias("n"))
+    if of is not None:
+        read = read.where(F.exists("__words", lambda w: w.isin(*of)))
+    tf = read.select(key, F.explode("__words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("raw", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"), (F.col("raw") / F.col("tf")).alias("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"), (F.col("raw") / F.col("tf")).alias("idf"))
+
+
+def query_words(spark: SparkSession, query: str) -> list[str]:
+    """The distinct weighed words of a query."""
+    rows = spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(weighed_words(F.col("q")))).alias("term"))
+    return [r.term for r in rows.collect()]
 
 
 def tfidf_scores(weights: DataFrame, key: str, query: str) -> DataFrame:
-    """(key, score) of cosine similarity with the query, above the threshold."""
+    """(key, score) of cosine similarity with the query, above the threshold. The weights of the query's words are written, so that they are made once."""
     spark = weights.sparkSession
     words = spark.createDataFrame([(query,)], "q string").select(F.explode(weighed_words(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-    idf = weights.join(F.broadcast(words), "term").groupBy("term").agg(F.first("idf").alias("idf"), F.first("qtf").alias("qtf"))
+    held = kept(weights.join(F.broadcast(words), "term").select(key, "term", "weight", "idf", "qtf"), "query-weights")
+    idf = held.groupBy("term").agg(F.first("idf").alias("idf"), F.first("qtf").alias("qtf"))
     scaled = idf.withColumn("q", F.col("qtf") * F.col("idf"))
     norm = scaled.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
     side = scaled.crossJoin(F.broadcast(norm)).select("term", (F.col("q") / F.col("qnorm")).alias("qweight"))
-    return weights.join(F.broadcast(side), "term").groupBy(key).agg(F.sum(F.col("weight") * F.col("qweight")).alias("score")).where(F.col("score") > VECTOR_LEAST)
+    return held.join(F.broadcast(side), "term").groupBy(key).agg(F.sum(F.col("weight") * F.col("qweight")).alias("score")).where(F.col("score") > VECTOR_LEAST)
 
 
 def common_length(a: Column, b: Column) -> Column:
@@ -191,19 +205,28 @@ class Index(Protocol):
 
 @dataclass
 class Corpus:
-    """Columns: object_pk (unique), object_name, object_model, document_pk, schema_version, text. With an index no search reads all texts."""
+    """Columns: object_pk (unique), object_name, object_model, document_pk, schema_version, text. With an index no search reads all texts.
+
+    weights: those of all rows (term_weights); or weighed, the text that they are made of, for the rows that a query's words are in.
+    """
 
     rows: DataFrame
     weights: DataFrame | None = None
     columns: dict[str, float] = field(default_factory=lambda: {"document_pk": 1, "object_pk": 1, "object_name": 10, "object_model": 1, "schema_version": 1, "text": 1})
     index: Index | None = None
+    weighed: Column | None = None
 
     def exact(self, node: fulltext.Node) -> DataFrame:
         """Rows with `score`."""
         return self.rows.join(self.index.matches(node, self.columns), "object_pk") if self.index else fulltext.matches(self.rows, node, self.columns)
 
     def similar(self, query: str) -> DataFrame:
-        return self.index.similar_to(query) if self.index else tfidf_scores(self.weights, "object_pk", query)
+        if self.index:
+            return self.index.similar_to(query)
+        weights = self.weights
+        if weights is None:
+            weights = term_weights(self.rows, "object_pk", self.weighed, query_words(self.rows.sparkSession, query))
+        return tfidf_scores(weights, "object_pk", query)
 
 
 HIT = "object_pk string, object_name string, match_type string, type_rank int, score double, matched_term string"

@@ -494,8 +494,7 @@ def srch_snippet(t):
 @query()
 def srch_merged(t):
     d = t.documents.select(F.col("doc_id").cast("string").alias("object_pk"), F.coalesce(F.substring("text", 1, 40), F.lit("")).alias("object_name"), F.col("lang").alias("object_model"), F.col("source").alias("document_pk"), F.lit("v2").alias("schema_version"), "text")
-    weights = search.term_weights(d, "object_pk", F.concat_ws(" ", "object_name", "text"))
-    return search.search(search.Corpus(d, weights), search.SearchRequest("license version", vector=True))
+    return search.search(search.Corpus(d, weighed=F.concat_ws(" ", "object_name", "text")), search.SearchRequest("license version", vector=True))
 
 
 # Linking, quality, conversion

@@ -89,3 +89,14 @@ def test_frequent_terms_are_counted_in_blocks(spark, rows, tmp_path):
     index = SearchIndex.build(many, str(tmp_path), ["text"], "k", parts=2)
     assert spark.read.parquet(f"{index.path}/postings").count() == 1 and index.table("postings").count() == 300
     assert index.table("terms").first().df == 300
+
+
+def test_weights_of_the_rows_with_a_word(spark, rows):
+    text = F.concat_ws(" ", "object_name", "text")
+    plain = {(r.object_pk, r.term): (round(r.weight, 12), round(r.idf, 12)) for r in search.term_weights(rows, "object_pk", text).collect()}
+    some = {(r.object_pk, r.term): (round(r.weight, 12), round(r.idf, 12)) for r in search.term_weights(rows, "object_pk", text, ["ice", "giant"]).collect()}
+    keys = {k for k, t in plain if t in ("ice", "giant")}
+    assert some == {k: v for k, v in plain.items() if k[0] in keys} and keys
+    found = lambda c: [(r.object_pk, r.match_type, round(r.score, 9)) for r in search.search(c, search.SearchRequest("ice giant", schema="%", vector=True)).collect()]
+    assert found(search.Corpus(rows, weighed=text)) == found(search.Corpus(rows, search.term_weights(rows, "object_pk", text)))
+    assert search.Corpus(rows, weighed=text).similar("a").count() == 0
