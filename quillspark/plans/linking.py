@@ -10,6 +10,7 @@ from quillspark.operators.aggregates import keep_first
 
 # Names and phrases that decide whether a word means an entry.
 CONTEXT = 120
+FEW_NAMES = 50_000  #: that are broadcast; more are joined by a shuffle
 LIGHTING = ["bright light", "dim light"]
 SPELL = ["cast", "spell", "cantrip", "concentration", "prepared", "slot", "evocation"]
 WEAPON_PROPERTY = ["light weapon", "weapon property", "weapon has", "weapons with", "property.", "properties", "melee weapon", "ranged weapon", "has the light", "light property"]
@@ -71,24 +72,30 @@ def links(sources: DataFrame, references: DataFrame, ambiguous: list[str] = (),
     sources: (type, key, desc[, parent][, parents]); references: (type, key, name). A text links to an entry that it
     names as whole words at a place that takes links; it links neither to itself nor to its parent (a key of any type) or
     one of its parents (an array of type and key), and once to each name.
-    Candidates come from an equi join of the texts' words with the longest word of each name; only those that hold the
-    name at all are searched by regular expression.
+    Candidates come from an equi join of the texts' words with one word of each name, that which fewest names have (of
+    these the longest), so that a word which all names share makes no pairs; only those that hold the name at all are
+    searched by regular expression.
     """
     refs = references.where((F.length(F.trim("name")) >= 2) & ~F.col("name").isin(*excluded_names, ""))
     texts = sources.where(F.coalesce(F.col("desc"), F.lit("")) != "")
     for part in excluded_key_parts:
         refs, texts = refs.where(~F.col("key").contains(part)), texts.where(~F.col("key").contains(part))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), 1)
-    longest = F.array_max(F.transform(words("name"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    refs = refs.select(F.col("type").alias("reference_type"), F.col("key").alias("reference_key"), F.col("name").alias("anchor"), longest.alias("__word")).where(F.col("__word").isNotNull())
+    refs = refs.select(F.col("type").alias("reference_type"), F.col("key").alias("reference_key"), F.col("name").alias("anchor"))
+    names = refs.select("anchor", F.lower("anchor").alias("__low")).distinct().select("anchor", F.explode(F.array_distinct(words("__low"))).alias("__word"))
+    shared = names.groupBy("__word").agg(F.count("*").alias("__many"))
+    rarest = names.join(shared, "__word").groupBy("anchor").agg(F.min(F.struct("__many", (-F.length("__word")).alias("n"), "__word")).alias("__rare"))
+    refs = refs.join(rarest.select("anchor", F.col("__rare.__word").alias("__word")), "anchor")
     parent = F.col("parent") if "parent" in sources.columns else F.lit(None).cast("string")
     parents = F.col("parents") if "parents" in sources.columns else F.array().cast("array<struct<type:string,key:string>>")
     texts = texts.select(F.col("type").alias("source_type"), F.col("key").alias("source_key"), "desc", parent.alias("__parent"), parents.alias("__parents"))
-    pairs = texts.select("source_type", "source_key", "__parent", "__parents", F.explode(F.array_distinct(words("desc"))).alias("__word")).join(refs, "__word").drop("__word")
+    pairs = texts.select("source_type", "source_key", "__parent", "__parents", F.explode(F.array_distinct(words("desc"))).alias("__word"))
+    # Words of all texts, and the texts, are far larger than their files let expect: neither is broadcast. Few names are.
+    pairs = (pairs.join(F.broadcast(refs), "__word") if refs.limit(FEW_NAMES + 1).count() <= FEW_NAMES else pairs.hint("merge").join(refs, "__word")).drop("__word")
     pairs = pairs.where((F.col("reference_key") != F.col("source_key")) | (F.col("reference_type") != F.col("source_type")))
     above = F.exists("__parents", lambda p: F.coalesce((p["type"] == F.col("reference_type")) & (p["key"] == F.col("reference_key")), F.lit(False)))
     pairs = pairs.where(~F.coalesce(F.col("reference_key") == F.col("__parent"), F.lit(False)) & ~above).drop("__parent", "__parents")
-    named = pairs.join(texts.drop("__parent", "__parents"), ["source_type", "source_key"]).where(F.lower("desc").contains(F.lower("anchor")))
+    named = pairs.join(texts.drop("__parent", "__parents").hint("merge"), ["source_type", "source_key"]).where(F.lower("desc").contains(F.lower("anchor")))
     at = positions(masked(F.col("desc")), F.col("anchor"))
     good = named.where(F.exists(at, lambda p: allowed(F.col("desc"), p, F.col("reference_type"), F.col("anchor"), list(ambiguous))))
     named = good.withColumn("__name", F.lower("anchor")).select("source_type", "source_key", "reference_type", "reference_key", "anchor", "__name")

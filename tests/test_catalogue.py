@@ -184,3 +184,16 @@ def test_suffixes_and_groups(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "base string, n int")
     assert sorted(r.key for r in aggregates.suffixed_keys(df, "base", ["n"]).collect()) == ["a", "a_1", "b"]
     assert [(r.base, r.n_items) for r in aggregates.by_group_size(df, "base", "n").collect()] == [("a", 2), ("b", 1)]
+
+
+def test_links_join_by_the_word_that_fewest_names_have(spark):
+    """A word of all names makes no pair, and neither texts nor their words are broadcast."""
+    texts = spark.createDataFrame([("part", str(i), f"Made by Brand#{i % 50}, unlike hot ring") for i in range(200)], "type string, key string, desc string").coalesce(1)
+    refs = spark.createDataFrame([("brand", f"b{i}", f"Brand#{i}") for i in range(50)], "type string, key string, name string")
+    found = linking.links(texts, refs)
+    rows = found.collect()
+    assert {(r.source_key, r.reference_key, r.anchor) for r in rows} == {(str(i), f"b{i % 50}", f"Brand#{i % 50}") for i in range(200)} and len(rows) == 200
+    plan = found._jdf.queryExecution()
+    assert "SortMergeJoin" in plan.sparkPlan().toString() and "BuildLeft" not in plan.sparkPlan().toString()
+    joins = [line for line in plan.optimizedPlan().toString().splitlines() if "Join Inner" in line and "__word" in line]
+    assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins[:1])
