@@ -144,7 +144,8 @@ def cascade(tables: dict[str, DataFrame], levels: list[Level], references: list[
     """New keys for a tree of tables, parents first, and every reference to them.
 
     references: (table, column, table that its key belongs to); columns of arrays are followed element by element.
-    References to keys that don't exist stay as they are; null references too. Old keys are unique. keep: writes a map of
+    References to keys that don't exist stay as they are; null references too. Old keys are unique, so the numbers are the
+    same each time they are given. keep: writes a map of
     keys and reads it again, so that all references of a table are joined with the same one.
     """
     out, maps = dict(tables), {}
@@ -153,7 +154,8 @@ def cascade(tables: dict[str, DataFrame], levels: list[Level], references: list[
         named = numbered(df, level.base, [*level.order, level.key], "__new")
         map_ = keep(named.select(F.col(level.key).cast("string").alias("old"), F.col("__new").alias("new")), level.table)
         maps[level.table] = map_
-        out[level.table] = _followed(df, level.key, map_)
+        # The table's own keys stand beside the new ones: it isn't joined with its map. A null key stays null.
+        out[level.table] = named.select(*(F.when(F.col(f"`{c}`").isNotNull(), F.col("__new")).alias(c) if c == level.key else F.col(f"`{c}`") for c in df.columns))
         for table, column, target in references:
             if target == level.table:
                 out[table] = _followed(out[table], column, map_)

@@ -546,7 +546,8 @@ def etl_change_set(t):
  SELECT m.new AS l_orderkey, m.new || '/' || l_linenumber || CASE WHEN row_number() OVER (PARTITION BY m.new, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) = 1 THEN '' ELSE '_' || (row_number() OVER (PARTITION BY m.new, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) - 1) END AS l_key, l_partkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) JOIN m ON l_orderkey = o_orderkey""")
 def dq_cascade(t):
     """Orders get keys of customer and priority, numbered where they collide; their lines' references and keys follow."""
-    lines = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("l_key"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    own = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    lines = own.select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("l_key"), "*")
     levels = [merges.Level("orders", "o_orderkey", F.concat_ws("/", "o_custkey", "o_orderpriority"), ["o_orderkey"]), merges.Level("lines", "l_key", F.concat_ws("/", "l_orderkey", "l_linenumber"), ["l_orderkey", "l_partkey", "l_suppkey"])]
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
     return merges.cascade({"orders": orders, "lines": lines}, levels, [("lines", "l_orderkey", "orders")]).tables["lines"].select("l_orderkey", "l_key", "l_partkey")

@@ -136,3 +136,11 @@ def test_choices_of_the_first_schema(spark):
 
     rows = spark.createDataFrame([("a", "evocation", "fire", "cone"), ("b", "Evocation", "ice", None)], "slug string, school string, damage string, area string")
     assert {(r.key, r.column) for r in outside(rows, damage_type="damage", shape="area").collect()} == {("b", "school"), ("b", "damage")}
+
+
+def test_cascade_makes_each_table_once(spark):
+    """A level's table isn't joined with the map of its own keys."""
+    rows = spark.createDataFrame([("1", "a"), ("2", "a"), (None, "b")], "key string, name string")
+    out = merges.cascade({"t": rows}, [merges.Level("t", "key", F.col("name"))], []).tables["t"]
+    assert {(r.key, r.name) for r in out.collect()} == {("a", "a"), ("a_1", "a"), (None, "b")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
