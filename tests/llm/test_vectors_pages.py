@@ -59,6 +59,61 @@ def test_linked_vectors(spark, monkeypatch, block):
     assert vector_dedup.linked_vectors(vectors(spark, ODD[:2])).count() == 2
 
 
+def test_no_more_rows_than_vectors(spark, monkeypatch):
+    """Keys, of which a vector enters hundreds, are no rows of a table; nor are pairs of blocks."""
+    written, put = [], vector_dedup.Stash.put
+
+    def counted(stash, df, *by):
+        out = put(stash, df, *by)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(vector_dedup.Stash, "put", counted)
+    monkeypatch.setattr(vector_dedup, "SHARED", 100)
+    monkeypatch.setattr(vector_dedup, "TASK", 100)
+    rows = sample(4, 600)
+    out = {r.vec_id: r.n_links for r in vector_dedup.linked_vectors(vectors(spark, rows)).collect()}
+    ids, m, labels = good(rows)
+    near = (m @ m.T >= 0.98) & np.equal.outer(labels, labels)
+    assert out == dict(zip(ids, (near.sum(1) - 1).tolist())) and near.sum() > 700
+    assert 0 < max(written) <= len(rows)
+
+
+def test_equal_but_for_the_sign_of_zero(spark):
+    rows = [(3, [0.0, 1.0, 2.0], 1), (5, [-0.0, 1.0, 2.0], 1), (7, [9.0, 0.0, -2.0], 1)]
+    out = vector_dedup.linked_vectors(vectors(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(3, 1, 3), (5, 1, 3), (7, 0, 7)]
+
+
+@pytest.mark.parametrize("leaf", [8, 64])
+def test_no_bucket_loses_a_link(monkeypatch, leaf):
+    """All tables of a label that is dealt by first bits, with a dense heap and a chain: components as by brute force."""
+    monkeypatch.setattr(vector_dedup, "LEAF", leaf)
+    monkeypatch.setattr(vector_dedup, "TASK", 60)
+    rng = np.random.default_rng(6)
+    heap = np.eye(48)[0] + rng.normal(0, 0.016, (250, 48))
+    chain = np.array([np.cos(a) * np.eye(48)[1] + np.sin(a) * np.eye(48)[2] for a in np.arange(0, 1.5, 0.19)])
+    other = rng.normal(0, 1, (400, 48))
+    x = np.concatenate([heap, other, other[:200] + rng.normal(0, 0.08, (200, 48)), chain])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = len(x)
+    codes = vector_dedup.Codes(x, 0.98)
+    places = vector_dedup.Places({7: n}, 0, codes.parts, min(b - a for a, b in codes.spans))
+    edges, tasks = [], set()
+    for part, (near, check) in enumerate(codes.sketches(x)):
+        for task, bits, prefix, at in places.find(part, np.full(n, 7), near):
+            buckets = vector_dedup.Buckets(codes, near[at], check[at])
+            buckets.search(np.arange(len(at)), bits, prefix)
+            buckets.settle()
+            edges.append((at, at[buckets.low]))
+            tasks.add(task)
+    low = vector_dedup.lowest(*(np.concatenate(e) for e in zip(*edges)), n)
+    i, j = np.nonzero(x @ x.T >= 0.98)
+    exact = vector_dedup.lowest(i, j, n)
+    assert (low[i] == low[j]).all() and len(np.unique(low)) > 0.98 * len(np.unique(exact))
+    assert len(tasks) > 8 and max(tasks) < places.count and len(np.unique(exact[-len(chain) :])) == 1
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK", 150)
     rows = [*sample(2, 1200), *ODD, (None, [1.0] * 16, 1), (1201, [1.0] * 16, 1), (1202, [1.0] * 16, 2), (1203, [2.0] * 16, 2), (1250, [1.0] * 16, 0)]
